@@ -1,0 +1,25 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after counting it (on an already reduced table) and
+finding it under the bound; beyond it the plain shuffle join stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a broadcast side may hold. Rows here are a few ids and short strings.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Return ``(df_or_hinted_df, broadcast?)`` after checking the row count.
+
+    Counting stops at ``max_rows + 1`` rows, so checking a large side costs a
+    bounded scan.
+    """
+    n = df.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(df), True
+    return df, False
