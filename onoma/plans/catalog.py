@@ -277,7 +277,7 @@ def q_legacy_layout(spark, sf):
 
 
 def q_load_report(spark, sf):
-    return load_report(part_names(spark, sf), "parquet", "original", f"{sf}/part.parquet")
+    return load_report(part_names(spark, sf), "parquet", "original", "part.parquet")
 
 
 # ---- ST: streaming ---------------------------------------------------------

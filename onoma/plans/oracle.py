@@ -1,7 +1,199 @@
-"""DuckDB SQL oracles for the registered queries (filled in per query)."""
+"""DuckDB oracles for the registered queries (run by the driver at sf0.01).
+
+Queries without an entry here have no SQL restatement: the payload query
+(nested lists and maps) and the streaming query (same rows as match_topk,
+checked against it in the tests).
+"""
 
 from __future__ import annotations
 
+from onoma.plans.oracle_sql import grams, lcs, norm, pyround, segments_sql, tokens
+
+K = 2000
+
+DOC_SEG = segments_sql("documents", "doc_id", "text")
+BENCH_SEG = segments_sql("benchmark", "item_id", "text", "request_id", "name")
+DOC_NAMES = f"SELECT id, full_name, {norm('full_name')} AS k FROM ({DOC_SEG})"
+PART_NAMES = f"SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS full_name, {norm('p_name')} AS k FROM part WHERE p_name IS NOT NULL"
+CUSTOMER_NAMES = f"SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS full_name, {norm('c_name')} AS k FROM customer WHERE c_name IS NOT NULL"
+
+DEFAULT_REQ = (
+    f"SELECT request_id, name, CAST(70.0 AS DOUBLE) AS threshold, 10 AS lim, CAST(0.65 AS DOUBLE) AS w_token, "
+    f"false AS explain FROM ({BENCH_SEG})"
+)
+EXPLAIN_REQ = DEFAULT_REQ.replace("false AS explain", "true AS explain")
+PARAM_REQ = (
+    "SELECT request_id, name, CAST(40.0 AS DOUBLE) + CAST(10.0 AS DOUBLE) * ((request_id % 100000) % 4) AS threshold, "
+    "CAST(1 + (request_id % 100000) % 7 AS INTEGER) AS lim, "
+    "CAST((request_id % 100000) % 11 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS w_token, "
+    f"((request_id % 100000) % 2 = 0) AS explain FROM ({BENCH_SEG})"
+)
+
+
+def _dedupe_sql(names: str) -> str:
+    return (
+        f"SELECT min(id) AS id, arg_min(full_name, id) AS full_name, k AS normalized_name, count(*) AS member_count "
+        f"FROM ({names}) WHERE length(k) > 0 GROUP BY k"
+    )
+
+
+def _members_sql(names: str) -> str:
+    return (
+        f"WITH n AS ({names}) SELECT r.rep_id, n.id AS member_id FROM n JOIN "
+        f"(SELECT k, min(id) AS rep_id FROM n WHERE length(k) > 0 GROUP BY k) r USING (k) WHERE length(n.k) > 0"
+    )
+
+
+def _scored_ctes(names: str, requests: str, cap: int | None = K) -> str:
+    """CTEs ending in ``ranked``: the match pipeline in SQL."""
+    cap_idx = f"WHERE rn <= {cap}" if cap else ""
+    return f"""
+names AS ({names}),
+req AS (SELECT request_id, name, threshold, lim, w_token, explain, {norm('name')} AS q FROM ({requests})),
+ngr AS (SELECT id, unnest(list_distinct({grams('k')})) AS gram FROM names),
+idx AS (SELECT gram, id FROM (SELECT gram, id, row_number() OVER (PARTITION BY gram ORDER BY id) AS rn FROM ngr) {cap_idx}),
+qg AS (SELECT request_id, unnest(list_distinct({grams('q')})) AS gram FROM req),
+cand0 AS (SELECT DISTINCT qg.request_id, idx.id FROM qg JOIN idx USING (gram)),
+cand AS (SELECT request_id, id FROM (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS rn FROM cand0) {cap_idx}),
+counts AS (SELECT request_id, count(*) AS candidate_count FROM cand GROUP BY request_id),
+fb AS (SELECT r.request_id, n.id FROM req r CROSS JOIN names n WHERE r.request_id NOT IN (SELECT request_id FROM counts)),
+pairs AS (SELECT * FROM cand UNION ALL SELECT * FROM fb),
+p1 AS (SELECT p.request_id, p.id, n.full_name, n.k, r.q, r.threshold, r.lim, r.w_token, r.explain,
+              {tokens('r.q')} AS tq, {tokens('n.k')} AS tk
+       FROM pairs p JOIN names n USING (id) JOIN req r USING (request_id)),
+p2 AS (SELECT *, length(array_to_string(list_intersect(tq, tk), ' ')) AS sect, len(list_intersect(tq, tk)) AS inter_n,
+              array_to_string(list_filter(tq, lambda t: NOT list_contains(tk, t)), ' ') AS x,
+              array_to_string(list_filter(tk, lambda t: NOT list_contains(tq, t)), ' ') AS y FROM p1),
+p3 AS (SELECT *, {lcs('q', 'k')} AS lcs_e, {lcs('x', 'y')} AS lcs_t,
+              CASE WHEN sect > 0 THEN 1 ELSE 0 END AS g FROM p2),
+p4 AS (SELECT *,
+         CASE WHEN length(q) + length(k) = 0 THEN CAST(100.0 AS DOUBLE)
+              ELSE (CAST(1.0 AS DOUBLE) - CAST(length(q) + length(k) - 2 * lcs_e AS DOUBLE) / CAST(length(q) + length(k) AS DOUBLE)) * CAST(100.0 AS DOUBLE) END AS edit,
+         CASE WHEN len(tq) = 0 OR len(tk) = 0 THEN CAST(0.0 AS DOUBLE)
+              WHEN inter_n > 0 AND (x = '' OR y = '') THEN CAST(100.0 AS DOUBLE)
+              WHEN sect = 0 THEN CAST(100.0 AS DOUBLE) - CAST(100.0 AS DOUBLE) * CAST(length(x) + length(y) - 2 * lcs_t AS DOUBLE) / CAST(length(x) + length(y) AS DOUBLE)
+              ELSE greatest(
+                CAST(100.0 AS DOUBLE) - CAST(100.0 AS DOUBLE) * CAST(length(x) + length(y) - 2 * lcs_t AS DOUBLE) / CAST(2 * (sect + g) + length(x) + length(y) AS DOUBLE),
+                CAST(100.0 AS DOUBLE) - CAST(100.0 AS DOUBLE) * CAST(g + length(x) AS DOUBLE) / CAST(2 * sect + g + length(x) AS DOUBLE),
+                CAST(100.0 AS DOUBLE) - CAST(100.0 AS DOUBLE) * CAST(g + length(y) AS DOUBLE) / CAST(2 * sect + g + length(y) AS DOUBLE))
+         END AS tok FROM p3),
+p5 AS (SELECT *, w_token * tok + (CAST(1.0 AS DOUBLE) - w_token) * edit AS sim FROM p4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, tok DESC, edit DESC, id ASC) AS rnk
+           FROM p5 WHERE sim >= threshold)
+"""
+
+
+def _hits_sql(names: str, requests: str, cap: int | None = K) -> str:
+    return f"""WITH {_scored_ctes(names, requests, cap)}
+SELECT request_id, CAST(rnk AS INTEGER) AS rank, id, full_name AS name, {pyround('sim', 2)} AS similarity,
+       CASE WHEN explain THEN {pyround('tok', 2)} END AS token_score,
+       CASE WHEN explain THEN {pyround('edit', 2)} END AS edit_score,
+       CASE WHEN explain THEN {pyround('w_token', 3)} END AS w_token
+FROM ranked WHERE rnk <= lim AND rnk <= 100"""
+
+
+def _ties_sql(names: str, requests: str) -> str:
+    return f"""WITH {_scored_ctes(names, requests)},
+disp AS (SELECT request_id, {pyround('sim', 2)} AS s2, {pyround('tok', 2)} AS t2, {pyround('edit', 2)} AS e2
+         FROM ranked WHERE rnk <= lim AND rnk <= 100),
+grp AS (SELECT request_id, s2, count(*) AS size, count(DISTINCT t2) AS nt, count(DISTINCT e2) AS ne
+        FROM disp GROUP BY request_id, s2 HAVING count(*) > 1)
+SELECT request_id, count(*) AS tie_groups, count(*) FILTER (WHERE nt > 1) AS by_token,
+       count(*) FILTER (WHERE nt <= 1 AND ne > 1) AS by_edit, count(*) FILTER (WHERE nt <= 1 AND ne <= 1) AS by_id
+FROM grp GROUP BY request_id"""
+
+
+def _events_log() -> str:
+    return (
+        "WITH lg AS (SELECT event_id AS seq, lower(event_type) || ' ' || CAST(user_id AS VARCHAR) AS query_norm, "
+        "CAST(value AS DOUBLE) AS latency_ms, CAST(user_id AS BIGINT) AS candidate_count FROM events), "
+        "lg2 AS (SELECT lg.*, seq > min(seq) OVER (PARTITION BY query_norm) AS is_repeat FROM lg), "
+        "srch AS (SELECT * FROM lg2 WHERE NOT is_repeat ORDER BY seq DESC LIMIT 5000)"
+    )
+
+
+def _p95(col: str) -> str:
+    return (
+        f"coalesce((SELECT v FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {col} ASC NULLS FIRST) AS rn, "
+        f"count(*) OVER () AS n FROM srch) WHERE rn = floor(CAST(0.95 AS DOUBLE) * CAST(n - 1 AS DOUBLE)) + 1), CAST(0.0 AS DOUBLE))"
+    )
+
 
-def ORACLES() -> dict[str, str]:  # noqa: N802 - filled below
-    return {}
+def ORACLES() -> dict[str, str]:  # noqa: N802
+    q: dict[str, str] = {}
+    q["normalize_documents"] = f"SELECT id, full_name, k AS normalized_name FROM ({DOC_NAMES})"
+    q["normalize_parts"] = f"SELECT id, full_name, k AS normalized_name FROM ({PART_NAMES})"
+    q["gram_frequency"] = (
+        f"SELECT gram, count(*) AS n_ids FROM (SELECT id, unnest(list_distinct({grams('k')})) AS gram FROM ({DOC_NAMES})) GROUP BY gram"
+    )
+    q["gram_index"] = (
+        f"SELECT gram, id FROM (SELECT gram, id, row_number() OVER (PARTITION BY gram ORDER BY id) AS rn FROM "
+        f"(SELECT id, unnest(list_distinct({grams('k')})) AS gram FROM ({DOC_NAMES}))) WHERE rn <= {K}"
+    )
+    q["dedupe_documents"] = _dedupe_sql(DOC_NAMES)
+    q["dedupe_members"] = _members_sql(DOC_NAMES)
+    q["dedupe_report"] = (
+        f"SELECT 'standardized+dedupe' AS dataset_mode, s.n AS sot_rows, d.n AS search_rows, d.n AS dedupe_groups, "
+        f"CASE WHEN s.n = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(d.n AS DOUBLE) / CAST(s.n AS DOUBLE) END AS dedupe_ratio "
+        f"FROM (SELECT count(*) AS n FROM ({DOC_SEG})) s, (SELECT count(*) AS n FROM ({_dedupe_sql(DOC_NAMES)})) d"
+    )
+    q["dedupe_customers"] = _dedupe_sql(CUSTOMER_NAMES)
+    q["dedupe_customer_members"] = _members_sql(CUSTOMER_NAMES)
+    q["candidates"] = f"WITH {_scored_ctes(DOC_NAMES, DEFAULT_REQ)} SELECT request_id, id FROM cand"
+    q["candidate_counts"] = (
+        f"WITH {_scored_ctes(DOC_NAMES, DEFAULT_REQ)} SELECT r.request_id, r.q AS q_norm, c.candidate_count IS NULL AS fallback, "
+        f"coalesce(c.candidate_count, (SELECT count(*) FROM names)) AS candidate_count FROM req r LEFT JOIN counts c USING (request_id)"
+    )
+    nations = "SELECT CAST(n_nationkey AS BIGINT) AS request_id, n_name AS name, CAST(0.0 AS DOUBLE) AS threshold, 10 AS lim, CAST(0.65 AS DOUBLE) AS w_token, false AS explain FROM nation"
+    q["fallback"] = _hits_sql(PART_NAMES, nations)
+    q["match_topk"] = _hits_sql(DOC_NAMES, DEFAULT_REQ)
+    q["match_explain"] = _hits_sql(DOC_NAMES, EXPLAIN_REQ)
+    q["match_params"] = _hits_sql(DOC_NAMES, PARAM_REQ)
+    q["match_dedupe"] = _hits_sql(
+        f"SELECT id, full_name, normalized_name AS k FROM ({_dedupe_sql(DOC_NAMES)})", DEFAULT_REQ
+    )
+    part_req = "SELECT CAST(p_partkey AS BIGINT) AS request_id, p_name AS name, CAST(70.0 AS DOUBLE) AS threshold, 10 AS lim, CAST(0.65 AS DOUBLE) AS w_token, false AS explain FROM part WHERE p_name IS NOT NULL"
+    q["match_parts"] = _hits_sql(PART_NAMES, part_req)
+    q["tie_stats"] = _ties_sql(DOC_NAMES, DEFAULT_REQ)
+    q["request_validation"] = (
+        "SELECT event_id AS request_id, CASE "
+        "WHEN event_type IS NULL THEN 'name is required' "
+        "WHEN coalesce(value, 70.0) < 0 OR coalesce(value, 70.0) > 100 OR isnan(coalesce(value, 70.0)) THEN 'threshold must be between 0 and 100' "
+        "WHEN coalesce(CAST(user_id AS INTEGER), 10) < 1 OR coalesce(CAST(user_id AS INTEGER), 10) > 100 THEN 'limit must be between 1 and 100' "
+        "WHEN coalesce(value / CAST(100.0 AS DOUBLE), 0.65) < 0 OR coalesce(value / CAST(100.0 AS DOUBLE), 0.65) > 1 THEN 'w_token must be between 0 and 1' "
+        "END AS reason FROM events"
+    )
+    q["distinct_requests"] = (
+        f"WITH r AS (SELECT CAST(p_partkey AS BIGINT) AS request_id, {norm('p_name')} AS q FROM part WHERE p_name IS NOT NULL) "
+        "SELECT m.rep AS rep_request_id, r.request_id FROM r JOIN (SELECT q, min(request_id) AS rep FROM r GROUP BY q) m USING (q)"
+    )
+    ev = _events_log()
+    q["log_totals"] = (
+        f"{ev} SELECT count(*) AS total_requests, count(*) FILTER (WHERE is_repeat) AS total_cache_hits, "
+        f"{pyround('CASE WHEN count(*) = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(count(*) FILTER (WHERE is_repeat) AS DOUBLE) / CAST(count(*) AS DOUBLE) END', 4)} AS cache_hit_rate FROM lg2"
+    )
+    rolling = (
+        f"{pyround('coalesce((SELECT avg(latency_ms) FROM srch), CAST(0.0 AS DOUBLE))', 2)} AS latency_ms_avg, "
+        f"{pyround(_p95('latency_ms'), 2)} AS latency_ms_p95, "
+        f"{pyround('coalesce((SELECT avg(candidate_count) FROM srch), CAST(0.0 AS DOUBLE))', 2)} AS candidates_avg, "
+        f"{pyround(_p95('CAST(candidate_count AS DOUBLE)'), 2)} AS candidates_p95"
+    )
+    q["log_rolling"] = f"{ev} SELECT {rolling}"
+    q["log_last_n"] = f"{ev} SELECT seq, query_norm, latency_ms, candidate_count FROM srch"
+    q["top_queries"] = (
+        f"{ev} SELECT CAST(row_number() OVER (ORDER BY cnt DESC, first_seq ASC) AS INTEGER) AS position, query_norm AS query, cnt AS count "
+        "FROM (SELECT query_norm, count(*) AS cnt, min(seq) AS first_seq FROM lg2 GROUP BY query_norm) ORDER BY cnt DESC, first_seq ASC LIMIT 10"
+    )
+    q["metrics_summary"] = (
+        f"{ev} SELECT (SELECT count(*) FROM lg2) AS total_requests, (SELECT count(*) FILTER (WHERE is_repeat) FROM lg2) AS total_cache_hits, "
+        f"{pyround('(SELECT CASE WHEN count(*) = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(count(*) FILTER (WHERE is_repeat) AS DOUBLE) / CAST(count(*) AS DOUBLE) END FROM lg2)', 4)} AS cache_hit_rate, "
+        f"{rolling}, CAST(0 AS BIGINT) AS tie_groups_total, CAST(0.0 AS DOUBLE) AS resolved_by_token_pct, "
+        "CAST(0.0 AS DOUBLE) AS resolved_by_edit_pct, CAST(0.0 AS DOUBLE) AS resolved_by_id_pct"
+    )
+    q["legacy_layout"] = PART_NAMES.replace(" AS k FROM", " AS normalized_name FROM")
+    q["load_report"] = (
+        "SELECT 'parquet' AS storage, 'original' AS dataset_mode, 'part.parquet' AS dataset_path, CAST(NULL AS BIGINT) AS loaded_rows, "
+        "count(*) AS records FROM part WHERE p_name IS NOT NULL"
+    )
+    q["stream_match"] = q["match_topk"]
+    return q
