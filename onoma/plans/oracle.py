@@ -64,8 +64,14 @@ p1 AS (SELECT p.request_id, p.id, n.full_name, n.k, r.q, r.threshold, r.lim, r.w
 p2 AS (SELECT *, length(array_to_string(list_intersect(tq, tk), ' ')) AS sect, len(list_intersect(tq, tk)) AS inter_n,
               array_to_string(list_filter(tq, lambda t: NOT list_contains(tk, t)), ' ') AS x,
               array_to_string(list_filter(tk, lambda t: NOT list_contains(tq, t)), ' ') AS y FROM p1),
-p3 AS (SELECT *, {lcs('q', 'k')} AS lcs_e, {lcs('x', 'y')} AS lcs_t,
-              CASE WHEN sect > 0 THEN 1 ELSE 0 END AS g FROM p2),
+p2b AS (SELECT * FROM p2 WHERE
+         w_token * (CASE WHEN len(tq) > 0 AND len(tk) > 0 THEN CAST(100.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)
+         + (CAST(1.0 AS DOUBLE) - w_token) * (CASE WHEN length(q) + length(k) = 0 THEN CAST(100.0 AS DOUBLE)
+              ELSE CAST(200.0 AS DOUBLE) * CAST(least(length(q), length(k)) AS DOUBLE) / CAST(length(q) + length(k) AS DOUBLE) END)
+         >= threshold - CAST(1e-9 AS DOUBLE)),
+p3 AS (SELECT *, {lcs('q', 'k')} AS lcs_e,
+              CASE WHEN len(tq) > 0 AND len(tk) > 0 AND NOT (inter_n > 0 AND (x = '' OR y = '')) THEN {lcs('x', 'y')} ELSE 0 END AS lcs_t,
+              CASE WHEN sect > 0 THEN 1 ELSE 0 END AS g FROM p2b),
 p4 AS (SELECT *,
          CASE WHEN length(q) + length(k) = 0 THEN CAST(100.0 AS DOUBLE)
               ELSE (CAST(1.0 AS DOUBLE) - CAST(length(q) + length(k) - 2 * lcs_e AS DOUBLE) / CAST(length(q) + length(k) AS DOUBLE)) * CAST(100.0 AS DOUBLE) END AS edit,

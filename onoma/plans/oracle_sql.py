@@ -52,10 +52,9 @@ def tokens(x: str) -> str:
     return f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> '')))"
 
 
-def _lcs_short_first(s: str, l: str) -> str:
-    """LCS(s, l) for length(s) <= WORDS*BITS; s must be the shorter string."""
+def _lcs_words(s: str, l: str, words: int) -> str:
+    """LCS(s, l) with ``words`` 62-bit words; s is the shorter string."""
     zero = "0::BIGINT"
-    # masks: char -> list of WORDS words
     word_mask = (
         f"list_reduce(list_transform(range({BITS} * w, least({BITS} * w + {BITS}, length({s}))), "
         f"lambda p: CASE WHEN {s}[p + 1] = c THEN (1::BIGINT << (p - {BITS} * w)) ELSE {zero} END), "
@@ -63,29 +62,36 @@ def _lcs_short_first(s: str, l: str) -> str:
     )
     masks = (
         f"map_from_entries(list_transform(list_distinct(string_split({s}, '')), "
-        f"lambda c: {{'k': c, 'v': list_transform(range({WORDS}), lambda w: {word_mask})}}))"
+        f"lambda c: {{'k': c, 'v': list_transform(range({words}), lambda w: {word_mask})}}))"
     )
     full = [
-        f"((1::BIGINT << greatest(0, least({BITS}, length({s}) - {BITS * w}))) - 1)" for w in range(WORDS)
+        f"((1::BIGINT << greatest(0, least({BITS}, length({s}) - {BITS * w}))) - 1)" for w in range(words)
     ]
     init = "[" + ", ".join(full) + "]"
-    m = f"coalesce(__m[ch], [{', '.join([zero] * WORDS)}])"
-    u = [f"(st[{w + 1}] & {m}[{w + 1}])" for w in range(WORDS)]
+    zeros = "[" + ", ".join([zero] * words) + "]"
+    # the longer string as a list of per-character mask lists, built once
+    mapped = f"list_transform(string_split({l}, ''), lambda ch: coalesce(__m[ch], {zeros}))"
     carry = "0::BIGINT"
-    words = []
-    for w in range(WORDS):
-        total = f"(st[{w + 1}] + {u[w]} + {carry})"
-        words.append(f"((({total} & {MASK}) | (st[{w + 1}] & ~{u[w]})) & {full[w]})")
+    out = []
+    for w in range(words):
+        u = f"(st[{w + 1}] & mk[{w + 1}])"
+        total = f"(st[{w + 1}] + {u} + {carry})"
+        out.append(f"((({total} & {MASK}) | (st[{w + 1}] & ~{u})) & {full[w]})")
         carry = f"({total} >> {BITS})"
-    step = "[" + ", ".join(words) + "]"
-    loop = f"list_reduce(string_split({l}, ''), lambda st, ch: {step}, {init})"
-    popcount = " + ".join(f"bit_count(__s[{w + 1}])" for w in range(WORDS))
-    # bind the mask map and the final state through one-element lists
-    body = (
-        f"list_transform([{masks}], lambda __m: "
-        f"list_transform([{loop}], lambda __s: length({s}) - ({popcount}))[1])[1]"
+    step = "[" + ", ".join(out) + "]"
+    popcount = " + ".join(f"bit_count(__s[{w + 1}])" for w in range(words))
+    return (
+        f"list_transform([{masks}], lambda __m: list_transform([list_reduce({mapped}, lambda st, mk: {step}, {init})], "
+        f"lambda __s: length({s}) - ({popcount}))[1])[1]"
+    )
+
+
+def _lcs_short_first(s: str, l: str) -> str:
+    """LCS(s, l) for length(s) <= WORDS*BITS; s must be the shorter string."""
+    branches = " ".join(
+        f"WHEN length({s}) <= {BITS * w} THEN {_lcs_words(s, l, w)}" for w in range(1, WORDS + 1)
     )
-    return f"(CASE WHEN length({s}) = 0 OR length({l}) = 0 THEN 0 WHEN length({s}) > {WORDS * BITS} THEN NULL ELSE {body} END)"
+    return f"(CASE WHEN length({s}) = 0 OR length({l}) = 0 THEN 0 {branches} ELSE NULL END)"
 
 
 def lcs(a: str, b: str) -> str:
