@@ -184,16 +184,32 @@ def weighted(w: Column, token: Column, edit: Column) -> Column:
     return w * token + (F.lit(1.0) - w) * edit
 
 
-def score_upper_bound(w: Column, la: Column, lb: Column, tokens_possible: Column) -> Column:
-    """An upper bound of the weighted score from lengths alone.
+def score_upper_bound(w: Column, la: Column, lb: Column, ta: Column, tb: Column, parts: dict[str, Column]) -> Column:
+    """An upper bound of the weighted score that needs no LCS.
 
-    The edit score cannot exceed ``200 min/(la+lb)``; the token score cannot
-    exceed 100 (0 when a token set is empty). Used to skip LCS work on pairs
-    that cannot reach the threshold; it never drops a pair that could.
+    * edit <= 200 min(la, lb) / (la + lb)  (LCS <= the shorter length);
+    * token: 0 with an empty token set, 100 when one difference is empty
+      and tokens are shared, else the two LCS-free terms exactly and, for
+      the diff term, LCS(x, y) <= min(|x|, |y|), i.e. indel >= ||x| - |y||.
+
+    Used to skip LCS work on pairs that cannot reach the threshold; it never
+    drops a pair that could.
     """
     total = la + lb
     edit_ub = F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * F.least(la, lb) / total)
-    token_ub = F.when(tokens_possible, F.lit(100.0)).otherwise(F.lit(0.0))
+    x_len, y_len = F.length(parts["x"]), F.length(parts["y"])
+    sect = parts["sect"]
+    gap = F.when(sect > 0, F.lit(1)).otherwise(F.lit(0))
+    sect_a = sect + gap + x_len
+    sect_b = sect + gap + y_len
+    diff_ub = _ratio(F.abs(x_len - y_len), sect_a + sect_b)
+    with_sect = F.greatest(diff_ub, _ratio(gap + x_len, sect + sect_a), _ratio(gap + y_len, sect + sect_b))
+    token_ub = (
+        F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
+        .when((parts["inter_n"] > 0) & ((parts["x"] == "") | (parts["y"] == "")), F.lit(100.0))
+        .when(sect == 0, diff_ub)
+        .otherwise(with_sect)
+    )
     return w * token_ub + (F.lit(1.0) - w) * edit_ub
 
 

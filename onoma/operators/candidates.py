@@ -41,19 +41,28 @@ def request_grams(requests: DataFrame, n: int = DEFAULT_NGRAM) -> DataFrame:
     return requests.select("request_id", F.explode(distinct_grams("q_norm", n)).alias("gram"))
 
 
-def candidate_ids(requests: DataFrame, index: DataFrame, n: int = DEFAULT_NGRAM) -> DataFrame:
-    """Union of postings per request (C2 + C3): distinct (request_id, id).
-
-    The probe shuffles on gram (AQE splits a gram partition that many requests
-    share); the result is then clustered by request_id once, which serves the
-    distinct, the cap window and the count without another exchange.
+def candidate_ids(requests: DataFrame, index: DataFrame, n: int = DEFAULT_NGRAM,
+                  max_candidates: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
+    """Union of postings per request, capped to the K lowest ids.
+
+    ``dense_rank() <= K`` over the raw probe result (duplicates included)
+    keeps exactly the rows whose id is among the K lowest distinct ids, so
+    the cap can run *before* the duplicates are removed. Spark plans it as a
+    WindowGroupLimit that trims every map task's rows before the shuffle on
+    request_id (a task's K lowest distinct ids contain its share of the
+    global K lowest). The distinct then reuses that partitioning.
     """
     hits = request_grams(requests, n).join(index, "gram").select("request_id", "id")
-    return hits.repartition("request_id").dropDuplicates(["request_id", "id"])
+    if max_candidates is not None:
+        by_id = Window.partitionBy("request_id").orderBy("id")
+        hits = hits.withColumn("_dr", F.dense_rank().over(by_id)).filter(F.col("_dr") <= F.lit(max_candidates)).drop("_dr")
+    else:
+        hits = hits.repartition("request_id")
+    return hits.dropDuplicates(["request_id", "id"])
 
 
 def cap_candidates(cands: DataFrame, max_candidates: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
-    """Keep the K lowest ids per request."""
+    """Keep the K lowest ids per request (C5) of an uncapped candidate set."""
     if max_candidates is None:
         return cands
     by_id = Window.partitionBy("request_id").orderBy("id")

@@ -34,16 +34,32 @@ def score_pairs(pairs: DataFrame, prune: bool = True) -> DataFrame:
     """
     q, k = F.col("q_norm"), F.col("normalized_name")
     tq, tk = F.col("q_tokens"), F.col("tokens")
+    if prune:
+        # Lengths alone first: drops pairs of very unequal length before any
+        # set operation runs on their token arrays.
+        w = F.col("w_token")
+        total = F.length(q) + F.length(k)
+        edit_ub = F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * F.least(F.length(q), F.length(k)) / total)
+        token_ub = F.when((F.size(tq) > 0) & (F.size(tk) > 0), F.lit(100.0)).otherwise(F.lit(0.0))
+        pairs = pairs.filter(w * token_ub + (F.lit(1.0) - w) * edit_ub >= F.col("threshold") - F.lit(_BOUND_SLACK))
     parts = token_parts(tq, tk)
+    # The set pieces are computed once here; ``spark_partition_id`` (a cheap
+    # non-deterministic column) keeps the optimizer from pushing the bound
+    # filter below this projection, which would inline each set operation
+    # several times into the filter.
     df = pairs.withColumns(
-        {"_inter_n": parts["inter_n"], "_x": parts["x"], "_y": parts["y"], "_sect": parts["sect"]}
+        {
+            "_inter_n": parts["inter_n"],
+            "_x": parts["x"],
+            "_y": parts["y"],
+            "_sect": parts["sect"],
+            "_barrier": F.spark_partition_id(),
+        }
     )
+    cols = {"inter_n": F.col("_inter_n"), "x": F.col("_x"), "y": F.col("_y"), "sect": F.col("_sect")}
     if prune:
-        bound = score_upper_bound(
-            F.col("w_token"), F.length(q), F.length(k), (F.size(tq) > 0) & (F.size(tk) > 0)
-        )
+        bound = score_upper_bound(F.col("w_token"), F.length(q), F.length(k), tq, tk, cols)
         df = df.filter(bound >= F.col("threshold") - F.lit(_BOUND_SLACK))
-    cols = {"inter_n": F.col("_inter_n"), "x": F.col("_x"), "y": F.col("_y"), "sect": F.col("_sect")}
     need = token_needs_lcs(tq, tk, cols)
     df = df.withColumns(
         {
@@ -58,4 +74,4 @@ def score_pairs(pairs: DataFrame, prune: bool = True) -> DataFrame:
         }
     )
     df = df.withColumn("similarity_raw", weighted(F.col("w_token"), F.col("token_raw"), F.col("edit_raw")))
-    return df.drop("_inter_n", "_x", "_y", "_sect", "_lcs_edit", "_lcs_tok")
+    return df.drop("_inter_n", "_x", "_y", "_sect", "_barrier", "_lcs_edit", "_lcs_tok")

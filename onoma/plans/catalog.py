@@ -140,7 +140,7 @@ def _capped(spark, sf, max_candidates=C.DEFAULT_MAX_CANDIDATES):
     recs = prepare_names(doc_names(spark, sf))
     reqs = prepare_requests(bench_requests(spark, sf))
     index = C.gram_index(recs, max_candidates=max_candidates)
-    return C.cap_candidates(C.candidate_ids(reqs, index), max_candidates)
+    return C.candidate_ids(reqs, index, max_candidates=max_candidates)
 
 
 def q_candidates(spark, sf):

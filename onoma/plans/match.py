@@ -8,8 +8,8 @@ Plan shape (see ``explain`` in the tests):
    and the candidate count;
 3. un-hit requests take the fallback branch (every record), unioned before
    scoring so the common path never pays for it;
-4. records join the pairs on ``id`` (broadcast when the record table is
-   counted under the bound, else a shuffle join);
+4. records join the pairs on ``id`` (a shuffle join; AQE broadcasts the
+   record side only when its measured shuffle output is small);
 5. scores are native columns around one vectorised LCS kernel, after a
    length-only bound has dropped pairs that cannot reach the threshold;
 6. threshold, ``row_number`` ranking and per-request limit (WindowGroupLimit
@@ -28,7 +28,6 @@ from onoma.functions.normalize import normalize_name
 from onoma.operators.candidates import (
     DEFAULT_MAX_CANDIDATES,
     DEFAULT_NGRAM,
-    cap_candidates,
     candidate_counts,
     candidate_ids,
     fallback_pairs,
@@ -48,7 +47,10 @@ class MatchConfig:
     ngram_n: int = DEFAULT_NGRAM
     max_candidates: int | None = DEFAULT_MAX_CANDIDATES
     prune: bool = True
-    broadcast_names: bool = True
+    # A row count does not bound bytes (a record can be a long text), so the
+    # record side is a shuffle join unless the caller knows it is small; AQE
+    # still turns it into a broadcast from measured shuffle sizes.
+    broadcast_names: bool = False
 
 
 @dataclass
@@ -78,7 +80,7 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
     if index is None:
         index = gram_index(recs, cfg.ngram_n, cfg.max_candidates)
 
-    capped = cap_candidates(candidate_ids(reqs, index, cfg.ngram_n), cfg.max_candidates)
+    capped = candidate_ids(reqs, index, cfg.ngram_n, cfg.max_candidates)
     counts = candidate_counts(capped)
 
     rec_side = broadcast_if_small(recs)[0] if cfg.broadcast_names else recs
