@@ -7,7 +7,9 @@ checked against it in the tests).
 
 from __future__ import annotations
 
-from onoma.plans.oracle_sql import grams, lcs, norm, pyround, segments_sql, tokens
+from onoma.functions.fold_tables import whitespace_chars
+from onoma.operators.profile import accent_chars
+from onoma.plans.oracle_sql import _re2_class, grams, lcs, norm, pyround, segments_sql, tokens
 
 K = 2000
 
@@ -125,6 +127,68 @@ def _p95(col: str) -> str:
     )
 
 
+def _profile_sql() -> str:
+    ws = _re2_class(whitespace_chars())
+    titles = "|".join(t.replace("i", "[iı]") for t in __import__("onoma.functions.normalize", fromlist=["TITLES"]).TITLES)
+    acc = accent_chars().replace("'", "''")
+    folded = f"strip_accents(lower(regexp_replace(full_name, '^{ws}+', '')))"
+    flags = (
+        f"SELECT length(translate(full_name, '{acc}', '')) < length(full_name) AS accent, "
+        f"regexp_matches({folded}, '(?i)^(?:{titles})\\.?{ws}+') AS title, "
+        f"regexp_matches({folded}, '[^a-zA-Z{ws[1:-1]}]') AS symbol, "
+        f"regexp_matches(full_name, '^{ws}|{ws}$|{ws}{{2}}') AS space, {norm('full_name')} AS key FROM ({DOC_SEG})"
+    )
+    share = lambda c: pyround(f"CASE WHEN rows = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({c} AS DOUBLE) / CAST(rows AS DOUBLE) END", 4)
+    return (
+        f"WITH f AS ({flags}), c AS (SELECT count(*) AS rows, count(*) FILTER (WHERE accent) AS with_accents, "
+        "count(*) FILTER (WHERE title) AS with_titles, count(*) FILTER (WHERE symbol) AS with_symbols, "
+        "count(*) FILTER (WHERE space) AS with_extra_spaces, count(*) FILTER (WHERE key = '') AS empty_keys, "
+        "count(DISTINCT CASE WHEN key <> '' THEN key END) AS distinct_keys FROM f), "
+        "d AS (SELECT *, rows - empty_keys - distinct_keys AS duplicate_rows FROM c) "
+        f"SELECT *, {share('with_accents')} AS with_accents_share, {share('with_titles')} AS with_titles_share, "
+        f"{share('with_symbols')} AS with_symbols_share, {share('with_extra_spaces')} AS with_extra_spaces_share, "
+        f"{share('duplicate_rows')} AS duplicate_rows_share FROM d"
+    )
+
+
+def _summary_sql(names: str, requests: str) -> str:
+    """Per request: q, candidate_count (all records on fallback), hits and tie counters."""
+    return f"""WITH {_scored_ctes(names, requests)},
+disp AS (SELECT request_id, {pyround('sim', 2)} AS s2, {pyround('tok', 2)} AS t2, {pyround('edit', 2)} AS e2
+         FROM ranked WHERE rnk <= lim AND rnk <= 100),
+grp AS (SELECT request_id, s2, count(DISTINCT t2) AS nt, count(DISTINCT e2) AS ne FROM disp GROUP BY request_id, s2 HAVING count(*) > 1),
+ties AS (SELECT request_id, count(*) AS tie_groups, count(*) FILTER (WHERE nt > 1) AS by_token,
+         count(*) FILTER (WHERE nt <= 1 AND ne > 1) AS by_edit, count(*) FILTER (WHERE nt <= 1 AND ne <= 1) AS by_id FROM grp GROUP BY request_id),
+nh AS (SELECT request_id, count(*) AS n_hits FROM disp GROUP BY request_id)
+SELECT r.request_id, r.q, r.threshold, r.lim, r.w_token, r.explain,
+       coalesce(c.candidate_count, (SELECT count(*) FROM names)) AS candidate_count, coalesce(nh.n_hits, 0) AS n_hits,
+       coalesce(t.tie_groups, 0) AS tie_groups, coalesce(t.by_token, 0) AS by_token, coalesce(t.by_edit, 0) AS by_edit, coalesce(t.by_id, 0) AS by_id
+FROM req r LEFT JOIN counts c USING (request_id) LEFT JOIN nh USING (request_id) LEFT JOIN ties t USING (request_id)"""
+
+
+def _match_log_ties_sql() -> str:
+    share = lambda c: pyround(f"CASE WHEN g = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({c} AS DOUBLE) / CAST(g AS DOUBLE) END", 4)
+    return (
+        f"WITH s AS ({_summary_sql(DOC_NAMES, DEFAULT_REQ)}), "
+        "m AS (SELECT s.*, request_id > min(request_id) OVER (PARTITION BY q, threshold, lim, w_token, explain) AS is_repeat FROM s), "
+        "t AS (SELECT coalesce(sum(tie_groups), 0) AS g, coalesce(sum(by_token), 0) AS bt, coalesce(sum(by_edit), 0) AS be, "
+        "coalesce(sum(by_id), 0) AS bi FROM m WHERE NOT is_repeat) "
+        f"SELECT g AS tie_groups_total, {share('bt')} AS resolved_by_token_pct, {share('be')} AS resolved_by_edit_pct, "
+        f"{share('bi')} AS resolved_by_id_pct FROM t"
+    )
+
+
+def _mode_comparison_sql() -> str:
+    dedup = f"SELECT id, full_name, normalized_name AS k FROM ({_dedupe_sql(DOC_NAMES)})"
+    parts = []
+    for mode, names in (("original", DOC_NAMES), ("standardized", DOC_NAMES), ("standardized+dedupe", dedup)):
+        parts.append(
+            f"SELECT '{mode}' AS mode, count(*) AS requests, sum(candidate_count) AS candidates, sum(n_hits) AS hits "
+            f"FROM ({_summary_sql(names, DEFAULT_REQ)})"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def ORACLES() -> dict[str, str]:  # noqa: N802
     q: dict[str, str] = {}
     q["normalize_documents"] = f"SELECT id, full_name, k AS normalized_name FROM ({DOC_NAMES})"
@@ -202,4 +266,7 @@ def ORACLES() -> dict[str, str]:  # noqa: N802
         "count(*) AS records FROM part WHERE p_name IS NOT NULL"
     )
     q["stream_match"] = q["match_topk"]
+    q["name_profile"] = _profile_sql()
+    q["match_log_ties"] = _match_log_ties_sql()
+    q["mode_comparison"] = _mode_comparison_sql()
     return q
