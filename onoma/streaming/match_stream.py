@@ -27,12 +27,12 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig()):
+def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(), index: DataFrame | None = None):
     """The ``foreachBatch`` function: hits and log rows of one micro-batch."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        result = match(names, batch, cfg)
+        result = match(names, batch, cfg, index=index)
         result.hits.write.mode("overwrite").parquet(f"{out_dir}/hits/batch_id={batch_id}")
         reqs = prepare_requests(batch)
         rows = result.summary.join(
@@ -63,6 +63,22 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
     return write_batch
 
 
+def materialize_names(names: DataFrame, table_dir: str, cfg: MatchConfig = MatchConfig()) -> tuple[DataFrame, DataFrame]:
+    """Write the name table and its gram index once; every micro-batch reads them.
+
+    Written tables (not cached ones) cut the lineage, survive executor loss
+    and keep batches from rebuilding the index.
+    """
+    from onoma.operators.candidates import gram_index
+    from onoma.plans.match import prepare_names
+
+    spark = names.sparkSession
+    names.select("id", "full_name", "normalized_name").write.mode("overwrite").parquet(f"{table_dir}/names")
+    stored = spark.read.parquet(f"{table_dir}/names")
+    gram_index(prepare_names(stored), cfg.ngram_n, cfg.max_candidates).write.mode("overwrite").parquet(f"{table_dir}/index")
+    return stored, spark.read.parquet(f"{table_dir}/index")
+
+
 def start_match_stream(
     spark: SparkSession,
     names: DataFrame,
@@ -74,9 +90,10 @@ def start_match_stream(
     files_per_batch: int = 1,
 ):
     """Start the stream over parquet request files arriving in ``request_dir``."""
+    stored, index = materialize_names(names, f"{out_dir}/_tables", cfg)
     stream = spark.readStream.schema(request_schema).option("maxFilesPerTrigger", files_per_batch).parquet(request_dir)
     return (
-        stream.writeStream.foreachBatch(batch_writer(names, out_dir, cfg))
+        stream.writeStream.foreachBatch(batch_writer(stored, out_dir, cfg, index))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(processingTime="0 seconds")
         .start()

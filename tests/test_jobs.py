@@ -154,6 +154,7 @@ def test_stream_equals_batch(spark):
     from onoma.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    streamed = {tuple(r) for r in catalog.q_stream_match(spark, sf).collect()}
-    batch = {tuple(r) for r in catalog.q_match_topk(spark, sf).select(*catalog.q_stream_match(spark, sf).columns).collect()}
+    stream_df = catalog.q_stream_match(spark, sf)
+    streamed = {tuple(r) for r in stream_df.collect()}
+    batch = {tuple(r) for r in catalog.q_match_topk(spark, sf).select(*stream_df.columns).collect()}
     assert streamed == batch and streamed
