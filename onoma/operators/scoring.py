@@ -41,6 +41,16 @@ def score_pairs(pairs: DataFrame, prune: bool = True) -> DataFrame:
         total = F.length(q) + F.length(k)
         edit_ub = F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * F.least(F.length(q), F.length(k)) / total)
         token_ub = F.when((F.size(tq) > 0) & (F.size(tk) > 0), F.lit(100.0)).otherwise(F.lit(0.0))
+        if "q_tokens_len" in pairs.columns and "tokens_len" in pairs.columns:
+            # With no shared token the token score is the diff ratio of the two
+            # joined token strings, at most 100 - 100 |lx - ly| / (lx + ly).
+            lx, ly = F.col("q_tokens_len"), F.col("tokens_len")
+            no_shared = F.lit(100.0) - F.lit(100.0) * F.abs(lx - ly) / (lx + ly)
+            token_ub = (
+                F.when((F.size(tq) == 0) | (F.size(tk) == 0), F.lit(0.0))
+                .when(F.arrays_overlap(tq, tk), F.lit(100.0))
+                .otherwise(no_shared)
+            )
         pairs = pairs.filter(w * token_ub + (F.lit(1.0) - w) * edit_ub >= F.col("threshold") - F.lit(_BOUND_SLACK))
     parts = token_parts(tq, tk)
     # The set pieces are computed once here; ``spark_partition_id`` (a cheap

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +59,30 @@ class MatchResult:
     hits: DataFrame
     display: DataFrame
     summary: DataFrame
+    records: DataFrame  # persisted standardised records; ``unpersist()`` when done
 
 
 def prepare_names(names: DataFrame) -> DataFrame:
     """(id, full_name, normalized_name, tokens)."""
-    return names.select("id", "full_name", "normalized_name", token_set("normalized_name").alias("tokens"))
+    out = names.select("id", "full_name", "normalized_name", token_set("normalized_name").alias("tokens"))
+    return out.withColumn("tokens_len", F.length(F.array_join("tokens", " ")))
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Requests with defaults, ``q_norm`` and ``q_tokens``."""
     reqs = with_request_defaults(requests)
     reqs = reqs.withColumn("q_norm", normalize_name("name"))
-    return reqs.withColumn("q_tokens", token_set("q_norm"))
+    reqs = reqs.withColumn("q_tokens", token_set("q_norm"))
+    return reqs.withColumn("q_tokens_len", F.length(F.array_join("q_tokens", " ")))
 
 
 def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(), index: DataFrame | None = None) -> MatchResult:
     """Match requests ``(request_id, name, [threshold, limit, w_token, explain, include_by_id])``
     against standardised ``names`` ``(id, full_name, normalized_name)``."""
-    recs = prepare_names(names)
+    # The standardised records feed the index and the pair join through
+    # different exchanges; persisting them (memory, then disk; recomputed if
+    # an executor is lost) standardises each record once.
+    recs = prepare_names(names).persist(StorageLevel.MEMORY_AND_DISK)
     reqs = prepare_requests(requests)
     if index is None:
         index = gram_index(recs, cfg.ngram_n, cfg.max_candidates)
@@ -89,7 +96,7 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
     fallback = fallback_pairs(fallback_requests(reqs, counts), recs, small_batch)
     pairs = indexed.unionByName(fallback)
 
-    request_cols = reqs.select("request_id", "q_norm", "q_tokens", "threshold", "limit", "w_token", "explain")
+    request_cols = reqs.select("request_id", "q_norm", "q_tokens", "q_tokens_len", "threshold", "limit", "w_token", "explain")
     scored = score_pairs(pairs.join(request_cols, "request_id"), cfg.prune)
     display = with_display_scores(rank_hits(scored))
     hits = project_hits(display)
@@ -110,7 +117,7 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
             *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("tie_groups", "by_token", "by_edit", "by_id")],
         )
     )
-    return MatchResult(hits=hits, display=display, summary=summary)
+    return MatchResult(hits=hits, display=display, summary=summary, records=recs)
 
 
 def match_distinct(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
