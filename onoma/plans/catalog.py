@@ -34,10 +34,10 @@ from onoma.operators.querylog import (
 )
 from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
 from onoma.operators.standardize import standardize
-from onoma.plans.match import MatchConfig, match, match_distinct, prepare_names, prepare_requests
+from onoma.plans.match import match, match_distinct, prepare_names, prepare_requests
 from onoma.session import ensure_checkpoint_dir
 from onoma.sources.store import load_report, upgrade_layout
-from onoma.sources.tables import column_names, read_table, segment_names, segment_requests, segments
+from onoma.sources.tables import column_names, read_table, segment_names, segment_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 

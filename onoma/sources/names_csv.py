@@ -52,8 +52,8 @@ def _read_positional(spark: SparkSession, path: str) -> tuple[DataFrame, list[st
 def read_names_strict(spark: SparkSession, path: str, mode: str = "original") -> DataFrame:
     """I1 + I4: ``(id, full_name, normalized_name)``; a missing id or name fails the load.
 
-    Per row the first non-empty aliased column wins. The failure check runs
-    one count over the file (``assert_complete``).
+    Per row the first non-empty aliased column wins. The failure check is
+    one bounded scan for a bad row.
     """
     body, header = _read_positional(spark, path)
 

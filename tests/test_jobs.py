@@ -1,7 +1,6 @@
 """Dedupe, loaders, query-log analytics, profile and streaming."""
 
 import os
-import subprocess
 import tempfile
 
 import pytest
