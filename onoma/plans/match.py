@@ -60,6 +60,7 @@ class MatchResult:
     display: DataFrame
     summary: DataFrame
     records: DataFrame  # persisted standardised records; ``unpersist()`` when done
+    counts: DataFrame  # (request_id, candidate_count) of requests that hit the index
 
 
 def prepare_names(names: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
             *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("tie_groups", "by_token", "by_edit", "by_id")],
         )
     )
-    return MatchResult(hits=hits, display=display, summary=summary, records=recs)
+    return MatchResult(hits=hits, display=display, summary=summary, records=recs, counts=counts)
 
 
 def match_distinct(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -33,6 +33,9 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         result = match(names, batch, cfg, index=index)
+        # hits and log rows share the ranked rows and the candidate counts
+        result.display.persist()
+        result.counts.persist()
         result.hits.write.mode("overwrite").parquet(f"{out_dir}/hits/batch_id={batch_id}")
         reqs = prepare_requests(batch)
         rows = result.summary.join(
@@ -59,6 +62,8 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
         first = pool.groupBy(*LOG_KEY).agg(F.min("seq").alias("_first"))
         marked = rows.join(first, LOG_KEY, "left").withColumn("is_repeat", F.col("seq") > F.col("_first")).drop("_first")
         marked.write.mode("overwrite").parquet(f"{out_dir}/log/batch_id={batch_id}")
+        result.display.unpersist()
+        result.counts.unpersist()
 
     return write_batch
 
