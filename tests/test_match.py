@@ -119,3 +119,21 @@ def test_index_plan_limits_before_shuffle(spark):
     names = standardize(segment_names(spark, SF))
     plan = gram_index(prepare_names(names))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_index_bounded_and_lowest_per_gram(spark):
+    """Trimmed postings: at most K ids per gram, and exactly the K lowest."""
+    names = prepare_names(standardize(segment_names(spark, SF)))
+    k = 20
+    trimmed = {}
+    for r in gram_index(names, max_candidates=k).collect():
+        trimmed.setdefault(r.gram, []).append(r.id)
+    full = {}
+    for r in gram_index(names, max_candidates=None).collect():
+        full.setdefault(r.gram, []).append(r.id)
+    assert set(trimmed) == set(full)
+    hot = 0
+    for gram, ids in full.items():
+        assert sorted(trimmed[gram]) == sorted(ids)[:k]
+        hot += len(ids) > k
+    assert hot > 0
