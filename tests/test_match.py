@@ -93,7 +93,7 @@ def test_index_trim_is_exact(spark):
 
 
 def test_brute_force_small_fixture(spark):
-    """Every request of sf0.001 against the plain definition (cap 2000 and uncapped)."""
+    """Every fourth request of sf0.001 against the plain definition, with caps 2000 and 300."""
     names = standardize(segment_names(spark, SF))
     reqs = segment_requests(spark, SF)
     recs = [(r.id, r.full_name, r.normalized_name) for r in names.collect()]
