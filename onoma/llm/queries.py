@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import hosts, mixing, rules, warc
+from onoma.llm import hosts, langid, licenses, mixing, pii, rules, warc
 from onoma.llm.common import prepare, read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    learned = docs.filter(~langid.held_out(F.col("doc_id")))
+    said = langid.predict(docs, langid.fit(learned))
+    return said.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", hosts.page_key(F.col("url")).alias("key"))
     outcomes = hosts.page_outcomes(read(spark, sf_dir, "labels"))
@@ -30,7 +45,10 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op1_language_id,
     op2_mixing,
+    op4_license_scan,
+    op5_pii,
     op6_url_filter,
     op7_quality_rules,
     op9_warc_derivatives,
