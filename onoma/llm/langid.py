@@ -27,8 +27,8 @@ from onoma.llm.common import map_rows
 SAMPLE_DOCS = 128
 PIECE_CHARS = 2000
 DICT_BYTES = 112 * 1024
-CHUNK_BYTES = 8 * 1024
-LEVEL = 3
+CHUNK_BYTES = 4 * 1024
+LEVEL = 5
 MIN_MARGIN = 0.02
 UNKNOWN = "und"
 

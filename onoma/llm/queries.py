@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import hosts, langid, licenses, mixing, pii, rules, warc
+from onoma.llm import hosts, kneser, langid, licenses, mixing, pii, rules, warc
 from onoma.llm.common import prepare, read
 
 
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_language_id,
     op2_mixing,
+    op3_quality_classifier,
     op4_license_scan,
     op5_pii,
     op6_url_filter,
