@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import hosts, kneser, langid, licenses, mixing, pii, rules, warc
+from onoma.llm import hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, warc
 from onoma.llm.common import prepare, read
 
 
@@ -44,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_groups(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_derivatives(warc.responses_from_pages(read(spark, sf_dir, "pages")))
 
@@ -56,6 +60,7 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op5_pii,
     op6_url_filter,
     op7_quality_rules,
+    op8_ngram_jaccard,
     op9_warc_derivatives,
 )
 
