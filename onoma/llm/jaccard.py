@@ -389,3 +389,9 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     return rows.join(least, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group: the one whose id names the component (repeated ids: one row)."""
+    groups = similarity_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi").dropDuplicates(["doc_id"])

@@ -150,3 +150,16 @@ def mix(docs: DataFrame) -> DataFrame:
 def _with_source(docs: DataFrame, small: DataFrame) -> DataFrame:
     r = small.withColumnRenamed("source", "_source")
     return docs.join(r, docs["source"].eqNullSafe(r["_source"])).drop("_source")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix (``taken`` above 0) with their columns and ``size, source_size, target, taken``.
+
+    Expects unique ids; of rows with one id, each gets the largest ``taken``.
+    """
+    m = mix(docs).groupBy(F.col("doc_id").alias("m_id")).agg(
+        *[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")]
+    )
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(
+        m.filter("taken > 0"), F.col("doc_id").eqNullSafe(F.col("m_id"))
+    ).drop("m_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, warc
+from onoma.llm import decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, warc
 from onoma.llm.common import prepare, read
 
 
@@ -52,6 +52,10 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_derivatives(warc.responses_from_pages(read(spark, sf_dir, "pages")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_language_id,
     op2_mixing,
@@ -62,6 +66,7 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op7_quality_rules,
     op8_ngram_jaccard,
     op9_warc_derivatives,
+    op10_decontamination,
 )
 
 
