@@ -114,7 +114,7 @@ MEASURES: dict[str, Callable[[Measures], object]] = {
     "n_lines": lambda m: len(m.lines),
     "n_dup_lines": lambda m: len(m.lines) - len(set(m.lines)),
     "n_repeat_words": _n_repeat_words,
-    "n_upper_words": lambda m: sum(map(str.isupper, m.text.split())),
+    "n_upper_words": lambda m: sum(map(bytes.isupper, m.words)),
     "n_stressed": lambda m: m.text.count("!"),
     "top_word_count": lambda m: max(Counter(m.words).values(), default=0),
 }
