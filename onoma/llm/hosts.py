@@ -34,6 +34,8 @@ RULES = (
 )
 HOT_SHARE = 1000
 MAX_BAD = 0.35
+#: Bad pages and pages assumed before any label.
+ALL_PRIOR = (1, 10)
 Z = 1.645
 #: Bounds of a prior's fitted strength, in pages.
 STRENGTH = (2.0, 1000.0)
@@ -117,11 +119,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn_"), F.sum("dk").alias("sk_"))
+    # before any label a page is bad with probability ALL_PRIOR[0] / ALL_PRIOR[1]
     whole = suffixes.agg(
-        ((F.sum("sk_") + 1) / (F.sum("sn_") + 2)).alias("all_mean")
+        ((F.coalesce(F.sum("sk_"), F.lit(0)) + ALL_PRIOR[0]) / (F.coalesce(F.sum("sn_"), F.lit(0)) + ALL_PRIOR[1])).alias("all_mean")
     )
     suffixes = suffixes.crossJoin(F.broadcast(whole))  # one row
-    suffixes = _shrunk(suffixes, "sn_", "sk_", F.coalesce("all_mean", F.lit(0.5))).select("suffix", F.col("post").alias("s_post"))
+    suffixes = _shrunk(suffixes, "sn_", "sk_", F.col("all_mean")).select("suffix", F.col("post").alias("s_post"))
     domains = _shrunk(domains.join(suffixes, "suffix"), "dn", "dk", F.col("s_post")).select("domain", F.col("post").alias("d_post"))
     hosts = _shrunk(hosts.join(domains, "domain"), "n", "k", F.col("d_post"))
     size = F.col("n") + F.col("strength")

@@ -100,7 +100,7 @@ v AS (
          (sn - snn / nullif(sn, 0)) / nullif(g - 1, 0) AS n0 FROM m),
 r AS (SELECT level, (msb - msw) / nullif(msb + (n0 - 1) * msw, 0) AS rho FROM v),
 st AS (SELECT level, CASE WHEN rho > 0 THEN greatest(least(1 / rho - 1, 1000.0), 2.0) ELSE 1000.0 END AS a FROM r),
-al AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS post FROM sf),
+al AS (SELECT (sum(k) + 1) / (sum(n) + 10) AS post FROM sf),
 sp AS (SELECT suffix, (k + a * post) / (n + a) AS post FROM sf, al, st WHERE level = 's'),
 dp AS (SELECT domain, (k + a * post) / (n + a) AS post FROM dm JOIN sp USING (suffix), st WHERE level = 'd'),
 hp AS (SELECT host, (k + a * post) / (n + a) AS post, n + a AS total FROM h JOIN dp USING (domain), st WHERE level = 'h'),
