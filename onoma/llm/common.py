@@ -21,10 +21,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows per Arrow batch: long documents stay a few MB per batch.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ensure_checkpoint_dir(spark)
 
 

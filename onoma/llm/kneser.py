@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 
 from onoma.llm.common import materialize, shared_path
 
-ORDER = 5
-CHUNK_BYTES = 16 << 20
+ORDER = 4
+CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 50_000
 QUANTILE = 0.995
 PRIOR = 64
@@ -111,7 +111,7 @@ def freeze(table: pa.Table) -> bytes:
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema) as w:
         w.write_table(table)
-    return zstandard.ZstdCompressor(level=5).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=7).compress(out.getvalue())
 
 
 def thaw(blob: bytes) -> pa.Table:
@@ -277,7 +277,7 @@ def probabilities(keys: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Data
     return (
         near.select(cols).unionByName(far.select(cols))
         .groupBy("key").agg(F.collect_list(step).alias("steps"))  # at most ORDER steps
-        .select("key", F.log(folded).alias("logp"))
+        .select("key", F.log(folded).cast("float").alias("logp"))
     )
 
 
@@ -300,7 +300,7 @@ def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Dat
                 if any(split):
                     keys = np.asarray(row["keys"].values)
                     order = np.argsort(keys)
-                    keys, logps = keys[order], np.asarray(row["logps"].values)[order]
+                    keys, logps = keys[order], np.asarray(row["logps"].values, np.float64)[order]
                 for fold in (0, 1):
                     distinct = list(set().union(*[ws for ws, f in zip(split, folds) if f == fold]))
                     if distinct:
