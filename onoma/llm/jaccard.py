@@ -21,11 +21,14 @@ an edge, where the larger also enters the lower band. Sets of at most 50 use
 single tokens only.
 
 Verification. Sharing a signature makes a candidate. ``link`` first verifies
-each node of a bucket against the bucket's smallest (hub rounds), then every
-pair of a bucket that still lies in different components, so no link between
-components is lost and groups of copies cost one check per member and hub,
-not one per pair. Checks compare the whole shingle sets. Components come from
-large-star/small-star rounds over written tables.
+each node of a bucket against the bucket's hub, the set with the largest
+shared part (hub rounds), then every pair of a bucket that still lies in
+different components, so no link between components is lost and groups of
+copies cost one check per member and hub, not one per pair. Those last pairs
+must first pass a parity bitmap: sets that link differ in at most a ninth of
+their sizes' sum, and the bits in which the bitmaps differ never exceed the
+tokens in which the sets differ. Checks compare the whole shingle sets.
+Components come from large-star/small-star rounds over written tables.
 
 Null texts and texts without words have an empty set, no links and their own
 id as component. Texts of fewer than five words have their whole word
@@ -51,7 +54,7 @@ FREQUENT = 24
 BITS = 27
 #: Upper edges of the size bands: 40, then times 4.
 FIRST_EDGE, EDGE_RATIO = 40, 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 FLUSH_TOKENS = 2_000_000
 DOCS_PER_SHARD = 8192
 
@@ -206,13 +209,21 @@ def _bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(tokens: np.ndarray, multi: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index entries of a set (sorted hashes; flags of its tokens)."""
+def parity(tokens: np.ndarray, band: int) -> np.ndarray:
+    """Bitmap of a band's width: the parity of the tokens that fall on each bit."""
+    width = 128 * EDGE_RATIO**band
+    bits = np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def signatures(tokens: np.ndarray, multi: np.ndarray, frequent: np.ndarray) -> dict[int, np.ndarray]:
+    """Index entries of a set by band (sorted hashes; flags of its tokens)."""
     n = len(tokens)
     need = n - (4 * n + 4) // 5 + 1
     kind = np.where(frequent, 2, np.where(multi, 1, 0))
-    out = []
+    by_band = {}
     for band, low in _bands(n):
+        out = []
         salt = np.array([2 * band], np.uint64)
         order = np.lexsort((tokens, kind))
         t, k = tokens[order], kind[order]
@@ -237,7 +248,8 @@ def signatures(tokens: np.ndarray, multi: np.ndarray, frequent: np.ndarray) -> n
                 a, b = rest[:-step][same], rest[step:][same]
                 out.append(_mix(_mix(a) * _MULT[2] + b + (salt + np.uint64(1)) * _MULT[3]))
                 step += 1
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        by_band[band] = np.unique(np.concatenate(out))
+    return by_band
 
 
 def _flags(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -246,11 +258,13 @@ def _flags(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, classes: tuple[bytes, bytes]) -> DataFrame:
-    """``doc_id, n, fp, sigs, body``: size, set fingerprint, index entries, compressed text.
+    """``doc_id, n, fp, lists, body``: size, set fingerprint, entries and bitmap by band, compressed text.
 
     ``body`` is there only for documents with entries, which alone can link.
     """
     maps = docs.sparkSession.sparkContext.broadcast(classes)  # two bitmaps of fixed size
+    schema = "doc_id long, n long, fp long, lists array<struct<band:int,sigs:array<long>,bits:array<long>>>, body binary"
+    lists = pa.list_(pa.struct([("band", pa.int32()), ("sigs", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -261,19 +275,18 @@ def sketch(docs: DataFrame, classes: tuple[bytes, bytes]) -> DataFrame:
             rows: tuple[list, ...] = ([], [], [], [])
             for text in b.column(1).to_pylist():
                 tokens = shingles(text, hashes)
-                sigs = signatures(tokens, _flags(multi, tokens), _flags(frequent, tokens)) if len(tokens) else tokens
+                got = signatures(tokens, _flags(multi, tokens), _flags(frequent, tokens)) if len(tokens) else {}
+                got = [{"band": k, "sigs": v.view(np.int64), "bits": parity(tokens, k)} for k, v in got.items() if len(v)]
                 rows[0].append(len(tokens))
                 rows[1].append(fingerprint(tokens) if len(tokens) else None)
-                rows[2].append(sigs.view(np.int64))
-                rows[3].append(press.compress(text.encode("utf-8", "surrogatepass")) if len(sigs) else None)
+                rows[2].append(got)
+                rows[3].append(press.compress(text.encode("utf-8", "surrogatepass")) if got else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())],
-                ["doc_id", "n", "fp", "sigs", "body"],
+                [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], lists), pa.array(rows[3], pa.binary())],
+                ["doc_id", "n", "fp", "lists", "body"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, fp long, sigs array<long>, body binary"
-    )
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 # ---- links ----------------------------------------------------------------
@@ -337,35 +350,48 @@ def _comparable(m: str, n: str):
 def link(sketches: DataFrame) -> DataFrame:
     """``fp, comp`` of the nodes that link with another; see the module's text."""
     spark = sketches.sparkSession
-    nodes = sketches.filter(F.size("sigs") > 0)
+    nodes = sketches.filter(F.size("lists") > 0)
     nodes = materialize(
         nodes.join(nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), ["fp", "doc_id"])
-        .dropDuplicates(["fp"]).select("fp", "n", "sigs", "body"),
+        .dropDuplicates(["fp"]).select("fp", "n", "lists", "body"),
         "nodes",
     )
-    entries = nodes.select("fp", "n", F.explode("sigs").alias("sig"))
+    listed = nodes.select("fp", "n", F.inline("lists"))
+    entries = listed.select("fp", "n", "band", F.explode("sigs").alias("sig"))
     shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
     entries = materialize(entries.join(shared, "sig"), "entries")
+    # A set whose prefix is all shared is what the others were copied from, or the nearest to it.
+    weights = entries.groupBy("fp", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("weight")).drop("n")
+    entries = materialize(entries.join(weights, "fp"), "entries")
     bodies = nodes.select("fp", "body")
     edges = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     done = edges
     for turn in range(HUB_ROUNDS + 1):
         open_ = entries.join(comps, entries["fp"] == comps["node"], "left").select(
-            "sig", "fp", "n", F.coalesce("comp", "fp").alias("comp")
+            "sig", "band", "fp", "n", "weight", F.coalesce("comp", "fp").alias("comp")
         )
-        span = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+        span = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
         open_ = open_.join(span, "sig")
         if turn < HUB_ROUNDS:
-            # the smallest node of the bucket's smallest (next round: largest) component is its hub
-            pick = "lo" if turn % 2 == 0 else "hi"
-            hubs = open_.filter(F.col("comp") == F.col(pick)).groupBy("sig").agg(F.min(F.struct("fp", "n", "comp")).alias("hub"))
+            best = F.max(F.struct("weight", "n", "fp", "comp")).alias("hub")
+            hubs = open_.groupBy("sig").agg(best)
+            for _ in range(turn):
+                # the next hub of a bucket lies outside the component of the one before
+                rest = open_.join(hubs, "sig").filter(F.col("comp") != F.col("hub.comp"))
+                hubs = rest.drop("hub").groupBy("sig").agg(best)
             pairs = open_.join(hubs, "sig").filter(F.col("comp") != F.col("hub.comp")).select(
                 F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.col("hub.n").alias("m"), "n"
             )
         else:
-            x, y = open_.select("sig", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c")), open_
-            pairs = x.join(y.select("sig", "fp", "n", "comp"), "sig").filter("a < fp and c != comp").select(
+            bits = listed.select("fp", "band", "bits").join(open_.select("fp", "band").distinct(), ["fp", "band"])
+            y = open_.join(bits, ["fp", "band"]).select("sig", "fp", "n", "comp", "bits")
+            x = y.select("sig", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("bits").alias("bits_a"))
+            differ = F.aggregate(
+                F.zip_with("bits_a", "bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k
+            )
+            near = (F.col("a") < F.col("fp")) & (F.col("c") != F.col("comp")) & _comparable("m", "n") & (9 * differ <= F.col("m") + F.col("n"))
+            pairs = x.withColumnRenamed("sig", "sig_a").join(y, (F.col("sig_a") == F.col("sig")) & near).select(
                 "a", F.col("fp").alias("b"), "m", "n"
             )
         pairs = pairs.filter(_comparable("m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
