@@ -2,7 +2,7 @@
 
 Steps, in this order (the order matters, see the tests):
 
-1. drop leading whitespace (any Unicode whitespace),
+1. drop whitespace at both ends (any Unicode whitespace),
 2. fold every character: lower-case, NFKD, drop combining marks
    (``translate`` for one-to-one folds and deletions, a literal map for the
    few characters that fold to several),
@@ -34,7 +34,7 @@ def _patterns() -> dict[str, str]:
     # ASCII-only (?i) does not, so the alternative is spelled out.
     alternatives = "|".join(t.replace("i", "[iı]") for t in TITLES)
     return {
-        "leading_ws": f"^{ws}+",
+        "outer_ws": f"^{ws}+|{ws}+$",
         "title": f"(?i)^(?:{alternatives})\\.?{ws}+",
     }
 
@@ -51,8 +51,8 @@ def _expansion_map_sql() -> str:
     return f"map_from_arrays(array({keys}), array({values}))"
 
 
-def strip_leading_space(c: Column) -> Column:
-    return F.regexp_replace(c, _patterns()["leading_ws"], "")
+def strip_space(c: Column) -> Column:
+    return F.regexp_replace(c, _patterns()["outer_ws"], "")
 
 
 def fold(c: Column) -> Column:
@@ -86,4 +86,4 @@ def letters_only(c: Column) -> Column:
 def normalize_name(c: Column | str) -> Column:
     """The strict standard key of a full name."""
     col = F.col(c) if isinstance(c, str) else c
-    return letters_only(strip_title(fold(strip_leading_space(col))))
+    return letters_only(strip_title(fold(strip_space(col))))

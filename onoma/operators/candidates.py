@@ -1,14 +1,12 @@
-"""Inverted gram index and candidate generation.
+"""Inverted gram index and candidate generation.
 
-Posting trim (exact). With a cap of K candidates per request, the survivors
-are the K lowest ids of the union of the request's postings. Those K ids all
-lie within the K lowest ids of their own posting lists, and a list that was
-cut holds K ids by itself, so keeping only the K lowest ids per gram changes
-neither the capped candidates nor their count. The index is therefore bounded
-by (distinct grams x K) rows whatever the table size, and the per-gram
-``row_number() <= K`` is planned as a WindowGroupLimit that trims each map
-task's rows *before* the shuffle, so a hot gram (``ana``, ``the``) never ships
-more than K ids per map task.
+The index holds every posting. A caller may cap the candidates of a request
+at the K lowest ids (``max_candidates``); nothing is capped unless asked for.
+
+The match job itself does not join on grams: a common gram pairs nearly every
+request with nearly every key, so it takes the request batch in blocks past
+the distinct keys instead (``onoma.operators.probe``). The index serves
+lookups of few requests and the capped mode.
 """
 
 from __future__ import annotations
@@ -18,22 +16,12 @@ from pyspark.sql import functions as F
 
 from onoma.functions.grams import distinct_grams
 
-# Fixed value: the reference's default cap of candidates per request.
-DEFAULT_MAX_CANDIDATES = 2000
 DEFAULT_NGRAM = 3
 
 
-def gram_index(names: DataFrame, n: int = DEFAULT_NGRAM, max_candidates: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
-    """(gram, id): each distinct gram of each key; trimmed to K lowest ids per gram."""
-    postings = names.select("id", F.explode(distinct_grams("normalized_name", n)).alias("gram"))
-    if max_candidates is None:
-        return postings.select("gram", "id")
-    by_id = Window.partitionBy("gram").orderBy("id")
-    return (
-        postings.withColumn("_rn", F.row_number().over(by_id))
-        .filter(F.col("_rn") <= F.lit(max_candidates))
-        .select("gram", "id")
-    )
+def gram_index(names: DataFrame, n: int = DEFAULT_NGRAM) -> DataFrame:
+    """(gram, id): each distinct gram of each key."""
+    return names.select(F.explode(distinct_grams("normalized_name", n)).alias("gram"), "id")
 
 
 def request_grams(requests: DataFrame, n: int = DEFAULT_NGRAM) -> DataFrame:
@@ -41,63 +29,24 @@ def request_grams(requests: DataFrame, n: int = DEFAULT_NGRAM) -> DataFrame:
     return requests.select("request_id", F.explode(distinct_grams("q_norm", n)).alias("gram"))
 
 
-def candidate_ids(requests: DataFrame, index: DataFrame, n: int = DEFAULT_NGRAM,
-                  max_candidates: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
-    """Union of postings per request, capped to the K lowest ids.
+def candidate_ids(requests: DataFrame, index: DataFrame, n: int = DEFAULT_NGRAM, max_candidates: int | None = None) -> DataFrame:
+    """(request_id, id): union of the postings of a request's grams.
 
-    ``dense_rank() <= K`` over the raw probe result (duplicates included)
-    keeps exactly the rows whose id is among the K lowest distinct ids, so
-    the cap can run *before* the duplicates are removed. Spark plans it as a
-    WindowGroupLimit that trims every map task's rows before the shuffle on
-    request_id (a task's K lowest distinct ids contain its share of the
-    global K lowest). The distinct then reuses that partitioning.
+    Postings of grams that no request has are dropped before any shuffle when
+    the batch's grams are few (AQE decides from their measured size). A gram
+    that many keys and requests share is split by AQE's skew join. With
+    ``max_candidates`` the K lowest ids per request are kept (C5):
+    ``dense_rank`` over the raw rows trims each map task before its shuffle.
     """
-    hits = request_grams(requests, n).join(index, "gram").select("request_id", "id")
+    grams = request_grams(requests, n)
+    index = index.join(grams.select("gram").distinct(), "gram", "left_semi")
+    hits = grams.join(index, "gram").select("request_id", "id")
     if max_candidates is not None:
         by_id = Window.partitionBy("request_id").orderBy("id")
         hits = hits.withColumn("_dr", F.dense_rank().over(by_id)).filter(F.col("_dr") <= F.lit(max_candidates)).drop("_dr")
-    else:
-        hits = hits.repartition("request_id")
     return hits.dropDuplicates(["request_id", "id"])
 
 
-def cap_candidates(cands: DataFrame, max_candidates: int | None = DEFAULT_MAX_CANDIDATES) -> DataFrame:
-    """Keep the K lowest ids per request (C5) of an uncapped candidate set."""
-    if max_candidates is None:
-        return cands
-    by_id = Window.partitionBy("request_id").orderBy("id")
-    return (
-        cands.withColumn("_rn", F.row_number().over(by_id))
-        .filter(F.col("_rn") <= F.lit(max_candidates))
-        .drop("_rn")
-    )
-
-
-def candidate_counts(capped: DataFrame) -> DataFrame:
+def candidate_counts(cands: DataFrame) -> DataFrame:
     """(request_id, candidate_count) for requests that hit the index."""
-    return capped.groupBy("request_id").agg(F.count(F.lit(1)).alias("candidate_count"))
-
-
-def fallback_requests(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """Requests sharing no gram with any key (C4, first half)."""
-    return requests.join(counts.select("request_id"), "request_id", "left_anti")
-
-
-def fallback_pairs(fallback: DataFrame, names: DataFrame, broadcast: bool) -> DataFrame:
-    """Every record for each un-hit request (C4), uncapped as specified.
-
-    This is the one place where a request meets every record: the
-    specification scores an un-hit request against the whole table. Un-hit
-    requests are a subset of the request batch; when the batch was counted
-    under the broadcast bound they are the broadcast side and the records
-    stream past them with no shuffle of the records.
-    """
-    side = fallback.select("request_id")
-    if broadcast:
-        side = F.broadcast(side)
-    return side.crossJoin(names)
-
-
-def name_count(names: DataFrame) -> DataFrame:
-    """One row: the record count, the candidate count of a fallback request."""
-    return names.agg(F.count(F.lit(1)).alias("all_records"))
+    return cands.groupBy("request_id").agg(F.count(F.lit(1)).alias("candidate_count"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onoma.functions.fold_tables import fold_tables, java_char_class, whitespace_chars
-from onoma.functions.normalize import fold, normalize_name, strip_leading_space, strip_title
+from onoma.functions.normalize import fold, normalize_name, strip_space, strip_title
 from onoma.functions.similarity import py_round
 
 
@@ -46,7 +46,7 @@ def profile_names(names: DataFrame) -> DataFrame:
     """One row of counts and shares over ``(id, full_name)``."""
     name = F.col("full_name")
     ws = java_char_class(whitespace_chars())
-    folded = fold(strip_leading_space(name))
+    folded = fold(strip_space(name))
     flags = names.select(
         (F.length(F.translate(name, accent_chars(), "")) < F.length(name)).alias("accent"),
         (strip_title(folded) != folded).alias("title"),

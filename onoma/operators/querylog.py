@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onoma.functions.similarity import py_round
+from onoma.session import materialize
 
 # Size of the rolling sample, number of top queries, and the
 # percentile reported.
@@ -64,37 +65,35 @@ def _pctl_position(n: F.Column) -> F.Column:
     return F.floor(F.lit(P95) * (n - F.lit(1)).cast("double")) + F.lit(1)
 
 
+def _sample_stats(log: DataFrame, last_n: int) -> DataFrame:
+    """One row: unrounded means and p95 of the newest ``last_n`` searches, from one sample."""
+    # The sample holds at most last_n rows, so these global orderings are bounded.
+    sample = last_searches(log, last_n).select(
+        F.col("latency_ms").alias("lat"),
+        F.col("candidate_count").cast("double").alias("cand"),
+        F.row_number().over(Window.orderBy(F.col("latency_ms").asc_nulls_first())).alias("lat_rn"),
+        F.row_number().over(Window.orderBy(F.col("candidate_count").asc_nulls_first())).alias("cand_rn"),
+        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
+    )
+    at = _pctl_position(F.col("n"))
+    return sample.agg(
+        F.coalesce(F.avg("lat"), F.lit(0.0)).alias("lat_avg"),
+        F.coalesce(F.max(F.when(F.col("lat_rn") == at, F.col("lat"))), F.lit(0.0)).alias("lat_p95"),
+        F.coalesce(F.avg("cand"), F.lit(0.0)).alias("cand_avg"),
+        F.coalesce(F.max(F.when(F.col("cand_rn") == at, F.col("cand"))), F.lit(0.0)).alias("cand_p95"),
+    )
+
+
+_ROLLING = (("latency_ms_avg", "lat_avg"), ("latency_ms_p95", "lat_p95"), ("candidates_avg", "cand_avg"), ("candidates_p95", "cand_p95"))
+
+
 def rolling_stats(log: DataFrame, last_n: int = LAST_N) -> DataFrame:
     """Mean and p95 of latency and candidates over the newest searches (M2, M3).
 
     p95 is the element at 0-based index int(0.95 * (n - 1)) of the sorted
     sample (no interpolation); 0.0 for an empty sample.
     """
-    sample = last_searches(log, last_n)
-    means = sample.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("latency_ms").alias("lat_avg"),
-        F.avg("candidate_count").alias("cand_avg"),
-    )
-    # The sample holds at most last_n rows, so these global orderings are bounded.
-    lat = sample.select(
-        F.col("latency_ms").alias("v"),
-        F.row_number().over(Window.orderBy(F.col("latency_ms").asc_nulls_first())).alias("rn"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
-    ).filter(F.col("rn") == _pctl_position(F.col("n")))
-    cand = sample.select(
-        F.col("candidate_count").cast("double").alias("v"),
-        F.row_number().over(Window.orderBy(F.col("candidate_count").asc_nulls_first())).alias("rn"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
-    ).filter(F.col("rn") == _pctl_position(F.col("n")))
-    lat_p95 = lat.agg(F.max("v")).scalar()
-    cand_p95 = cand.agg(F.max("v")).scalar()
-    return means.select(
-        py_round(F.coalesce(F.col("lat_avg"), F.lit(0.0)), 2).alias("latency_ms_avg"),
-        py_round(F.coalesce(lat_p95, F.lit(0.0)), 2).alias("latency_ms_p95"),
-        py_round(F.coalesce(F.col("cand_avg"), F.lit(0.0)), 2).alias("candidates_avg"),
-        py_round(F.coalesce(cand_p95, F.lit(0.0)), 2).alias("candidates_p95"),
-    )
+    return _sample_stats(log, last_n).select(*[py_round(F.col(raw), 2).alias(name) for name, raw in _ROLLING])
 
 
 def tie_shares(log: DataFrame) -> DataFrame:
@@ -127,16 +126,49 @@ def top_queries(log: DataFrame, k: int = TOP_K) -> DataFrame:
     )
 
 
-def metrics_summary(log: DataFrame, last_n: int = LAST_N) -> DataFrame:
-    """M1 + M2 + M3 + T3 in one row (M6)."""
-    totals = request_totals(log)
-    rolling = rolling_stats(log, last_n)
-    ties = tie_shares(log)
-    cols = []
-    for part in (totals, rolling, ties):
-        for name in part.columns:
-            cols.append(part.select(name).scalar().alias(name))
-    return log.sparkSession.range(1).select(*cols)
+def metrics_summary(log: DataFrame, last_n: int = LAST_N, report: DataFrame | None = None) -> DataFrame:
+    """The whole metrics record in one row (M6): totals, rolling figures, tie
+    shares, ``top_queries`` (list of query and count) and, when the one-row
+    load ``report`` (I10) is given, ``repo``.
+
+    The marked log is written once; totals and ties are one aggregate over it
+    and the rolling figures another.
+    """
+    log = materialize(log, "query-log")
+    searched = ~F.col("is_repeat")
+    totals = log.agg(
+        F.count(F.lit(1)).alias("total_requests"),
+        F.count_if("is_repeat").alias("total_cache_hits"),
+        *[F.coalesce(F.sum(F.when(searched, F.col(c))), F.lit(0)).alias(c) for c in TIE_COLUMNS],
+    )
+    top = top_queries(log).agg(F.array_sort(F.collect_list(F.struct("position", "query", "count"))).alias("top_queries"))  # TOP_K rows
+    parts = [totals, _sample_stats(log, last_n), top]
+    if report is not None:
+        parts.append(report.select(F.struct(*report.columns).alias("repo")))
+    # one-row frames side by side: each fills its own columns of a union
+    names = [(c, p.schema[c].dataType) for p in parts for c in p.columns]
+    rows = None
+    for p in parts:
+        row = p.select(*[(F.col(c) if c in p.columns else F.lit(None).cast(t)).alias(c) for c, t in names])
+        rows = row if rows is None else rows.unionByName(row)
+    one = rows.agg(*[F.any_value(c, True).alias(c) for c, _ in names])
+
+    def share(part: str, whole: str) -> F.Column:
+        return F.when(F.col(whole) == 0, F.lit(0.0)).otherwise(F.col(part) / F.col(whole))
+
+    one = one.withColumns(
+        {"_hit": share("total_cache_hits", "total_requests")} | {f"_{c}": share(c, "tie_groups") for c in TIE_COLUMNS[1:]}
+    )
+    return one.select(
+        "total_requests",
+        "total_cache_hits",
+        py_round(F.col("_hit"), 4).alias("cache_hit_rate"),
+        *[py_round(F.col(raw), 2).alias(name) for name, raw in _ROLLING],
+        F.col("tie_groups").alias("tie_groups_total"),
+        *[py_round(F.col(f"_{c}"), 4).alias(f"resolved_{c}_pct") for c in TIE_COLUMNS[1:]],
+        F.transform("top_queries", lambda q: F.struct(q["query"].alias("query"), q["count"].alias("count"))).alias("top_queries"),
+        *(["repo"] if report is not None else []),
+    )
 
 
 def log_from_events(events: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ HIT_COLUMNS = ["request_id", "rank", "id", "name", "similarity", "token_score",
 def rank_hits(scored: DataFrame) -> DataFrame:
     """Threshold on the raw score, order by (sim desc, token desc, edit desc, id asc), keep ``limit``.
 
-    ``limit`` is a per-request column capped at 100 by validation, so the
-    extra literal bound lets Spark plan a WindowGroupLimit that trims rows
-    before the shuffle on request_id.
+    ``limit`` is a per-request column that validation has found to be at most
+    ``MAX_LIMIT``; the literal bound lets Spark plan a WindowGroupLimit that
+    trims rows before the shuffle on request_id.
     """
     kept = scored.filter(F.col("similarity_raw") >= F.col("threshold"))
     order = Window.partitionBy("request_id").orderBy(
@@ -98,3 +98,14 @@ def payloads(hits: DataFrame, requests: DataFrame) -> DataFrame:
         results.alias("results"),
         F.when(F.col("include_by_id"), by_id).alias("results_by_id"),
     )
+
+
+def flat_payloads(lists: DataFrame) -> DataFrame:
+    """One row per listed hit: ``request_id, pos`` (from 1), the hit, and ``in_map``.
+
+    ``in_map`` tells whether the by-id map holds the same entry under the hit's id.
+    """
+    rows = lists.select("request_id", "results_by_id", F.posexplode("results").alias("pos", "hit"))
+    entry = F.try_element_at("results_by_id", F.col("hit.id"))
+    same = (entry["name"] == F.col("hit.name")) & (entry["similarity"] == F.col("hit.similarity"))
+    return rows.select("request_id", F.col("pos") + 1, "hit.*", F.coalesce(same, F.lit(False)).alias("in_map")).withColumnRenamed("(pos + 1)", "pos")

@@ -14,11 +14,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.functions.grams import distinct_grams
+from onoma.functions.grams import distinct_grams, token_set
+from onoma.functions.normalize import normalize_name
+from onoma.functions.similarity import py_round
 from onoma.operators import candidates as C
 from onoma.operators.dedupe import dedupe, dedupe_members, dedupe_report
 from onoma.operators.profile import profile_names
@@ -32,12 +35,15 @@ from onoma.operators.querylog import (
     tie_shares,
     top_queries,
 )
+from onoma.operators.ranking import flat_payloads, payloads
 from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
+from onoma.operators.scoring import score_pairs
 from onoma.operators.standardize import standardize
-from onoma.plans.match import match, match_distinct, prepare_names, prepare_requests
-from onoma.session import ensure_checkpoint_dir
-from onoma.sources.store import load_report, upgrade_layout
-from onoma.sources.tables import column_names, read_table, segment_names, segment_requests
+from onoma.plans.match import match, match_distinct, prepare_requests
+from onoma.session import ensure_checkpoint_dir, materialize
+from onoma.sources.names_csv import lenient_rows, strict_rows
+from onoma.sources.store import load_if_needed, load_report, read_names, upgrade_layout
+from onoma.sources.tables import SEGMENT_PATTERN, SEGMENT_STRIDE, column_names, read_table, segment_names, segment_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +69,7 @@ def bench_requests(spark: SparkSession, sf: str) -> DataFrame:
 def param_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark segments with per-request parameters derived from the segment id."""
     base = segment_requests(spark, sf).select("request_id", "name")
-    pos = F.col("request_id") % F.lit(100000)
+    pos = F.col("request_id") % F.lit(SEGMENT_STRIDE)
     return base.select(
         "request_id",
         "name",
@@ -136,15 +142,9 @@ def q_name_profile(spark, sf):
 
 # ---- C2-C6: candidates -----------------------------------------------------
 
-def _capped(spark, sf, max_candidates=C.DEFAULT_MAX_CANDIDATES):
-    recs = prepare_names(doc_names(spark, sf))
-    reqs = prepare_requests(bench_requests(spark, sf))
-    index = C.gram_index(recs, max_candidates=max_candidates)
-    return C.candidate_ids(reqs, index, max_candidates=max_candidates)
-
-
 def q_candidates(spark, sf):
-    return _capped(spark, sf)
+    """Every part name that shares a gram with a benchmark segment, from the stored postings."""
+    return C.candidate_ids(prepare_requests(bench_requests(spark, sf)), C.gram_index(part_names(spark, sf)))
 
 
 def q_candidate_counts(spark, sf):
@@ -153,12 +153,11 @@ def q_candidate_counts(spark, sf):
 
 
 def q_fallback(spark, sf):
-    """Requests from ``nation`` names: no segment shares a gram with them."""
+    """Requests from ``nation`` names: no part name shares a gram with them."""
     nations = read_table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("long").alias("request_id"), F.col("n_name").alias("name"), F.lit(0.0).alias("threshold")
+        F.col("n_nationkey").cast("long").alias("request_id"), F.col("n_name").alias("name"), F.lit(30.0).alias("threshold")
     )
-    res = match(part_names(spark, sf), nations)
-    return res.hits
+    return match(part_names(spark, sf), nations).hits
 
 
 # ---- S/R: the match job ----------------------------------------------------
@@ -189,12 +188,40 @@ def q_match_parts(spark, sf):
     return match_distinct(part_names(spark, sf), reqs)
 
 
+def payload_requests(spark, sf):
+    """Benchmark segments: every second explained, every third without the by-id map."""
+    pos = F.col("request_id") % F.lit(SEGMENT_STRIDE)
+    return segment_requests(spark, sf).withColumns({"explain": pos % 2 == 0, "include_by_id": pos % 3 != 0})
+
+
 def q_match_payload(spark, sf):
-    from onoma.operators.ranking import payloads
+    """Ordered lists and by-id maps, one row per listed hit."""
+    res = match(doc_names(spark, sf), payload_requests(spark, sf))
+    return flat_payloads(payloads(res.hits, res.requests))
 
-    reqs = bench_requests(spark, sf)
-    res = match(doc_names(spark, sf), reqs)
-    return payloads(res.hits, prepare_requests(reqs))
+
+def q_match_validated(spark, sf):
+    """Mixed valid and invalid requests from ``events`` over part names: one row per request."""
+    res = match(part_names(spark, sf), event_requests(spark, sf))
+    answered = res.summary.select("request_id", "candidate_count", "n_hits", F.lit(None).cast("string").alias("reason"))
+    return answered.unionByName(
+        res.rejected.select("request_id", F.lit(0).cast("long").alias("candidate_count"), F.lit(0).cast("long").alias("n_hits"), "reason")
+    )
+
+
+def q_pair_scores(spark, sf):
+    """Scores of given pairs: every part's name with its type and brand (S1-S3, no threshold)."""
+    part = read_table(spark, sf, "part")
+    pairs = part.select(
+        F.col("p_partkey").cast("long").alias("id"),
+        normalize_name("p_name").alias("normalized_name"),
+        normalize_name(F.concat_ws(" ", F.lit("ring"), "p_type", "p_brand")).alias("q_norm"),
+        F.lit(0.65).alias("w_token"),
+        F.lit(0.0).alias("threshold"),
+    ).withColumns({"tokens": token_set("normalized_name"), "q_tokens": token_set("q_norm")})
+    return score_pairs(pairs, prune=False).select(
+        "id", "q_norm", *[py_round(F.col(f"{c}_raw"), 2).alias(c) for c in ("token", "edit", "similarity")]
+    )
 
 
 def q_tie_stats(spark, sf):
@@ -235,39 +262,108 @@ def q_top_queries(spark, sf):
 
 
 def q_metrics_summary(spark, sf):
-    return metrics_summary(log_from_events(read_table(spark, sf, "events")))
+    """The whole record; the query list as text and the load report as columns."""
+    report = load_report(part_names(spark, sf), "parquet", "original", "part.parquet")
+    one = metrics_summary(log_from_events(read_table(spark, sf, "events")), report=report)
+    top = F.array_join(F.transform("top_queries", lambda q: F.concat(q["query"], F.lit("="), q["count"].cast("string"))), ", ")
+    return one.select(*[c for c in one.columns if c not in ("top_queries", "repo")], top.alias("top_queries"), "repo.*")
 
 
 def q_match_log_ties(spark, sf):
-    reqs = bench_requests(spark, sf)
-    res = match(doc_names(spark, sf), reqs)
-    return tie_shares(log_from_match(prepare_requests(reqs), res.summary))
+    res = match(doc_names(spark, sf), bench_requests(spark, sf))
+    return tie_shares(log_from_match(res.requests, res.summary))
 
 
 # ---- D5 / I: modes and loading ---------------------------------------------
 
+def clean_names(spark, sf):
+    """Raw names with a curated ``strict_key``: the key's words in order; empty for every fourth segment."""
+    raw = segment_names(spark, sf)
+    words = F.array_join(token_set(normalize_name("full_name")), " ")
+    return raw.withColumn("strict_key", F.when(F.col("id") % 4 == 0, F.lit("")).otherwise(words))
+
+
 def q_mode_comparison(spark, sf):
+    """Size, hits and ranking quality of the three dataset modes; the standardised ones use the stored key."""
     reqs = bench_requests(spark, sf)
-    raw = segment_names(spark, sf)
+    clean = clean_names(spark, sf)
     modes = {
-        "original": standardize(raw, "original"),
-        "standardized": standardize(raw, "standardized"),
-        "standardized+dedupe": dedupe(standardize(raw, "standardized")).drop("member_count"),
+        "original": standardize(clean, "original"),
+        "standardized": standardize(clean, "standardized"),
+        "standardized+dedupe": dedupe(standardize(clean, "standardized+dedupe")).drop("member_count"),
     }
     parts = []
     for mode, names in modes.items():
-        summ = match(names, reqs).summary
+        res = match(names, reqs)
+        first = res.display.filter("rank = 1").select("request_id", F.col("similarity").alias("top_similarity"))
         parts.append(
-            summ.agg(
+            res.summary.join(first, "request_id", "left").agg(
                 F.count(F.lit(1)).alias("requests"),
                 F.sum("candidate_count").alias("candidates"),
                 F.sum("n_hits").alias("hits"),
+                F.count_if(F.col("n_hits") > 0).alias("answered"),
+                F.count_if(F.col("top_similarity") == 100.0).alias("exact_first"),
             ).select(F.lit(mode).alias("mode"), "*")
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q_normalize_untrimmed(spark, sf):
+    """Titles before untrimmed segments, blank ones included: the trimming rules at both ends."""
+    docs = read_table(spark, sf, "documents")
+    segs = docs.select("doc_id", F.posexplode(F.split("text", SEGMENT_PATTERN)).alias("pos", "seg"))
+    titles = F.array(*[F.lit(t) for t in ("Dr.", "Ing", "prof.", "x", "\u00a0Lic.", "SRTA")])
+    name = F.concat(F.element_at(titles, (F.col("pos") % 6 + 1).cast("int")), F.lit(" "), F.col("seg"), F.lit("\t"))
+    return segs.select("doc_id", "pos", normalize_name(name).alias("normalized_name"))
+
+
+def _strict_body(spark, sf):
+    sup = read_table(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    body = sup.select(
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(key).alias("_c0"),
+        F.concat(F.lit("Dr. "), F.col("s_name")).alias("_c1"),
+        F.when(F.col("s_suppkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("KEY "), key)).alias("_c2"),
+        F.concat(key, F.lit(" ")).alias("_c3"),
+    )
+    return body, ["id", "Full Name", "strict_key", "ID "]
+
+
+def q_load_strict(spark, sf):
+    """Strict loader rules over ``supplier``: alias priority per row, keys normalised."""
+    return strict_rows(*_strict_body(spark, sf), "original")
+
+
+def q_load_strict_key(spark, sf):
+    """The same rows in the standardised mode: a stored key is used as is, an empty one recomputed."""
+    return strict_rows(*_strict_body(spark, sf), "standardized")
+
+
+def q_load_lenient(spark, sf):
+    """Lenient loader rules over ``customer``: bad ids, blank names and empty keys drop out."""
+    cust = read_table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string")
+    body = cust.select(
+        F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), key)).otherwise(F.concat(F.lit("\t"), key, F.lit(" "))).alias("_c0"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit(" \t")).when(F.col("c_custkey") % 13 == 0, F.lit("#12"))
+        .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" "), F.col("c_name"), F.lit("\t"))).alias("_c1"),
+        F.lit("ignored").alias("_c2"),
+    )
+    return lenient_rows(body, [" IDX", "Nombre ", "extra"])
+
+
+def q_store_reload(spark, sf):
+    """Load-if-empty over part names: loaded, kept, reloaded; rows scanned after each step."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    names = part_names(spark, sf)
+    steps = []
+    for step, force in (("first", False), ("again", False), ("forced", True)):
+        loaded = load_if_needed(spark, names, root, "original", force)
+        scan = read_names(spark, root, "original").agg(F.count(F.lit(1)).alias("records"))
+        steps.append(materialize(  # the next step replaces the files that this one reads
+            scan.select(F.lit(step).alias("step"), F.lit(loaded).cast("long").alias("loaded_rows"), "records"), "store-step"
+        ))
+    return reduce(DataFrame.unionByName, steps)
 
 
 def q_legacy_layout(spark, sf):
@@ -282,9 +378,8 @@ def q_load_report(spark, sf):
 
 # ---- ST: streaming ---------------------------------------------------------
 
-def q_stream_match(spark, sf):
-    """Benchmark requests arrive as parquet files; each micro-batch is matched."""
-    from onoma.streaming.match_stream import read_stream_hits, start_match_stream
+def _stream(spark, sf):
+    from onoma.streaming.match_stream import start_match_stream
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/stream-{uuid.uuid4().hex}"
@@ -297,7 +392,25 @@ def q_stream_match(spark, sf):
         query.processAllAvailable()
     finally:
         query.stop()
-    return read_stream_hits(spark, f"{run}/out")
+    return f"{run}/out"
+
+
+def q_stream_match(spark, sf):
+    """Benchmark requests arrive as parquet files; each micro-batch is matched."""
+    from onoma.streaming.match_stream import read_stream_hits
+
+    return read_stream_hits(spark, _stream(spark, sf))
+
+
+def q_stream_log(spark, sf):
+    """The log that the stream leaves, by query: whichever batch came first, one request of each searched."""
+    from onoma.streaming.match_stream import read_stream_log
+
+    log = read_stream_log(spark, _stream(spark, sf))
+    return log.groupBy("query_norm").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("is_repeat")).alias("searches"),
+        F.max("candidate_count").alias("candidate_count"), F.max("tie_groups").alias("tie_groups"),
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -333,4 +446,12 @@ QUERIES: dict[str, Query] = {
     "legacy_layout": q_legacy_layout,
     "load_report": q_load_report,
     "stream_match": q_stream_match,
+    "match_validated": q_match_validated,
+    "pair_scores": q_pair_scores,
+    "normalize_untrimmed": q_normalize_untrimmed,
+    "load_strict": q_load_strict,
+    "load_strict_key": q_load_strict_key,
+    "load_lenient": q_load_lenient,
+    "store_reload": q_store_reload,
+    "stream_log": q_stream_log,
 }

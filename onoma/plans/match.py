@@ -1,57 +1,46 @@
 """The match job (R9): standardised names x a batch of requests -> ranked hits.
 
-Plan shape (see ``explain`` in the tests):
-
-1. request keys -> distinct grams -> equi-join on the trimmed gram index
-   (shuffle on gram; AQE splits a gram partition shared by many requests);
-2. one exchange on ``request_id`` serves the distinct, the K-lowest-ids cap
-   and the candidate count;
-3. un-hit requests take the fallback branch (every record), unioned before
-   scoring so the common path never pays for it;
-4. records join the pairs on ``id`` (a shuffle join; AQE broadcasts the
-   record side only when its measured shuffle output is small);
-5. scores are native columns around one vectorised LCS kernel, after a
-   length-only bound has dropped pairs that cannot reach the threshold;
-6. threshold, ``row_number`` ranking and per-request limit (WindowGroupLimit
-   at 100) on ``request_id``.
+1. Requests are validated first (R7): only valid ones are matched, the others
+   come back with a reason. Request ids and record ids must be unique.
+2. Records are standardised once and written; they collapse to distinct keys
+   with a member count (equal keys have equal scores).
+3. The request batch goes past the keys in blocks (``probe``): candidates are
+   counted, bounded and scored inside the scan, so no pair is shuffled that
+   cannot reach its request's threshold.
+4. Requests without any candidate (C4) go past the keys again without the
+   gram condition, under the same bounds.
+5. Scored keys join their records. A request's limit is at most
+   ``MAX_LIMIT`` and equal keys rank by id, so only the ``MAX_LIMIT`` lowest
+   ids of a key can be hits; the others are trimmed inside each task.
+6. ``row_number`` ranking and the per-request limit (WindowGroupLimit).
+
+The job runs its scans when called: what it returns reads written tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onoma.functions.grams import token_set
 from onoma.functions.normalize import normalize_name
-from onoma.operators.candidates import (
-    DEFAULT_MAX_CANDIDATES,
-    DEFAULT_NGRAM,
-    candidate_counts,
-    candidate_ids,
-    fallback_pairs,
-    fallback_requests,
-    gram_index,
-)
-from onoma.operators.ranking import project_hits, rank_hits, with_display_scores
-from onoma.operators.requests import distinct_request_keys, key_members
-from onoma.operators.scoring import score_pairs
-from onoma.operators.sizing import broadcast_if_small
+from onoma.operators.candidates import DEFAULT_NGRAM, candidate_counts, candidate_ids, gram_index
+from onoma.operators.probe import PROBE_SCHEMA, Query, probe, request_blocks
+from onoma.operators.ranking import MAX_LIMIT, project_hits, rank_hits, with_display_scores
+from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
 from onoma.operators.ties import tie_stats
+from onoma.session import materialize
 from onoma.sources.tables import with_request_defaults
 
 
 @dataclass(frozen=True)
 class MatchConfig:
     ngram_n: int = DEFAULT_NGRAM
-    max_candidates: int | None = DEFAULT_MAX_CANDIDATES
-    prune: bool = True
-    # A row count does not bound bytes (a record can be a long text), so the
-    # record side is a shuffle join unless the caller knows it is small; AQE
-    # still turns it into a broadcast from measured shuffle sizes.
-    broadcast_names: bool = False
+    # A caller may cap the candidates of a request at the K lowest ids.
+    max_candidates: int | None = None
 
 
 @dataclass
@@ -59,8 +48,9 @@ class MatchResult:
     hits: DataFrame
     display: DataFrame
     summary: DataFrame
-    records: DataFrame  # persisted standardised records; ``unpersist()`` when done
     counts: DataFrame  # (request_id, candidate_count) of requests that hit the index
+    rejected: DataFrame  # invalid requests with their reason
+    requests: DataFrame  # the valid ones, prepared
 
 
 def prepare_names(names: DataFrame) -> DataFrame:
@@ -77,32 +67,48 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     return reqs.withColumn("q_tokens_len", F.length(F.array_join("q_tokens", " ")))
 
 
-def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(), index: DataFrame | None = None) -> MatchResult:
+def require_unique(df: DataFrame, col: str, what: str) -> None:
+    if not df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"duplicate {what}")
+
+
+def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> MatchResult:
     """Match requests ``(request_id, name, [threshold, limit, w_token, explain, include_by_id])``
     against standardised ``names`` ``(id, full_name, normalized_name)``."""
-    # The standardised records feed the index and the pair join through
-    # different exchanges; persisting them (memory, then disk; recomputed if
-    # an executor is lost) standardises each record once.
-    recs = prepare_names(names).persist(StorageLevel.MEMORY_AND_DISK)
-    reqs = prepare_requests(requests)
-    if index is None:
-        index = gram_index(recs, cfg.ngram_n, cfg.max_candidates)
-
-    capped = candidate_ids(reqs, index, cfg.ngram_n, cfg.max_candidates)
-    counts = candidate_counts(capped)
-
-    rec_side = broadcast_if_small(recs)[0] if cfg.broadcast_names else recs
-    small_batch = broadcast_if_small(requests)[1]
-    indexed = capped.join(rec_side, "id")
-    fallback = fallback_pairs(fallback_requests(reqs, counts), recs, small_batch)
-    pairs = indexed.unionByName(fallback)
-
-    request_cols = reqs.select("request_id", "q_norm", "q_tokens", "q_tokens_len", "threshold", "limit", "w_token", "explain")
-    scored = score_pairs(pairs.join(request_cols, "request_id"), cfg.prune)
-    display = with_display_scores(rank_hits(scored))
-    hits = project_hits(display)
-
-    all_records = recs.agg(F.count(F.lit(1))).scalar()
+    spark = names.sparkSession
+    valid, rejected = validate_requests(requests)
+    reqs = materialize(prepare_requests(valid), "match-requests")
+    require_unique(reqs, "request_id", "request ids")
+    recs = materialize(names.select("id", "full_name", "normalized_name"), "match-records")
+    require_unique(recs, "id", "record ids")
+    keys = materialize(
+        recs.groupBy(F.col("normalized_name").alias("key")).agg(F.count(F.lit(1)).alias("members")), "match-keys"
+    )
+
+    def scan(blocks: list[list[Query]], need_gram: bool) -> DataFrame:
+        parts = [probe(keys, b, cfg.ngram_n, need_gram) for b in blocks]
+        return materialize(reduce(DataFrame.unionByName, parts, spark.createDataFrame([], PROBE_SCHEMA)), "match-scored")
+
+    scored = scan(list(request_blocks(reqs)), True)
+    counts = scored.filter("key IS NULL").groupBy("request_id").agg(F.sum("candidates").alias("candidate_count"))
+    unhit = reqs.join(counts, "request_id", "left_anti")
+    fallback = scan(list(request_blocks(unhit)), False).filter("key IS NOT NULL")
+    pairs = scored.filter("key IS NOT NULL")
+
+    ids = Window.partitionBy("normalized_name").orderBy("id")
+    wanted = recs.join(pairs.unionByName(fallback).select(F.col("key").alias("normalized_name")).distinct(), "normalized_name", "left_semi")
+    if cfg.max_candidates is None:
+        lowest = wanted.withColumn("_rn", F.row_number().over(ids)).filter(F.col("_rn") <= MAX_LIMIT).drop("_rn")
+        rows = pairs.unionByName(fallback).join(lowest, F.col("key") == F.col("normalized_name"))
+    else:
+        capped = materialize(candidate_ids(reqs, gram_index(recs, cfg.ngram_n), cfg.ngram_n, cfg.max_candidates), "match-capped")
+        counts = candidate_counts(capped)
+        rows = pairs.join(wanted, F.col("key") == F.col("normalized_name")).join(capped, ["request_id", "id"], "left_semi")
+        rows = rows.unionByName(fallback.join(wanted, F.col("key") == F.col("normalized_name")))
+    asked = reqs.select("request_id", "q_norm", "threshold", "limit", "w_token", "explain")
+    display = materialize(with_display_scores(rank_hits(rows.join(asked, "request_id"))), "match-display")
+
+    all_records = recs.count()
     n_hits = display.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_hits"))
     summary = (
         reqs.select("request_id", "q_norm")
@@ -113,17 +119,21 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
             "request_id",
             "q_norm",
             F.col("candidate_count").isNull().alias("fallback"),
-            F.coalesce(F.col("candidate_count"), all_records).alias("candidate_count"),
+            F.coalesce(F.col("candidate_count"), F.lit(all_records)).alias("candidate_count"),
             F.coalesce(F.col("n_hits"), F.lit(0)).alias("n_hits"),
             *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("tie_groups", "by_token", "by_edit", "by_id")],
         )
     )
-    return MatchResult(hits=hits, display=display, summary=summary, records=recs, counts=counts)
+    return MatchResult(project_hits(display), display, summary, counts, rejected, reqs)
 
 
 def match_distinct(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Match each distinct request key once and hand the hits to every equal request."""
-    reqs = prepare_requests(requests)
+    """Match each distinct request key once and hand the hits to every equal request.
+
+    Invalid requests (a null name among them) get no hits; ``match`` returns
+    them with a reason.
+    """
+    reqs = prepare_requests(validate_requests(requests)[0])
     reps = distinct_request_keys(reqs)
     rep_hits = match(names, reps.select("request_id", "name", "threshold", "limit", "w_token", "explain", "include_by_id"), cfg).hits
     members = key_members(reqs, reps)

@@ -10,9 +10,11 @@ name one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are written against. On a cluster these belong in the
 # cluster config; ``apply_job_conf`` only fills in what is unset.
@@ -22,9 +24,6 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Top-K windows with K up to this bound are trimmed per map task before
-    # their shuffle (the default, 1000, is below the candidate cap of 2000).
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
@@ -36,20 +35,33 @@ def apply_job_conf(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is; the local fallback exists for tests only.
+    A local master (one machine, as in tests and the bench) gets a scratch
+    folder when none is set; on a cluster that is an error, since executors
+    would each write to their own disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="onoma-ckpt-", dir="/tmp")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="onoma-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh folder of the shared checkpoint folder and read it back.
+
+    Cuts lineage and survives lost executors; nothing stays in memory.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "onoma") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")

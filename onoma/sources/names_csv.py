@@ -13,6 +13,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onoma.functions.normalize import strip_space
 from onoma.operators.standardize import STANDARD_MODES, resolve_mode, standardize
 
 # Accepted header aliases, in priority order.
@@ -32,8 +33,13 @@ def dataset_path(data_root: str, mode: str) -> str:
     return f"{data_root.rstrip('/')}/{CLEAN_FILE if mode in STANDARD_MODES else RAW_FILE}"
 
 
-def _read_positional(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Body with columns ``_c0.._cN`` plus the header names as written in the file."""
+def _read_positional(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
+    """Body with columns ``_c0.._cN`` plus the header names as written in the file.
+
+    A byte-order mark before the header is accepted by both readers. Files
+    are split over tasks by line; ``multi_line`` is for files whose fields
+    hold line breaks and reads each file in one task.
+    """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError("CSV without a header")
@@ -41,7 +47,7 @@ def _read_positional(spark: SparkSession, path: str) -> tuple[DataFrame, list[st
     header = next(csv.reader(io.StringIO(line)))
     body = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
@@ -49,13 +55,12 @@ def _read_positional(spark: SparkSession, path: str) -> tuple[DataFrame, list[st
     return body.toDF(*[f"_c{i}" for i in range(len(body.columns))]), header
 
 
-def read_names_strict(spark: SparkSession, path: str, mode: str = "original") -> DataFrame:
-    """I1 + I4: ``(id, full_name, normalized_name)``; a missing id or name fails the load.
+def strict_rows(body: DataFrame, header: list[str], mode: str = "original") -> DataFrame:
+    """Row rules of the strict loader over text columns ``_c0.._cN`` named by ``header``.
 
-    Per row the first non-empty aliased column wins. The failure check is
-    one bounded scan for a bad row.
+    Per row the first non-empty aliased column wins; a row without id or
+    name fails the load (one bounded scan looks for it).
     """
-    body, header = _read_positional(spark, path)
 
     def first_non_empty(aliases: list[str]):
         cols = [F.nullif(F.col(f"_c{header.index(a)}"), F.lit("")) for a in aliases if a in header]
@@ -66,19 +71,14 @@ def read_names_strict(spark: SparkSession, path: str, mode: str = "original") ->
         first_non_empty(STRICT_NAME_ALIASES).alias("full_name"),
         (F.col(f"_c{header.index('strict_key')}") if "strict_key" in header else F.lit(None).cast("string")).alias("strict_key"),
     )
-    bad = out.filter(F.col("_id").isNull() | F.col("full_name").isNull()).limit(1).count()
-    if bad:
+    if not out.filter(F.col("_id").isNull() | F.col("full_name").isNull()).isEmpty():
         raise ValueError(f"CSV needs id and name columns on every row; header={header}")
-    typed = out.withColumn("id", F.trim(F.col("_id")).cast("long")).drop("_id")
-    return standardize(typed, mode)
+    return standardize(out.withColumn("id", F.trim(F.col("_id")).cast("long")).drop("_id"), mode)
 
 
-def read_names_lenient(spark: SparkSession, path: str, mode: str = "original") -> DataFrame:
-    """I2 + I5: trimmed, case-insensitive headers; bad ids and blank names dropped.
-
-    Returns ``(id, full_name, normalized_name)`` with empty keys dropped.
-    """
-    body, header = _read_positional(spark, path)
+def lenient_rows(body: DataFrame, header: list[str], mode: str = "original") -> DataFrame:
+    """Row rules of the lenient loader (I2, I5): trimmed, case-insensitive headers;
+    values trimmed of any white space; bad ids, blank names and empty keys dropped."""
     lowered = [h.strip().lower() for h in header]
 
     def pick(aliases: list[str]) -> str:
@@ -87,9 +87,18 @@ def read_names_lenient(spark: SparkSession, path: str, mode: str = "original") -
                 return f"_c{lowered.index(a)}"
         raise ValueError(f"CSV needs 'id' and 'name' columns (or equivalents); header={header}")
 
-    id_col, name_col = pick(LENIENT_ID_ALIASES), pick(LENIENT_NAME_ALIASES)
     typed = body.select(
-        F.expr(f"try_cast(trim({id_col}) AS BIGINT)").alias("id"),
-        F.trim(F.col(name_col)).alias("full_name"),
+        strip_space(F.col(pick(LENIENT_ID_ALIASES))).try_cast("long").alias("id"),
+        strip_space(F.col(pick(LENIENT_NAME_ALIASES))).alias("full_name"),
     ).filter(F.col("id").isNotNull() & F.col("full_name").isNotNull() & (F.col("full_name") != ""))
     return standardize(typed, mode, drop_empty=True)
+
+
+def read_names_strict(spark: SparkSession, path: str, mode: str = "original", multi_line: bool = False) -> DataFrame:
+    """I1 + I4: ``(id, full_name, normalized_name)``; a missing id or name fails the load."""
+    return strict_rows(*_read_positional(spark, path, multi_line), mode)
+
+
+def read_names_lenient(spark: SparkSession, path: str, mode: str = "original", multi_line: bool = False) -> DataFrame:
+    """I2 + I5: ``(id, full_name, normalized_name)`` with bad rows dropped."""
+    return lenient_rows(*_read_positional(spark, path, multi_line), mode)

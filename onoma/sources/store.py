@@ -58,7 +58,8 @@ def upgrade_layout(old: DataFrame) -> DataFrame:
 
     Old layouts name the text column ``name`` or ``Full Name`` and may lack
     ``normalized_name``; a missing or empty key is recomputed (not left
-    empty). An unknown layout gives an empty table.
+    empty). Rows without a text are dropped. An unknown layout gives an empty
+    table.
     """
     cols = set(old.columns)
     if "full_name" in cols:
@@ -74,7 +75,7 @@ def upgrade_layout(old: DataFrame) -> DataFrame:
         F.col("id").cast("long").alias("id"),
         text.cast("string").alias("full_name"),
         F.coalesce(F.nullif(key, F.lit("")), normalize_name(text)).alias("normalized_name"),
-    )
+    ).filter(F.col("full_name").isNotNull())
 
 
 def load_report(names: DataFrame, storage: str, mode: str, dataset: str, loaded_rows: int | None = None) -> DataFrame:

@@ -20,15 +20,10 @@ from pyspark.sql import functions as F
 
 # Splits a text into sentence/clause segments.
 SEGMENT_PATTERN = "[.!?;:,|\\n]+"
-# Room for the segment position inside a combined id (a text of 20,000 words
-# has fewer segments than this).
-SEGMENT_STRIDE = 100000
-
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+# Room for the segment position inside a combined id; a longer text raises.
+SEGMENT_STRIDE = 1 << 28
 
+# Defaults of absent request parameters.
 REQUEST_DEFAULTS = {
     "threshold": 70.0,
     "limit": 10,
@@ -46,8 +41,9 @@ def segments(df: DataFrame, id_col: str, text_col: str, out_id: str = "id", out_
     parts = df.select(
         F.col(id_col).alias("_src"), F.posexplode(F.split(F.col(text_col), SEGMENT_PATTERN)).alias("_pos", "_seg")
     )
+    pos = F.when(F.col("_pos") < SEGMENT_STRIDE, F.col("_pos")).otherwise(F.raise_error(F.lit("too many segments in a text")).cast("int"))
     return parts.select(
-        (F.col("_src") * F.lit(SEGMENT_STRIDE) + F.col("_pos")).alias(out_id),
+        (F.col("_src") * F.lit(SEGMENT_STRIDE) + pos).alias(out_id),
         F.trim(F.col("_seg")).alias(out_text),
     ).filter(F.col(out_text) != "")
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from onoma.operators.querylog import TIE_COLUMNS
-from onoma.plans.match import MatchConfig, match, prepare_requests
+from onoma.plans.match import MatchConfig, match
 
+# What makes two requests equal.
 LOG_KEY = ["query_norm", "threshold", "limit", "w_token", "explain", "include_by_id"]
 
 
@@ -27,20 +28,20 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(), index: DataFrame | None = None):
-    """The ``foreachBatch`` function: hits and log rows of one micro-batch."""
+def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig()):
+    """The ``foreachBatch`` function: hits, rejections, log rows and first-seen keys of one micro-batch.
+
+    The first-seen table has one row per request key and batch that brought a
+    new key; a batch reads it (not the log) to mark repeats.
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        result = match(names, batch, cfg, index=index)
-        # hits and log rows share the ranked rows and the candidate counts
-        result.display.persist()
-        result.counts.persist()
+        result = match(names, batch, cfg)
         result.hits.write.mode("overwrite").parquet(f"{out_dir}/hits/batch_id={batch_id}")
-        reqs = prepare_requests(batch)
-        rows = result.summary.join(
-            reqs.select("request_id", "threshold", "limit", "w_token", "explain", "include_by_id"), "request_id"
-        ).select(
+        result.rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+        asked = result.requests.select("request_id", "threshold", "limit", "w_token", "explain", "include_by_id")
+        rows = result.summary.join(asked, "request_id").select(
             F.col("request_id").alias("seq"),
             F.col("q_norm").alias("query_norm"),
             "threshold",
@@ -52,36 +53,30 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
             F.col("candidate_count").cast("long"),
             *[F.col(c).cast("long") for c in TIE_COLUMNS],
         )
-        # Keys seen in earlier batches (one row per key, not the whole log).
-        earlier = _read_or_none(spark, f"{out_dir}/log")
-        if earlier is not None:
-            earlier = earlier.filter(F.col("batch_id") != F.lit(batch_id)).select(*LOG_KEY, "seq")
-            pool = rows.select(*LOG_KEY, "seq").unionByName(earlier)
+        first = rows.groupBy(*LOG_KEY).agg(F.min("seq").alias("first_seq"))
+        known = _read_or_none(spark, f"{out_dir}/first")
+        if known is not None:
+            # a replayed batch must not meet its own keys
+            known = known.filter(F.col("batch_id") < batch_id).select(*LOG_KEY, F.col("first_seq").alias("known_seq"))
+            first = first.join(known, LOG_KEY, "left")
         else:
-            pool = rows.select(*LOG_KEY, "seq")
-        first = pool.groupBy(*LOG_KEY).agg(F.min("seq").alias("_first"))
-        marked = rows.join(first, LOG_KEY, "left").withColumn("is_repeat", F.col("seq") > F.col("_first")).drop("_first")
-        marked.write.mode("overwrite").parquet(f"{out_dir}/log/batch_id={batch_id}")
-        result.display.unpersist()
-        result.counts.unpersist()
+            first = first.withColumn("known_seq", F.lit(None).cast("long"))
+        marked = rows.join(first, LOG_KEY).withColumn(
+            "is_repeat", F.col("known_seq").isNotNull() | (F.col("seq") > F.col("first_seq"))
+        )
+        marked.drop("first_seq", "known_seq").write.mode("overwrite").parquet(f"{out_dir}/log/batch_id={batch_id}")
+        first.filter("known_seq IS NULL").drop("known_seq").write.mode("overwrite").parquet(f"{out_dir}/first/batch_id={batch_id}")
 
     return write_batch
 
 
-def materialize_names(names: DataFrame, table_dir: str, cfg: MatchConfig = MatchConfig()) -> tuple[DataFrame, DataFrame]:
-    """Write the name table and its gram index once; every micro-batch reads them.
-
-    Written tables (not cached ones) cut the lineage, survive executor loss
-    and keep batches from rebuilding the index.
-    """
-    from onoma.operators.candidates import gram_index
-    from onoma.plans.match import prepare_names
-
+def materialize_names(names: DataFrame, table_dir: str) -> DataFrame:
+    """The name table that every micro-batch reads: written once, kept across restarts."""
     spark = names.sparkSession
-    names.select("id", "full_name", "normalized_name").write.mode("overwrite").parquet(f"{table_dir}/names")
-    stored = spark.read.parquet(f"{table_dir}/names")
-    gram_index(prepare_names(stored), cfg.ngram_n, cfg.max_candidates).write.mode("overwrite").parquet(f"{table_dir}/index")
-    return stored, spark.read.parquet(f"{table_dir}/index")
+    path = f"{table_dir}/names"
+    if _read_or_none(spark, path) is None:
+        names.select("id", "full_name", "normalized_name").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def start_match_stream(
@@ -95,10 +90,10 @@ def start_match_stream(
     files_per_batch: int = 1,
 ):
     """Start the stream over parquet request files arriving in ``request_dir``."""
-    stored, index = materialize_names(names, f"{out_dir}/_tables", cfg)
+    stored = materialize_names(names, f"{out_dir}/_tables")
     stream = spark.readStream.schema(request_schema).option("maxFilesPerTrigger", files_per_batch).parquet(request_dir)
     return (
-        stream.writeStream.foreachBatch(batch_writer(stored, out_dir, cfg, index))
+        stream.writeStream.foreachBatch(batch_writer(stored, out_dir, cfg))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(processingTime="0 seconds")
         .start()
