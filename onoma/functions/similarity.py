@@ -53,19 +53,25 @@ def _lcs_result(s: list[np.ndarray], length) -> np.ndarray:
     return length - ones
 
 
-def lcs_from_pattern(pattern: str, codes: np.ndarray) -> np.ndarray:
-    """LCS of one pattern with each row of code points (padded with 0)."""
+def lcs_from_pattern(pattern: str, chars: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """LCS of one pattern with many strings.
+
+    ``columns`` holds, position by position, each string's character as an
+    index into the code points ``chars`` (code point 0 pads).
+    """
     words = max(1, -(-len(pattern) // _WORD))
-    chars, at = np.unique(codes, return_inverse=True)
-    at = at.reshape(codes.shape)
     masks = np.zeros((words, len(chars)), dtype=np.uint64)
     where = {int(c): i for i, c in enumerate(chars) if c}
     for i, ch in enumerate(pattern):
         if ord(ch) in where:
             masks[i // _WORD, where[ord(ch)]] |= np.uint64(1) << np.uint64(i % _WORD)
-    s = [np.full(len(codes), ~np.uint64(0)) for _ in range(words)]
-    for j in range(codes.shape[1]):
-        _lcs_step(s, [m[at[:, j]] for m in masks])
+    s = [np.full(columns.shape[1], ~np.uint64(0)) for _ in range(words)]
+    for at in columns:
+        if words == 1:
+            u = s[0] & masks[0][at]
+            s[0] = (s[0] + u) | (s[0] - u)
+        else:
+            _lcs_step(s, [m[at] for m in masks])
     return _lcs_result(s, len(pattern))
 
 

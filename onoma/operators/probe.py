@@ -96,6 +96,8 @@ class Lot:
         self.by_token = {t: np.array(v) for t, v in by_token.items()}
         width = max(1, int(self.lengths.max()))
         self.codes = np.array(keys, dtype=f"U{width}").view(np.uint32).reshape(len(keys), width)
+        self.chars, at = np.unique(self.codes, return_inverse=True)
+        self.columns = np.ascontiguousarray(at.reshape(self.codes.shape).T.astype(np.uint16 if len(self.chars) < 1 << 16 else np.int64))
         self._counts: dict[str, np.ndarray] = {}
 
     def count(self, char: str) -> np.ndarray:
@@ -166,7 +168,7 @@ def _compare(lot: Lot, query: Query, grams: set[str], need_gram: bool) -> tuple[
     ok = np.flatnonzero(reachable(token_most, edit_most))
     if not len(ok):
         return found, []
-    lcs = lcs_from_pattern(q, lot.codes[rows[ok]][:, : max(1, int(lengths[ok].max()))])
+    lcs = lcs_from_pattern(q, lot.chars, lot.columns[: int(lengths[ok].max()), rows[ok]])
     total = total[ok]
     edit = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
     left = reachable(token_most[ok], edit)

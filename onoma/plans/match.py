@@ -81,9 +81,10 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
     require_unique(reqs, "request_id", "request ids")
     recs = materialize(names.select("id", "full_name", "normalized_name"), "match-records")
     require_unique(recs, "id", "record ids")
-    keys = materialize(
-        recs.groupBy(F.col("normalized_name").alias("key")).agg(F.count(F.lit(1)).alias("members")), "match-keys"
-    )
+    # comparing is the costly part: a small key table still goes to every core
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = recs.groupBy(F.col("normalized_name").alias("key")).agg(F.count(F.lit(1)).alias("members"))
+    keys = materialize(keys.repartition(parts), "match-keys")
 
     def scan(blocks: list[list[Query]], need_gram: bool) -> DataFrame:
         parts = [probe(keys, b, cfg.ngram_n, need_gram) for b in blocks]
