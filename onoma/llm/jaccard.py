@@ -67,7 +67,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -148,7 +148,7 @@ def token_runs(docs: DataFrame, shard_bits: int) -> DataFrame:
                 fp = fingerprint(tokens)
                 if not len(tokens) or fp in seen:
                     continue
-                if len(seen) < 1_000_000:  # only saves work: copies count once per task
+                if len(seen) < 100_000:  # only saves work: copies count once per task
                     seen.add(fp)
                 held.append(tokens)
                 size += len(tokens)
@@ -171,13 +171,14 @@ def token_classes(docs: DataFrame) -> tuple[bytes, bytes]:
 
     def merge(table: pa.Table) -> pa.Table:
         runs = [_unpack_run(r) for r in table["run"].to_pylist()]
-        keys, at = np.unique(np.concatenate([k for k, _ in runs]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([c for _, c in runs]))
-        place = keys >> np.uint32(32 - (BITS - shard_bits))
+        # a key counts at least k when it stands k times in a row once sorted
+        keys = np.concatenate([np.repeat(k, np.minimum(c, FREQUENT)) for k, c in runs])
+        keys.sort()
         maps = []
         for least in (2, FREQUENT):
+            first = keys[: max(len(keys) - least + 1, 0)]
             bits = np.zeros(width, np.uint8)
-            bits[place[total >= least]] = 1
+            bits[first[first == keys[least - 1 :]] >> np.uint32(32 - (BITS - shard_bits))] = 1
             maps.append(zstandard.ZstdCompressor().compress(np.packbits(bits).tobytes()))
         return pa.table({"shard": table["shard"][:1], "multi": [maps[0]], "frequent": [maps[1]]})
 

@@ -49,8 +49,9 @@ from pyspark.sql import functions as F
 from onoma.llm.common import materialize, shared_path
 
 ORDER = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 CHUNK_ROWS = 50_000
+LOT_WORDS = 20_000
 QUANTILE = 0.995
 PRIOR = 64
 BIN = 0.001
@@ -128,6 +129,12 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_MARKS).split()
 
 
+def pieces(distinct: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in lots of ``LOT_WORDS``: the arrays of a lot are a few MB."""
+    for i in range(0, len(distinct), LOT_WORDS):
+        yield distinct[i : i + LOT_WORDS]
+
+
 def ngrams(distinct: list[bytes], fold: int) -> tuple[np.ndarray, np.ndarray]:
     """(packed n-gram of the fold's model, index of its word) for every predicted byte."""
     joined = b"".join(b"\x01" + w + b"\x02" for w in distinct)
@@ -145,6 +152,12 @@ def ngrams(distinct: list[bytes], fold: int) -> tuple[np.ndarray, np.ndarray]:
     return key[predicted], word[predicted]
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    kinds, at = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(at, counts, len(kinds)).astype(np.int64)
+
+
 # ---- training -------------------------------------------------------------
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -169,11 +182,11 @@ def count_ngrams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
                 for fold, seen in enumerate(by):
                     if not seen:
                         continue
-                    key, word = ngrams(list(seen), fold)
-                    times = np.fromiter(seen.values(), np.int64, len(seen))[word]
-                    kinds, at = np.unique(key, return_inverse=True)
-                    total = np.zeros(len(kinds), np.int64)
-                    np.add.at(total, at, times)
+                    parts = []
+                    for lot in pieces(list(seen)):
+                        key, word = ngrams(lot, fold)
+                        parts.append(summed(key, np.fromiter(map(seen.__getitem__, lot), np.int64, len(lot))[word]))
+                    kinds, total = summed(*map(np.concatenate, zip(*parts)))
                     yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total)], ["key", "c"])
 
     counted = chunks.select("chunk", "blob").join(places, "chunk").select("blob", "places").mapInArrow(run, "key long, c long")
@@ -255,7 +268,7 @@ def word_ngrams(chunks: DataFrame) -> DataFrame:
                 for fold, seen in enumerate(by):
                     if not seen:
                         continue
-                    key = np.unique(ngrams(list(seen), fold)[0])
+                    key = np.unique(np.concatenate([np.unique(ngrams(lot, fold)[0]) for lot in pieces(list(seen))]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["chunk"])), pa.array(key)], ["chunk", "key"])
 
     return chunks.select("chunk", "blob").mapInArrow(run, "chunk long, key long")
@@ -303,10 +316,10 @@ def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Dat
                     keys, logps = keys[order], np.asarray(row["logps"].values, np.float64)[order]
                 for fold in (0, 1):
                     distinct = list(set().union(*[ws for ws, f in zip(split, folds) if f == fold]))
-                    if distinct:
-                        key, word = ngrams(distinct, fold)
+                    for lot in pieces(distinct):
+                        key, word = ngrams(lot, fold)
                         lp = logps[np.searchsorted(keys, key)]
-                        of[fold].update(zip(distinct, np.bincount(word, -lp, len(distinct)).tolist()))
+                        of[fold].update(zip(lot, np.bincount(word, -lp, len(lot)).tolist()))
                 n = [sum(map(len, ws)) + len(ws) for ws in split]
                 nll = [math.fsum(map(of[f].__getitem__, ws)) for ws, f in zip(split, folds)]
                 yield pa.RecordBatch.from_arrays(
