@@ -2,10 +2,12 @@
 
 Templates are short licence notices. Document frequencies of their words over
 all documents give IDFs; the ``RARE_WORDS`` highest-IDF words of each template
-go, with their positions, into the index. A file looks up the ``LOOKUP``
-highest-IDF index words it holds; each occurrence votes for (template, file
-position - template position), so words that stand to each other as in the
-template meet on one offset (insertions of up to ``SLACK`` words allowed).
+go, with their positions, into the index. A file looks up every index word it
+holds (at most templates x ``RARE_WORDS``); each occurrence votes for
+(template, file position - template position), so words that stand to each
+other as in the template meet on one offset (insertions of up to ``SLACK``
+words allowed). Templates whose key phrases have a word the file lacks cannot
+be verified and take no votes.
 A template whose voted IDF reaches ``MIN_COVER`` of its index words' IDF is a
 candidate, and it is reported when all its mandatory key phrases stand, word
 for word, around that offset.
@@ -58,7 +60,6 @@ TEMPLATES = (
 )
 
 RARE_WORDS = 6
-LOOKUP = 12
 SLACK = 3
 MIN_COVER = 0.5
 
@@ -121,14 +122,14 @@ def _stands(got: list[bytes], phrase: tuple[bytes, ...], begin: int, end: int) -
 
 def match_templates(index: Index, got: list[bytes], held: set[bytes]) -> list[tuple[str, int, float]]:
     """(label, offset, coverage) of every verified template, best offsets first."""
-    top = set(sorted(held & index.postings.keys(), key=lambda w: (-index.idf[w], w))[:LOOKUP])
-    if not top:
+    live = {t for t, phrases in enumerate(index.phrases) if all(map(held.issuperset, phrases))}
+    if not live:
         return []
+    postings = {w: tuple(x for x in index.postings[w] if x[0] in live) for w in held & index.postings.keys()}
     votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
     for i, w in enumerate(got):
-        if w in top:
-            for t, q in index.postings[w]:
-                votes[t].append((i - q, w))
+        for t, q in postings.get(w, ()):
+            votes[t].append((i - q, w))
     out = []
     for t, cast in votes.items():
         cast.sort()

@@ -264,6 +264,21 @@ def test_license_templates(spark_, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_notices_in_one_text(spark_, docs):
+    """A text with many notices keeps the label of each, whatever the others are."""
+    index = licenses.build_index(*licenses.document_frequencies(docs))
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    texts = [" . ".join(notices), " . ".join(notices[3::-3] + notices[6:9]), *(f"{a} filler words here {b}" for a in notices for b in notices)]
+    want = [{x for x, _, _ in licenses.TEMPLATES}, {"gpl-2.0", "gpl-3.0", "apache-2.0", "mit"}]
+    want += [{a, b} for a, _, _ in licenses.TEMPLATES for b, _, _ in licenses.TEMPLATES]
+    df = spark_.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, index).collect()}
+    for i, labels in enumerate(want):
+        assert labels <= set(got[i]["labels"].split(",")), texts[i]
+        assert got[i]["score"] == pytest.approx(1.0)
+    assert len(want[0]) == 14
+
+
 # ---- 5 personal data --------------------------------------------------------------
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
