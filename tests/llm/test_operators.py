@@ -613,6 +613,26 @@ def test_decontamination_matches_brute_force(spark_):
     assert decontam.find_leaks(df.filter("false"), bench).count() == 0
 
 
+def test_decontamination_finds_every_edited_item():
+    """Nothing is lost by item length or edit share, up to MAX_EDIT."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for size, tries in ((100, 40), (390, 40), (1000, 20), (2500, 8)):
+        item = decontam.normal("".join(rng.choice(letters) for _ in range(size)))
+        block = decontam.Block([(1, item)], decontam.MAX_EDIT)
+        most = block.edits[0]
+        for share in (0.05, 0.09, 0.1):
+            texts = []
+            for _ in range(tries):
+                s = list(item)
+                for p in rng.sample(range(len(s)), min(int(share * len(item)), most)):
+                    s[p] = rng.choice(["", "#", s[p] + "#"])
+                around = ["".join(rng.choice(letters) for _ in range(300)) for _ in range(2)]
+                texts.append(around[0] + "".join(s) + around[1])
+            want = [(i, 0, *decontam.edit_search(item, t, most)) for i, t in enumerate(texts)]
+            assert sorted(block.matches(texts)) == want, (size, share)
+
+
 def test_walks_are_stable():
     import numpy as np
 
