@@ -633,6 +633,16 @@ def test_decontamination_finds_every_edited_item():
             assert sorted(block.matches(texts)) == want, (size, share)
 
 
+def test_decontamination_matches_short_items_word_for_word(spark_):
+    texts = ["The  Answer is 42.", "answers is 42", "preanswer is 42", "(answer is 42)", "answer is 421, answer is 42", "answer is 4 2", "", None]
+    df = spark_.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark_.createDataFrame([(1, "Answer is\n42"), (2, "z"), (3, " "), (4, None), (5, "4 2")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["item_chars"], r["end_char"]) for r in decontam.find_leaks(df, bench).collect()}
+    assert got == {(0, 1): (0, 12, 16), (3, 1): (0, 12, 13), (4, 1): (0, 12, 27), (5, 5): (0, 3, 13)}
+    left = decontam.drop_leaks(df.selectExpr("doc_id", "text", "null lang", "null source", "null n_chars"), bench)
+    assert {r["doc_id"] for r in left.collect()} == {1, 2, 6, 7}
+
+
 def test_walks_are_stable():
     import numpy as np
 
