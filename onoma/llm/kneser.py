@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from onoma.llm.common import materialize, shared_path
 
-ORDER = 4
+ORDER = 5
 CHUNK_BYTES = 5 << 20
 CHUNK_ROWS = 50_000
 LOT_WORDS = 20_000

@@ -201,6 +201,11 @@ def test_kneser_ney_matches_definition(spark_, docs):
     assert sum(got[i]["kept"] for i in trusted) >= 0.9 * len(trusted)
 
 
+def test_kneser_ney_takes_five_bytes():
+    key, _ = kneser.ngrams([b"abcdef"], 0)
+    assert int.from_bytes(b"abcde") in {int(k) & kneser._BODY for k in key}
+
+
 def test_kneser_ney_edges(edge, empty, labels):
     rows = kneser.quality(edge, labels).collect()
     assert len(rows) == len(EDGE)
