@@ -161,8 +161,12 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---- training -------------------------------------------------------------
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of documents labelled as good text."""
-    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
+    """Ids of documents labelled as good text and never as toxic."""
+    known = labels.filter(F.col("doc_id").isNotNull()).withColumn("id", F.col("doc_id").cast("long"))
+    good = known.filter(F.col("quality") == 1).select("id").distinct()
+    if "toxic" not in labels.columns:
+        return good
+    return good.join(known.filter(F.col("toxic") == 1), "id", "left_anti")
 
 
 def count_ngrams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:

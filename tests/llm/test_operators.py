@@ -201,6 +201,13 @@ def test_kneser_ney_matches_definition(spark_, docs):
     assert sum(got[i]["kept"] for i in trusted) >= 0.9 * len(trusted)
 
 
+def test_toxic_documents_are_not_trusted(spark_):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 0), (5, 1, 0), (5, None, 1), (None, 1, 0), (6, 1, 0), (6, 1, 0)]
+    lab = spark_.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert sorted(r["id"] for r in kneser.trusted_ids(lab).collect()) == [1, 3, 6]
+    assert sorted(r["id"] for r in kneser.trusted_ids(lab.drop("toxic")).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_kneser_ney_takes_five_bytes():
     key, _ = kneser.ngrams([b"abcdef"], 0)
     assert int.from_bytes(b"abcde") in {int(k) & kneser._BODY for k in key}
