@@ -76,3 +76,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(written: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote and nothing reads any more."""
+    files = written.inputFiles()
+    if files:
+        _delete(written.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class ChunkTable:
+    """Rows of a few MB in a table bucketed by ``key``, so that joins on it leave them where they are."""
+
+    def __init__(self, rows: DataFrame, key: str, buckets: int):
+        self._spark = rows.sparkSession
+        self._name, self._path = f"chunks_{uuid.uuid4().hex}", shared_path(self._spark, "chunks")
+        (
+            rows.repartition(buckets, key).write.format("parquet")
+            .option("path", self._path).option("compression", "none")
+            .bucketBy(buckets, key).saveAsTable(self._name)
+        )
+
+    def rows(self) -> DataFrame:
+        return self._spark.table(self._name)
+
+    def drop(self) -> None:
+        self._spark.sql(f"DROP TABLE IF EXISTS {self._name}")
+        _delete(self._spark, self._path)

@@ -1,7 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
 Constants are written out, not imported from the operators. Operators 1, 3, 4,
-5 and 10 have none (trained models, dictionaries, random walks); their tests
+5, 10 and 11 have none (trained models, dictionaries, random walks); their tests
 use brute-force versions.
 """
 
@@ -199,10 +199,40 @@ SELECT page_id, record_type, {_UUID.format('nh')} AS record_id, rid AS refers_to
 FROM h
 """
 
+_DOUBLED = ", ".join(
+    f"""
+t{2 * n} AS (
+  SELECT a.doc_id, a.s, dense_rank() OVER (ORDER BY a.r, b.r) AS r FROM t{n} a JOIN t{n} b ON a.doc_id = b.doc_id AND b.s = a.s + {n})"""
+    for n in (5 * 2**k for k in range(12))
+)
+_HELD = " UNION ALL ".join(f"SELECT doc_id, {5 * 2**k} AS size, count(*) OVER (PARTITION BY r) AS held FROM t{5 * 2**k}" for k in range(2, 13))
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+t5 AS (
+  SELECT doc_id, s, dense_rank() OVER (ORDER BY array_to_string(words[s:s + 4], ' ')) AS r
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS s FROM d WHERE len(words) >= 5)),{_DOUBLED},
+far AS (SELECT doc_id, max(size)::BIGINT AS longest FROM ({_HELD}) WHERE held > 1 GROUP BY doc_id),
+starts AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS s FROM d WHERE len(words) >= 20),
+runs AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(words[s:s + 19], ' ') ORDER BY doc_id, s) AS r
+  FROM starts),
+gone AS (SELECT DISTINCT doc_id, s + j AS i FROM runs, generate_series(0, 19) g(j) WHERE r > 1),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM d),
+kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text
+  FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN far ON far.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2,
     "op6_url_filter": OP6,
     "op7_quality_rules": OP7,
     "op8_ngram_jaccard": OP8,
     "op9_warc_derivatives": OP9,
+    "op13_substring_dedup": OP13,
 }

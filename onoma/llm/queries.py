@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, warc
+from onoma.llm import decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, substrings, warc
 from onoma.llm.common import prepare, read
 
 
@@ -56,6 +56,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_language_id,
     op2_mixing,
@@ -67,6 +71,7 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_ngram_jaccard,
     op9_warc_derivatives,
     op10_decontamination,
+    op13_substring_dedup,
 )
 
 
