@@ -82,7 +82,7 @@ def _slices(raw: bytes) -> Iterator[bytes]:
 def _press(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=6).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _release(blob: bytes) -> bytes:
@@ -115,14 +115,14 @@ def pack(docs: DataFrame, buckets: int) -> ChunkTable:
         def row(seq: int, rows: list[tuple]) -> pa.RecordBatch:
             # a chunk's own order is the order of occurrences
             rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-            codes: dict[bytes, int] = {}
+            codes = Codes()
             got: list[np.ndarray] = []
             counts = []
             for _, _, raw in rows:
                 n = 0
                 for piece in _slices(raw):
                     words = piece.split()
-                    got.append(np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.uint32, len(words)))
+                    got.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
                     n += len(words)
                 counts.append(n)
             flat = np.concatenate(got) if got else np.empty(0, np.uint32)
@@ -170,14 +170,28 @@ def _joined(h: np.ndarray, step: int, first: int, second: int) -> np.ndarray:
     return out
 
 
+class Codes(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Windows:
-    """Hashes of a chunk's windows, level by level."""
+    """Hashes of the windows of some rows of a chunk, level by level; ``at``: their words' places in the chunk."""
 
-    def __init__(self, vocabulary: bytes, codes: np.ndarray, counts: np.ndarray, start: int):
+    def __init__(self, vocabulary: bytes, codes: np.ndarray, counts: np.ndarray, live: np.ndarray, start: int):
         import xxhash
 
+        self.at = np.flatnonzero(np.repeat(live, counts))
+        codes, counts = codes[self.at], counts[live]
         words = vocabulary.split(b" ") if vocabulary else []
-        word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes]
+        used = np.zeros(len(words), bool)
+        used[codes] = True
+        known = np.zeros(len(words), np.uint64)
+        known[used] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in np.flatnonzero(used).tolist()), np.uint64, int(used.sum()))
+        word = known[codes]
         self.ends = np.repeat(np.cumsum(counts), counts)
         self.length = start
         h = np.zeros(len(word), np.uint64)
@@ -215,15 +229,27 @@ def _distinct(w: Windows, places: np.ndarray, bits: int | None) -> tuple[np.ndar
         low = (w.low if len(w.low) else _mix(w.h * _ODD[6]))[places] >> np.uint64(32)
     else:
         h, low = h >> np.uint64(64 - bits), np.zeros(len(h), np.uint64)
-    order = np.lexsort((low, h)) if bits is None else np.argsort(h, kind="stable")
+    order = _sorted(h, low)
     h, low = h[order], low[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
-    at = np.cumsum(new) - 1
+    starts = np.flatnonzero(_new(h, low))
+    counts = np.diff(np.r_[starts, len(h)])
     inverse = np.empty(len(h), np.int64)
-    inverse[order] = at
-    first = places[order[new]]  # both sorts are stable
-    return h[new], low[new], first, np.bincount(at, minlength=int(new.sum())), inverse
+    inverse[order] = np.repeat(np.arange(len(starts)), counts)
+    return h[starts], low[starts], np.minimum.reduceat(places[order], starts), counts, inverse
+
+
+def _new(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where a sorted key differs from the one before."""
+    out = np.ones(len(h), bool)
+    out[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
+    return out
+
+
+def _sorted(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order of the keys; the low halves are compared only where high halves clash."""
+    order = np.argsort(h)
+    a, b = h[order], low[order]
+    return np.lexsort((low, h)) if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])) else order
 
 
 def _bitmap(flags: np.ndarray) -> bytes:
@@ -236,8 +262,8 @@ def _flags(blob: bytes, n: int) -> np.ndarray:
 
 def _cover(places: np.ndarray, length: int, n: int) -> np.ndarray:
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, places, 1)
-    np.add.at(steps, places + length, -1)
+    steps[places] += 1
+    steps[places + length] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -261,17 +287,20 @@ def _state(row: dict, level: Level) -> tuple[Windows | None, np.ndarray, np.ndar
     before = level.length // 2
     told = {a["shard"]: a for a in row["answers"] or []}
     if level.length == level.start:
-        w = Windows(_release(row["vocabulary"]), codes, counts, level.start)
+        w = Windows(_release(row["vocabulary"]), codes, counts, np.ones(len(counts), bool), level.start)
         return w, np.ones(n, bool), np.zeros(n, bool), np.zeros(len(counts), np.int32)
     known = next(a for s, a in told.items() if s < 0)
     removed = _flags(known["firsts"], n)
     longest = np.frombuffer(_release(known["longest"]), np.int32).copy()
     asked = _flags(known["bits"], n)
-    flags = np.zeros(n, bool)
     if not asked.any():
-        return None, flags, removed, longest
-    w = Windows(_release(row["vocabulary"]), codes, counts, level.start).to(before)
-    places = np.flatnonzero(asked)
+        return None, asked, removed, longest
+    row_of = np.repeat(np.arange(len(counts)), counts)
+    live = np.zeros(len(counts), bool)
+    live[row_of[asked]] = True
+    w = Windows(_release(row["vocabulary"]), codes, counts, live, level.start).to(before)
+    places = np.flatnonzero(asked[w.at])
+    flags = np.zeros(len(w.at), bool)
     h, _, first, count, inverse = _distinct(w, places, level.cut(before))
     shards = (h >> np.uint64((level.cut(before) or 64) - level.shard_bits)).astype(np.int64)
     each = np.unique(shards, return_counts=True)
@@ -279,28 +308,24 @@ def _state(row: dict, level: Level) -> tuple[Windows | None, np.ndarray, np.ndar
     flags[places] = (elsewhere | (count > 1))[inverse]
     if before == level.window:
         mine = np.concatenate([_flags(told[s]["firsts"], k) for s, k in zip(each[0].tolist(), each[1].tolist())])
-        later = flags[places]
-        later &= ~((first[inverse] == places) & mine[inverse])
-        removed = _cover(places[later], before, n)
-    row_of = np.repeat(np.arange(len(counts)), counts)
+        later = flags[places] & ~((first[inverse] == places) & mine[inverse])
+        removed[w.at] = _cover(places[later], before, len(w.at))
     if before >= level.window:
-        longest[np.unique(row_of[flags])] = before
+        longest[row_of[w.at[flags]]] = before
     return w, flags, removed, longest
 
 
 def _asked(row: dict, level: Level) -> Iterator[tuple]:
     """Messages of a chunk at a level, and its state (shard below 0)."""
     w, flags, removed, longest = _state(row, level)
-    if w is None or not flags.any():
-        asked = np.zeros(len(removed), bool)
-    elif level.length == level.start:
-        asked = w.fits()
-    else:
-        asked = w.halves(flags)
+    places = np.empty(0, np.int64)
+    asked = np.zeros(len(removed), bool)
+    if w is not None and flags.any():
+        places = np.flatnonzero(w.fits() if level.length == level.start else w.halves(flags))
         w.to(level.length)
+        asked[w.at[places]] = True
     chunk = row["chunk"]
     yield chunk, -1 - (chunk & 0xFF) - ((chunk >> 32) << 8 & 0xFFFF00), 0, _bitmap(asked), None, None, None, None, _bitmap(removed), _press(longest.tobytes())
-    places = np.flatnonzero(asked)
     if not len(places):
         return
     whole = level.cut(level.length) is None
@@ -309,7 +334,7 @@ def _asked(row: dict, level: Level) -> Iterator[tuple]:
     gap = np.uint32 if width - level.shard_bits <= 32 else np.uint64
     shards = h >> np.uint64(width - level.shard_bits)
     edges = np.flatnonzero(np.diff(shards)) + 1
-    row_of = np.repeat(np.arange(len(row["counts"])), row["counts"])
+    row_of = np.repeat(np.arange(len(row["counts"])), row["counts"])[w.at]
     for s, k, lo, f, c in zip(shards[np.r_[0, edges]].tolist(), np.split(h, edges), np.split(low, edges), np.split(first, edges), np.split(count, edges)):
         if whole:
             rows, at = np.unique(row_of[f], return_inverse=True)
@@ -361,11 +386,9 @@ def answer(messages: DataFrame, level: Level) -> DataFrame:
             blobs = table["keys"].to_pylist()
             high = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes)])
             low = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(blobs, sizes)])
-            order = np.lexsort((low, high))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
+            order = _sorted(high, low)
             group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
+            group[order] = np.cumsum(_new(high[order], low[order])) - 1
         else:
             keys = np.concatenate([np.cumsum(_unplaned(x, gap), dtype=gap) for x in table["keys"].to_pylist()])
             _, group = np.unique(keys, return_inverse=True)
