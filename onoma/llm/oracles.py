@@ -199,6 +199,43 @@ SELECT page_id, record_type, {_UUID.format('nh')} AS record_id, rid AS refers_to
 FROM h
 """
 
+OP12 = r"""
+WITH RECURSIVE tb AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS tab
+  FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)),
+held AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs GROUP BY doc_id, run),
+crc AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM held, tb),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crc)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gone AS (
+  SELECT word, n, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r
+  FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN w ON w.word = g.l || g.r
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN w ON w.word = g.l || g.r),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+walk AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN ends ON ends.word = f.word
+"""
+
 _DOUBLED = ", ".join(
     f"""
 t{2 * n} AS (
@@ -234,5 +271,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7,
     "op8_ngram_jaccard": OP8,
     "op9_warc_derivatives": OP9,
+    "op12_spelling_variants": OP12,
     "op13_substring_dedup": OP13,
 }

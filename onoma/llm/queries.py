@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm import decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, substrings, warc
+from onoma.llm import align, decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, spelling, substrings, warc
 from onoma.llm.common import prepare, read
 
 
@@ -56,6 +56,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(read(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
 
@@ -71,6 +79,8 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_ngram_jaccard,
     op9_warc_derivatives,
     op10_decontamination,
+    op11_tokenizer_alignment,
+    op12_spelling_variants,
     op13_substring_dedup,
 )
 
