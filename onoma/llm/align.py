@@ -5,7 +5,8 @@ Each text is encoded by two tokenizers; both token rows spell the same bytes
 linked where their byte ranges end together, and those common ends cut both
 rows into groups.
 
-Arrow pipeline, over a few MB of text at a time: token ids are flattened with
+A segment of a text (mostly a word) that stands at many places of a chunk is
+encoded once. Arrow pipeline, over a few MB of text at a time: token ids are flattened with
 the indices of their parents, byte lengths are summed cumulatively and each
 text's start is taken off (segmented sums), and a hash join of both tables on
 (parent, end) gives the links. ``Table.group_by`` counts the links of each id
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,6 +50,7 @@ CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 4096
 #: Text handed to a tokenizer at a time.
 LOT_BYTES = 1 << 18
+_CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
 
 # ---- tokenizers -----------------------------------------------------------
@@ -85,6 +88,8 @@ class ByteLevel:
         for token, i in self._tok.get_vocab().items():
             tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.vocabulary = Vocabulary.of(tokens)
+        # the split into words takes a blank with the word behind it
+        self.cuts = type(self._tok.pre_tokenizer).__name__ == "ByteLevel"
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -102,6 +107,8 @@ class Pieces:
                 for i, p in ((i, self._tok.id_to_piece(i)) for i in ids)
             ]
         )
+        # no piece reaches over the end of a word
+        self.cuts = not any(re.search("[^▁]▁", self._tok.id_to_piece(i)) for i in ids)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self._tok.encode(texts, num_threads=1)
@@ -114,16 +121,34 @@ def tokenizers(folder: str) -> tuple[ByteLevel, Pieces]:
 
 # ---- alignment of a chunk -------------------------------------------------
 
-def _encode(tok: ByteLevel | Pieces, texts: list[str]) -> pa.ListArray:
-    """Token ids of each text."""
+def segments(texts: list[str], cut: bool) -> tuple[list[str], pa.Array, pa.Array]:
+    """(distinct segments, index of each segment of each text, offsets of the texts).
+
+    A segment ends before a single blank between two visible letters: there
+    every token of either tokenizer ends too, so a segment is encoded once for
+    all its places (a blank in front of it is what both put before a text).
+    """
+    numbers: dict[str, int] = {}
+    codes: list[int] = []
+    offsets = [0]
+    for t in texts:
+        codes += [numbers.setdefault(s, len(numbers)) for s in (_CUT.split(t) if cut else [t])]
+        offsets.append(len(codes))
+    return list(numbers), pa.array(codes, pa.int64()), pa.array(offsets, pa.int64())
+
+
+def _encode(tok: ByteLevel | Pieces, distinct: list[str], codes: pa.Array, offsets: pa.Array) -> pa.ListArray:
+    """Token ids of each text from those of its segments."""
     parts, lot, size = [], [], 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(distinct):
         lot.append(t)
         size += len(t)
-        if size >= LOT_BYTES or i == len(texts) - 1:
+        if size >= LOT_BYTES or i == len(distinct) - 1:
             parts.append(pa.array(tok.encode(lot), pa.list_(pa.int32())))
             lot, size = [], 0
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    placed = ids.take(codes)
+    return pa.ListArray.from_arrays(placed.offsets.take(offsets), placed.values)
 
 
 def _spelled(ids: pa.ListArray, vocabulary: Vocabulary) -> pa.Array:
@@ -158,7 +183,8 @@ def align(texts: list[str | None], a: ByteLevel, b: Pieces) -> tuple[pa.Table, p
     n = len(texts)
     whole = [i for i, t in enumerate(texts) if t]
     rows = [texts[i] for i in whole]
-    ids_a, ids_b = _encode(a, rows), _encode(b, rows)
+    parts = segments(rows, a.cuts and b.cuts)
+    ids_a, ids_b = _encode(a, *parts), _encode(b, *parts)
     wanted = pa.array([b" " + t.encode() for t in rows], pa.binary())
     same = pc.and_(pc.equal(_spelled(ids_a, a.vocabulary), wanted), pc.equal(_spelled(ids_b, b.vocabulary), wanted))
     ids_a, ids_b = ids_a.filter(same), ids_b.filter(same)

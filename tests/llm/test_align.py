@@ -109,6 +109,18 @@ def test_vocabularies_spell_the_same(own):
     assert min(a.vocabulary.lengths.to_pylist()) > 0 and min(b.vocabulary.lengths.to_pylist()) > 0
 
 
+def test_segments_are_encoded_as_in_the_whole_text(own):
+    """Blanks of all kinds between letters of all kinds, cut and uncut."""
+    a, b = align.tokenizers(align.TOKENIZERS)
+    assert a.cuts and b.cuts
+    rng = random.Random(7)
+    letters = ["a", "Z", "é", "7", "'s", "'", ".", "--", "\u0301", "\u00a0", "\u2003", "\x1c", "\x85", "你", "\U0001f600", "<s>", "▁", "ß", "×"]
+    texts = ["".join(rng.choice(letters + [" "] * 8 + ["\n", "\t"]) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    for tok in (a, b):
+        cut = align._encode(tok, *align.segments(texts, True))
+        assert cut.to_pylist() == align._encode(tok, *align.segments(texts, False)).to_pylist()
+
+
 def test_segment_sums():
     import pyarrow as pa
 
