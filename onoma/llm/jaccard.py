@@ -33,7 +33,9 @@ Components come from large-star/small-star rounds over written tables.
 Null texts and texts without words have an empty set, no links and their own
 id as component. Texts of fewer than five words have their whole word
 sequence as one shingle. Repeated rows are copies. A null doc_id never names
-a component that has another id. Extra columns are ignored.
+a component that has another id, but its text links like any other. Extra
+columns are ignored. ``keep_one`` goes by text, so unlike texts under one id or
+under no id all stay.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onoma.llm.common import materialize
+from onoma.llm.common import WORD, materialize
 
 SHINGLE = 5
 #: Documents that share a token before it counts as frequent.
@@ -259,35 +261,41 @@ def _flags(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, classes: tuple[bytes, bytes]) -> DataFrame:
-    """``doc_id, n, fp, lists, body``: size, set fingerprint, entries and bitmap by band, compressed text.
+    """``doc_id, mark, n, fp, lists, body``: text hash, size, set fingerprint, entries and bitmap by band, compressed text.
 
-    ``body`` is there only for documents with entries, which alone can link.
+    ``lists`` and ``body`` are there only for documents with entries, which
+    alone can link, and for the first copies of a set that a task meets.
     """
     maps = docs.sparkSession.sparkContext.broadcast(classes)  # two bitmaps of fixed size
-    schema = "doc_id long, n long, fp long, lists array<struct<band:int,sigs:array<long>,bits:array<long>>>, body binary"
+    schema = "doc_id long, mark long, n long, fp long, lists array<struct<band:int,sigs:array<long>,bits:array<long>>>, body binary"
     lists = pa.list_(pa.struct([("band", pa.int32()), ("sigs", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         multi, frequent = (np.frombuffer(m, np.uint8) for m in maps.value)
-        hashes, press = WordHash(), zstandard.ZstdCompressor(level=3)
+        hashes, press, seen = WordHash(), zstandard.ZstdCompressor(level=3), set()
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [])
             for text in b.column(1).to_pylist():
                 tokens = shingles(text, hashes)
-                got = signatures(tokens, _flags(multi, tokens), _flags(frequent, tokens)) if len(tokens) else {}
+                fp = fingerprint(tokens) if len(tokens) else None
+                got = {}
+                if fp is not None and fp not in seen:
+                    got = signatures(tokens, _flags(multi, tokens), _flags(frequent, tokens))
+                    if len(seen) < 100_000:  # only saves work: copies become one node later
+                        seen.add(fp)
                 got = [{"band": k, "sigs": v.view(np.int64), "bits": parity(tokens, k)} for k, v in got.items() if len(v)]
                 rows[0].append(len(tokens))
-                rows[1].append(fingerprint(tokens) if len(tokens) else None)
+                rows[1].append(fp)
                 rows[2].append(got)
                 rows[3].append(press.compress(text.encode("utf-8", "surrogatepass")) if got else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], lists), pa.array(rows[3], pa.binary())],
-                ["doc_id", "n", "fp", "lists", "body"],
+                [b.column(0), b.column(2), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], lists), pa.array(rows[3], pa.binary())],
+                ["doc_id", "mark", "n", "fp", "lists", "body"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
 
 
 # ---- links ----------------------------------------------------------------
@@ -336,8 +344,10 @@ def components(edges: DataFrame) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         new = materialize(small.distinct(), "cc-edges")
-        # stable when every node hangs directly on a root
-        if not new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").take(1):
+        # stable when every node hangs on one node, and that one on none
+        chained = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        torn = new.groupBy("u").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("u")
+        if not chained.unionByName(torn).take(1):
             break
         e = new
     roots = new.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
@@ -351,12 +361,8 @@ def _comparable(m: str, n: str):
 def link(sketches: DataFrame) -> DataFrame:
     """``fp, comp`` of the nodes that link with another; see the module's text."""
     spark = sketches.sparkSession
-    nodes = sketches.filter(F.size("lists") > 0)
-    nodes = materialize(
-        nodes.join(nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), ["fp", "doc_id"])
-        .dropDuplicates(["fp"]).select("fp", "n", "lists", "body"),
-        "nodes",
-    )
+    # a set is one node whatever its rows' ids; tasks have dropped most copies already
+    nodes = materialize(sketches.filter(F.size("lists") > 0).select("fp", "n", "lists", "body").dropDuplicates(["fp"]), "nodes")
     listed = nodes.select("fp", "n", F.inline("lists"))
     entries = listed.select("fp", "n", "band", F.explode("sigs").alias("sig"))
     shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
@@ -407,11 +413,17 @@ def link(sketches: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("fp"), "comp")
 
 
-def similarity_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``."""
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, n, comp`` of every row: hash of its text, set size and component (null without words)."""
     sketches = materialize(sketch(docs, token_classes(docs)), "sketches")
     comps = link(sketches)
-    rows = sketches.select("doc_id", "n", "fp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    rows = sketches.select("doc_id", "mark", "n", "fp").join(comps, "fp", "left")
+    return rows.select("doc_id", "mark", "n", F.coalesce("comp", "fp").alias("comp"))
+
+
+def similarity_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``doc_id, text``."""
+    rows = grouped_rows(docs)
     least = rows.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
@@ -419,6 +431,12 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one whose id names the component (repeated ids: one row)."""
-    groups = similarity_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group: that of the smallest id (null last; equal ids: by text hash). Rows without words stay."""
+    rows = grouped_rows(docs).filter(F.col("comp").isNotNull())
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark"))
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(first["kept_id"]) & (marked["_mark"] == first["kept_mark"])
+    one = marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "_mark"])
+    blank = marked.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return one.unionByName(blank).drop("_mark")
