@@ -5,8 +5,8 @@ at the K lowest ids (``max_candidates``); nothing is capped unless asked for.
 
 The match job itself does not join on grams: a common gram pairs nearly every
 request with nearly every key, so it takes the request batch in blocks past
-the distinct keys instead (``onoma.operators.probe``). The index serves
-lookups of few requests and the capped mode.
+the stored lots instead (``onoma.operators.keyindex``, ``probe``). This view
+serves lookups of few requests and the capped mode.
 """
 
 from __future__ import annotations

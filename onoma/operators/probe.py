@@ -1,27 +1,26 @@
-"""Candidate probe of a request block (C2-C4) with exact bounds.
+"""Candidate probe of a request block against the stored lots (C2-C4), with exact bounds.
 
 A request batch is the stated query set; it is taken in blocks of bounded
-size and each block meets the distinct keys of the name table in one pass,
-without a shuffle and without materialising the pairs. Inside a task, keys
-are gathered into lots of similar length and each request is compared with a
-whole lot by array operations:
-
-1. posting lists of the block's grams within the lot give the candidates (a
-   request without any candidate in the whole table is taken again by the
-   caller with ``need_gram=False``);
-2. an upper bound of the token score from the shared tokens, the lengths and
-   the letter counts, and of the edit score from the lengths, drop pairs that
-   cannot reach the request's threshold;
-3. the LCS with the request as the pattern (any length) gives the exact edit
+size, and each block meets the lots of the key index in one scan, without a
+shuffle and without materialising the pairs. For a request and a lot:
+
+1. the posting lists of the request's grams give the candidates (a request
+   without any candidate in the whole table is taken again by the caller with
+   ``need_gram=False``);
+2. bounds from the lot's lengths and letter maxima leave out whole lots;
+3. bounds of both scores from shared tokens, lengths and letter counts leave
+   out keys, for all keys of the lot at once;
+4. the LCS with the request as the pattern (any length) gives the exact edit
    score, and the bound is applied again;
-4. what is left gets its exact token score.
+5. what is left gets its exact token score.
 
-Dropped pairs could not reach the threshold, so the result is complete.
+Dropped pairs could not reach the threshold, so the result is complete. At the
+default threshold an edit of three letters in ten may spoil every gram, so no
+prefix of rare grams is safe; counts and lengths are what bounds the scores.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,17 +28,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from onoma.functions.similarity import lcs_from_pattern, lcs_lengths
+from onoma.operators.keyindex import KeyIndex, Lot, joined_length, key_grams, key_tokens, letter_counts
 
 BLOCK_REQUESTS = 4000
 BLOCK_CHARS = 1 << 20
-LOT_KEYS = 16384
-LOT_CELLS = 1 << 22
+#: Pairs whose exact token score is taken at a time.
+CLOSE_PAIRS = 20_000
 SLACK = 1e-9
 
-PROBE_SCHEMA = "request_id long, key string, candidates long, token_raw double, edit_raw double, similarity_raw double"
+PROBE_SCHEMA = (
+    "request_id long, key string, candidates long, bounded long, scored long, token_raw double, edit_raw double, similarity_raw double"
+)
 
 
 @dataclass(frozen=True)
@@ -70,42 +71,6 @@ def request_blocks(requests: DataFrame) -> Iterator[list[Query]]:
         yield block
 
 
-def key_grams(key: str, n: int) -> set[str]:
-    if len(key) <= n:
-        return {key} if key else set()
-    return {key[i : i + n] for i in range(len(key) - n + 1)}
-
-
-class Lot:
-    """Keys of similar length with the posting lists of a block's grams and tokens."""
-
-    def __init__(self, keys: list[str], members: list[int], grams: frozenset[str], tokens: frozenset[str], n: int):
-        self.keys = keys
-        self.members = np.array(members, np.int64)
-        self.lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-        self.tokens = [set(k.split(" ")) - {""} for k in keys]
-        self.n_tokens = np.fromiter(map(len, self.tokens), np.int64, len(keys))
-        self.token_chars = np.fromiter((sum(map(len, t)) for t in self.tokens), np.int64, len(keys))
-        by_gram, by_token = defaultdict(list), defaultdict(list)
-        for i, (k, ts) in enumerate(zip(keys, self.tokens)):
-            for g in key_grams(k, n) & grams:
-                by_gram[g].append(i)
-            for t in ts & tokens:
-                by_token[t].append(i)
-        self.by_gram = {g: np.array(v) for g, v in by_gram.items()}
-        self.by_token = {t: np.array(v) for t, v in by_token.items()}
-        width = max(1, int(self.lengths.max()))
-        self.codes = np.array(keys, dtype=f"U{width}").view(np.uint32).reshape(len(keys), width)
-        self.chars, at = np.unique(self.codes, return_inverse=True)
-        self.columns = np.ascontiguousarray(at.reshape(self.codes.shape).T.astype(np.uint16 if len(self.chars) < 1 << 16 else np.int64))
-        self._counts: dict[str, np.ndarray] = {}
-
-    def count(self, char: str) -> np.ndarray:
-        if char not in self._counts:
-            self._counts[char] = (self.codes == ord(char)).sum(axis=1)
-        return self._counts[char]
-
-
 def _joined(chars, count):
     """Length of ``count`` tokens of ``chars`` characters joined by spaces."""
     return chars + np.maximum(count - 1, 0)
@@ -126,111 +91,166 @@ def _token_score(nq, nk, shared, x_len, y_len, sect, lcs):
     return np.where((nq == 0) | (nk == 0), 0.0, out)
 
 
-def _compare(lot: Lot, query: Query, grams: set[str], need_gram: bool) -> tuple[int, list[tuple]]:
-    """(candidates, rows of PROBE_SCHEMA) of one request key against a lot."""
-    q = query.text
+class _Asked:
+    """A request key with what the comparison needs."""
+
+    def __init__(self, query: Query, n: int):
+        self.text, self.asked = query.text, query.asked
+        self.grams = key_grams(query.text, n)
+        self.tokens = key_tokens(query.text)
+        self.chars = sum(map(len, self.tokens))
+        self.counts = letter_counts([query.text])[:, 0]
+        self.bars = sorted({(t, w) for _, t, w in query.asked})
+
+    def reachable(self, token, edit, slack: float = SLACK) -> np.ndarray:
+        out = np.zeros(np.shape(token), bool)
+        for t, w in self.bars:
+            out |= w * token + (1.0 - w) * edit >= t - slack
+        return out
+
+
+def _most_ratio(overlap, size, least):
+    """The most that 200 * LCS / (sum of lengths) can be for an overlap, one length and the least other length."""
+    overlap = min(overlap, size)
+    total = size + max(least, overlap)
+    return 200.0 * overlap / total if total else 100.0
+
+
+def _out_of_reach(lot: Lot, q: _Asked) -> bool:
+    """No key of the lot can reach a threshold of the request; only for requests that share no token with it."""
+    common = np.minimum(lot.most, q.counts)
+    own = joined_length(q.tokens)
+    token = _most_ratio(int(common[1:].sum()) + max(len(q.tokens) - 1, 0), own, lot.least_tokens)
+    edit = _most_ratio(int(common.sum()), len(q.text), lot.shortest)
+    return not q.reachable(np.array(token), np.array(edit))
+
+
+def _compare(lot: Lot, q: _Asked, need_gram: bool) -> "tuple[int, int, int, _Open | None]":
+    """(candidate records, keys bounded, keys scored, pairs left) of one request key against a lot."""
+    held = np.ones(lot.n, bool)
+    found = 0
     if need_gram:
-        mask = np.zeros(len(lot.keys), bool)
-        for g in grams:
-            if g in lot.by_gram:
-                mask[lot.by_gram[g]] = True
-        rows = np.flatnonzero(mask)
-    else:
-        rows = np.arange(len(lot.keys))
-    found = int(lot.members[rows].sum())
-    if not len(rows):
-        return found, []
-
-    def reachable(token, edit):
-        return np.any([w * token + (1.0 - w) * edit >= t - SLACK for _, t, w in query.asked], axis=0)
-
-    # shared tokens of every key of the lot
-    own = set(q.split(" ")) - {""}
-    shared, shared_chars = np.zeros(len(lot.keys), np.int64), np.zeros(len(lot.keys), np.int64)
-    for t in own:
-        if t in lot.by_token:
-            shared[lot.by_token[t]] += 1
-            shared_chars[lot.by_token[t]] += len(t)
-    shared, shared_chars = shared[rows], shared_chars[rows]
-    own_chars, lengths = sum(map(len, own)), lot.lengths[rows]
-    x_len = _joined(own_chars - shared_chars, len(own) - shared)
-    y_len = _joined(lot.token_chars[rows] - shared_chars, lot.n_tokens[rows] - shared)
+        held = np.zeros(lot.n, bool)
+        for g in q.grams:
+            rows = lot.gram(g)
+            if rows is not None:
+                held[rows] = True
+        found = int(lot.members[held].sum()) if lot.repeated else int(np.count_nonzero(held))
+        if not found:
+            return 0, 0, 0, None
+
+    shared, shared_chars = np.zeros(lot.n, np.int32), np.zeros(lot.n, np.int32)
+    for t in q.tokens:
+        rows = lot.token(t)
+        if rows is not None:
+            shared[rows] += 1
+            shared_chars[rows] += len(t)
+    if not shared.any() and _out_of_reach(lot, q):
+        return found, 0, 0, None
+
+    letters = lot.overlap(q.counts)
+    spaces = np.minimum(lot.counts[0], min(int(q.counts[0]), np.iinfo(lot.counts.dtype).max))
+    bounded = int(np.count_nonzero(held))
+    # keys that share no token: both scores are ratios of common letters (single precision, hence the slack)
+    common = letters.astype(np.float32)
+    edit_most = 200 * (common + spaces) / np.maximum(lot.lengths + np.float32(len(q.text)), 1)
+    gaps = np.maximum(np.minimum(lot.n_tokens, len(q.tokens)) - 1, 0)
+    token_most = 200 * (common + gaps) / np.maximum(lot.joined + np.float32(joined_length(q.tokens)), 1)
+    keep = np.flatnonzero(held & ((shared > 0) | (lot.lengths == 0) | q.reachable(token_most, edit_most, 0.01)))
+    if not len(keep):
+        return found, bounded, 0, None
+
+    lengths, n_tokens, shared, shared_chars = lot.lengths[keep], lot.n_tokens[keep], shared[keep], shared_chars[keep]
+    letters, spaces = letters[keep].astype(np.int64), spaces[keep]
+    x_len = _joined(q.chars - shared_chars, len(q.tokens) - shared)
+    y_len = _joined(lot.token_chars[keep] - shared_chars, n_tokens - shared)
     sect = _joined(shared_chars, shared)
-    letters = sum((np.minimum(lot.count(c)[rows], q.count(c)) for c in set(q) if c != " "), np.zeros(len(rows), np.int64))
-    blanks = np.minimum(np.maximum(len(own) - shared - 1, 0), np.maximum(lot.n_tokens[rows] - shared - 1, 0))
+    blanks = np.minimum(np.maximum(len(q.tokens) - shared - 1, 0), np.maximum(n_tokens - shared - 1, 0))
     # repeated tokens count once in x and y and more often in the letters: still an upper bound
     most = np.minimum(np.minimum(x_len, y_len), letters - shared_chars + blanks)
-    token_most = _token_score(len(own), lot.n_tokens[rows], shared, x_len, y_len, sect, most)
-    total = len(q) + lengths
-    spaces = np.minimum(lot.count(" ")[rows], q.count(" "))
-    edit_most = np.where(total == 0, 100.0, 200.0 * np.minimum(letters + spaces, np.minimum(len(q), lengths)) / np.maximum(total, 1))
-
-    ok = np.flatnonzero(reachable(token_most, edit_most))
+    token_most = _token_score(len(q.tokens), n_tokens, shared, x_len, y_len, sect, most)
+    total = len(q.text) + lengths
+    edit_most = np.where(total == 0, 100.0, 200.0 * np.minimum(letters + spaces, np.minimum(len(q.text), lengths)) / np.maximum(total, 1))
+    ok = np.flatnonzero(q.reachable(token_most, edit_most))
     if not len(ok):
-        return found, []
-    lcs = lcs_from_pattern(q, lot.chars, lot.columns[: int(lengths[ok].max()), rows[ok]])
+        return found, bounded, 0, None
+
+    scored = len(ok)
+    chars, columns = lot.letters
+    lcs = lcs_from_pattern(q.text, chars, columns[: int(lengths[ok].max()), keep[ok]])
     total = total[ok]
     edit = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
-    left = reachable(token_most[ok], edit)
+    left = q.reachable(token_most[ok], edit)
     ok, edit = ok[left], edit[left]
     if not len(ok):
-        return found, []
-    pairs = [(own - lot.tokens[i], lot.tokens[i] - own) for i in rows[ok]]
-    xs, ys = (pd.Series([" ".join(sorted(p[s])) for p in pairs], dtype=object) for s in (0, 1))
-    exact = lcs_lengths(xs, ys).to_numpy(np.int64)
-    token = _token_score(len(own), lot.n_tokens[rows[ok]], shared[ok], x_len[ok], y_len[ok], sect[ok], exact)
-    out = []
-    for request_id, t, w in query.asked:
-        sim = w * token + (1.0 - w) * edit
-        for j in np.flatnonzero(sim >= t):
-            out.append((request_id, lot.keys[rows[ok[j]]], None, float(token[j]), float(edit[j]), float(sim[j])))
-    return found, out
-
-
-def probe(keys: DataFrame, block: list[Query], n: int, need_gram: bool = True) -> DataFrame:
-    """Rows of ``PROBE_SCHEMA`` for ``key, members``: scored pairs that reach their threshold, and
-    rows with a null key that carry a task's number of candidate records per request."""
-    grams = [key_grams(q.text, n) for q in block]
-    gram_set = frozenset().union(*grams)
-    token_set = frozenset(t for q in block for t in q.text.split(" ") if t)
+        return found, bounded, scored, None
+    at = keep[ok]
+    theirs = [key_tokens(lot.keys[i]) for i in at]
+    xs, ys = [" ".join(sorted(q.tokens - t)) for t in theirs], [" ".join(sorted(t - q.tokens)) for t in theirs]
+    lengths = np.array([np.full(len(ok), len(q.tokens)), n_tokens[ok], shared[ok], x_len[ok], y_len[ok], sect[ok]], np.int64)
+    return found, bounded, scored, _Open(q, at, edit, lengths, xs, ys)
+
+
+@dataclass
+class _Open:
+    """Pairs of a request that still need their exact token score."""
+
+    q: _Asked
+    at: np.ndarray
+    edit: np.ndarray
+    lengths: np.ndarray
+    xs: list[str]
+    ys: list[str]
+
+
+def _close(lot: Lot, waiting: list[_Open]) -> list[tuple]:
+    """Rows of PROBE_SCHEMA of the pairs that reach their threshold; one LCS call for all of them."""
+    if not waiting:
+        return []
+    xs, ys = (pd.Series([x for o in waiting for x in getattr(o, side)], dtype=object) for side in ("xs", "ys"))
+    lengths = np.concatenate([o.lengths for o in waiting], axis=1)
+    token = _token_score(*lengths, lcs_lengths(xs, ys).to_numpy(np.int64))
+    out, start = [], 0
+    for o in waiting:
+        own, start = token[start : start + len(o.at)], start + len(o.at)
+        for request_id, t, w in o.q.asked:
+            sim = w * own + (1.0 - w) * o.edit
+            for j in np.flatnonzero(sim >= t):
+                out.append((request_id, lot.keys[o.at[j]], None, None, None, float(own[j]), float(o.edit[j]), float(sim[j])))
+    return out
+
+
+def probe(index: KeyIndex, block: list[Query], need_gram: bool = True) -> DataFrame:
+    """Rows of ``PROBE_SCHEMA``: scored pairs that reach their threshold, and rows with a null key
+    that carry a task's number of candidate records, bounded keys and scored keys per request."""
+    n = index.ngram_n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in PROBE_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        counts = [0] * len(block)
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+        asked = [_Asked(q, n) for q in block]
+        work = np.zeros((3, len(block)), np.int64)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        def lots(held: list[tuple[str, int]]) -> Iterator[Lot]:
-            held.sort(key=lambda r: len(r[0]))
-            start = 0
-            while start < len(held):
-                stop = len(held)
-                while stop - start > 1 and (stop - start) * len(held[stop - 1][0]) > LOT_CELLS:
-                    stop = start + (stop - start) // 2
-                part = held[start:stop]
-                yield Lot([k for k, _ in part], [m for _, m in part], gram_set, token_set, n)
-                start = stop
-
-        def compare(held: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
-            for lot in lots(held):
-                rows: list[tuple] = []
-                for i, q in enumerate(block):
-                    found, got = _compare(lot, q, grams[i], need_gram)
-                    counts[i] += found
-                    rows += got
-                yield batch(rows)
-
-        held: list[tuple[str, int]] = []
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            if len(held) >= LOT_KEYS:
-                yield from compare(held)
-                held = []
-        if held:
-            yield from compare(held)
-        yield batch([(r, None, c, None, None, None) for q, c in zip(block, counts) if c for r, _, _ in q.asked])
-
-    return keys.filter(F.col("key").isNotNull()).select("key", "members").mapInArrow(run, PROBE_SCHEMA)
+            for at in range(b.num_rows):
+                lot = Lot(b.slice(at, 1).to_pylist()[0])
+                rows: list[tuple] = []
+                waiting: list[_Open] = []
+                held = 0
+                for i, q in enumerate(asked):
+                    *counted, left = _compare(lot, q, need_gram)
+                    work[:, i] += counted
+                    if left is not None:
+                        waiting.append(left)
+                        held += len(left.at)
+                    if held >= CLOSE_PAIRS:
+                        rows += _close(lot, waiting)
+                        waiting, held = [], 0
+                yield batch(rows + _close(lot, waiting))
+        yield batch([(r, None, *map(int, c), None, None, None) for q, c in zip(block, work.T) if c.any() for r, _, _ in q.asked])
+
+    return index.lots.mapInArrow(run, PROBE_SCHEMA)

@@ -2,12 +2,13 @@
 
 1. Requests are validated first (R7): only valid ones are matched, the others
    come back with a reason. Request ids and record ids must be unique.
-2. Records are standardised once and written; they collapse to distinct keys
-   with a member count (equal keys have equal scores).
-3. The request batch goes past the keys in blocks (``probe``): candidates are
+2. The name table is indexed once (``keyindex``): distinct keys with a member
+   count (equal keys have equal scores), in lots with letter counts and
+   postings. ``match`` indexes for one call, ``match_index`` opens a stored one.
+3. The request batch goes past the lots in blocks (``probe``): candidates are
    counted, bounded and scored inside the scan, so no pair is shuffled that
    cannot reach its request's threshold.
-4. Requests without any candidate (C4) go past the keys again without the
+4. Requests without any candidate (C4) go past the lots again without the
    gram condition, under the same bounds.
 5. Scored keys join their records. A request's limit is at most
    ``MAX_LIMIT`` and equal keys rank by id, so only the ``MAX_LIMIT`` lowest
@@ -19,8 +20,8 @@ The job runs its scans when called: what it returns reads written tables.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from onoma.functions.grams import token_set
 from onoma.functions.normalize import normalize_name
 from onoma.operators.candidates import DEFAULT_NGRAM, candidate_counts, candidate_ids, gram_index
-from onoma.operators.probe import PROBE_SCHEMA, Query, probe, request_blocks
+from onoma.operators.keyindex import KeyIndex, build_index
+from onoma.operators.probe import PROBE_SCHEMA, probe, request_blocks
 from onoma.operators.ranking import MAX_LIMIT, project_hits, rank_hits, with_display_scores
 from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
 from onoma.operators.ties import tie_stats
-from onoma.session import materialize
+from onoma.session import ensure_checkpoint_dir, materialize
 from onoma.sources.tables import with_request_defaults
 
 
@@ -51,6 +53,7 @@ class MatchResult:
     counts: DataFrame  # (request_id, candidate_count) of requests that hit the index
     rejected: DataFrame  # invalid requests with their reason
     requests: DataFrame  # the valid ones, prepared
+    work: DataFrame  # (request_id, bounded, scored): keys compared by bounds and by LCS
 
 
 def prepare_names(names: DataFrame) -> DataFrame:
@@ -74,27 +77,32 @@ def require_unique(df: DataFrame, col: str, what: str) -> None:
 
 def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> MatchResult:
     """Match requests ``(request_id, name, [threshold, limit, w_token, explain, include_by_id])``
-    against standardised ``names`` ``(id, full_name, normalized_name)``."""
-    spark = names.sparkSession
+    against standardised ``names`` ``(id, full_name, normalized_name)``, indexed for this call."""
+    root = f"{ensure_checkpoint_dir(names.sparkSession).rstrip('/')}/match-index-{uuid.uuid4().hex}"
+    return match_index(build_index(names, root, cfg.ngram_n), requests, cfg)
+
+
+def _scan(index: KeyIndex, requests: DataFrame, need_gram: bool) -> DataFrame:
+    """Probe the requests block by block; the driver holds one block at a time."""
+    spark = requests.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/match-scored-{uuid.uuid4().hex}"
+    spark.createDataFrame([], PROBE_SCHEMA).write.parquet(path)
+    for block in request_blocks(requests):
+        probe(index, block, need_gram).write.mode("append").parquet(path)
+    return spark.read.schema(PROBE_SCHEMA).parquet(path)
+
+
+def match_index(index: KeyIndex, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> MatchResult:
+    """Match requests against an opened index; only tables of the batch's size are written."""
     valid, rejected = validate_requests(requests)
     reqs = materialize(prepare_requests(valid), "match-requests")
     require_unique(reqs, "request_id", "request ids")
-    recs = materialize(names.select("id", "full_name", "normalized_name"), "match-records")
-    require_unique(recs, "id", "record ids")
-    # comparing is the costly part: a small key table still goes to every core
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = recs.groupBy(F.col("normalized_name").alias("key")).agg(F.count(F.lit(1)).alias("members"))
-    keys = materialize(keys.repartition(parts), "match-keys")
-
-    def scan(blocks: list[list[Query]], need_gram: bool) -> DataFrame:
-        parts = [probe(keys, b, cfg.ngram_n, need_gram) for b in blocks]
-        return materialize(reduce(DataFrame.unionByName, parts, spark.createDataFrame([], PROBE_SCHEMA)), "match-scored")
-
-    scored = scan(list(request_blocks(reqs)), True)
-    counts = scored.filter("key IS NULL").groupBy("request_id").agg(F.sum("candidates").alias("candidate_count"))
-    unhit = reqs.join(counts, "request_id", "left_anti")
-    fallback = scan(list(request_blocks(unhit)), False).filter("key IS NOT NULL")
-    pairs = scored.filter("key IS NOT NULL")
+    recs = index.records
+    scored = _scan(index, reqs, True)
+    counts = scored.filter("key IS NULL AND candidates > 0").groupBy("request_id").agg(F.sum("candidates").alias("candidate_count"))
+    unhit = _scan(index, reqs.join(counts, "request_id", "left_anti"), False)
+    work = scored.unionByName(unhit).filter("key IS NULL").groupBy("request_id").agg(F.sum("bounded").alias("bounded"), F.sum("scored").alias("scored"))
+    pairs, fallback = (df.filter("key IS NOT NULL").drop("candidates", "bounded", "scored") for df in (scored, unhit))
 
     ids = Window.partitionBy("normalized_name").orderBy("id")
     wanted = recs.join(pairs.unionByName(fallback).select(F.col("key").alias("normalized_name")).distinct(), "normalized_name", "left_semi")
@@ -102,14 +110,13 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
         lowest = wanted.withColumn("_rn", F.row_number().over(ids)).filter(F.col("_rn") <= MAX_LIMIT).drop("_rn")
         rows = pairs.unionByName(fallback).join(lowest, F.col("key") == F.col("normalized_name"))
     else:
-        capped = materialize(candidate_ids(reqs, gram_index(recs, cfg.ngram_n), cfg.ngram_n, cfg.max_candidates), "match-capped")
+        capped = materialize(candidate_ids(reqs, gram_index(recs, index.ngram_n), index.ngram_n, cfg.max_candidates), "match-capped")
         counts = candidate_counts(capped)
         rows = pairs.join(wanted, F.col("key") == F.col("normalized_name")).join(capped, ["request_id", "id"], "left_semi")
         rows = rows.unionByName(fallback.join(wanted, F.col("key") == F.col("normalized_name")))
     asked = reqs.select("request_id", "q_norm", "threshold", "limit", "w_token", "explain")
     display = materialize(with_display_scores(rank_hits(rows.join(asked, "request_id"))), "match-display")
 
-    all_records = recs.count()
     n_hits = display.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_hits"))
     summary = (
         reqs.select("request_id", "q_norm")
@@ -120,12 +127,12 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
             "request_id",
             "q_norm",
             F.col("candidate_count").isNull().alias("fallback"),
-            F.coalesce(F.col("candidate_count"), F.lit(all_records)).alias("candidate_count"),
+            F.coalesce(F.col("candidate_count"), F.lit(index.n_records)).alias("candidate_count"),
             F.coalesce(F.col("n_hits"), F.lit(0)).alias("n_hits"),
             *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("tie_groups", "by_token", "by_edit", "by_id")],
         )
     )
-    return MatchResult(project_hits(display), display, summary, counts, rejected, reqs)
+    return MatchResult(project_hits(display), display, summary, counts, rejected, reqs, work)
 
 
 def match_distinct(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
