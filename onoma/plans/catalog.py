@@ -35,13 +35,16 @@ from onoma.operators.querylog import (
     tie_shares,
     top_queries,
 )
+from onoma.operators.keyindex import build_index, open_index
 from onoma.operators.ranking import flat_payloads, payloads
 from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
+from onoma.operators.running import running_stats, whole_stats
 from onoma.operators.scoring import score_pairs
 from onoma.operators.standardize import standardize
-from onoma.plans.match import match, match_distinct, prepare_requests
+from onoma.plans.match import match, match_distinct, match_index, prepare_requests
 from onoma.session import ensure_checkpoint_dir, materialize
-from onoma.sources.names_csv import lenient_rows, strict_rows
+from onoma.sources import versions
+from onoma.sources.names_csv import lenient_rows, load_lenient_reported, strict_rows
 from onoma.sources.store import load_if_needed, load_report, read_names, upgrade_layout
 from onoma.sources.tables import SEGMENT_PATTERN, SEGMENT_STRIDE, column_names, read_table, segment_names, segment_requests
 
@@ -166,6 +169,15 @@ def q_match_topk(spark, sf):
     return match(doc_names(spark, sf), bench_requests(spark, sf)).hits
 
 
+def q_match_indexed(spark, sf):
+    """The same matches from a stored index: the part names' version is replaced before the match opens it."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    build_index(part_names(spark, sf), root)
+    build_index(doc_names(spark, sf), root)
+    versions.remove_old(spark, root)
+    return match_index(open_index(spark, root), bench_requests(spark, sf)).hits
+
+
 def q_match_explain(spark, sf):
     reqs = bench_requests(spark, sf).withColumn("explain", F.lit(True))
     return match(doc_names(spark, sf), reqs).hits
@@ -253,6 +265,16 @@ def q_log_rolling(spark, sf):
     return rolling_stats(log_from_events(read_table(spark, sf, "events")))
 
 
+def q_log_running(spark, sf):
+    """Mean and p95 over the newest 5,000 searches, at every search."""
+    return running_stats(log_from_events(read_table(spark, sf, "events")))
+
+
+def q_log_percentiles(spark, sf):
+    """p95 over all searches."""
+    return whole_stats(log_from_events(read_table(spark, sf, "events")))
+
+
 def q_log_last_n(spark, sf):
     return last_searches(log_from_events(read_table(spark, sf, "events"))).select("seq", "query_norm", "latency_ms", "candidate_count")
 
@@ -339,8 +361,7 @@ def q_load_strict_key(spark, sf):
     return strict_rows(*_strict_body(spark, sf), "standardized")
 
 
-def q_load_lenient(spark, sf):
-    """Lenient loader rules over ``customer``: bad ids, blank names and empty keys drop out."""
+def _lenient_body(spark, sf):
     cust = read_table(spark, sf, "customer")
     key = F.col("c_custkey").cast("string")
     body = cust.select(
@@ -349,7 +370,18 @@ def q_load_lenient(spark, sf):
         .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" "), F.col("c_name"), F.lit("\t"))).alias("_c1"),
         F.lit("ignored").alias("_c2"),
     )
-    return lenient_rows(body, [" IDX", "Nombre ", "extra"])
+    return body, [" IDX", "Nombre ", "extra"]
+
+
+def q_load_lenient(spark, sf):
+    """Lenient loader rules over ``customer``: bad ids, blank names and empty keys drop out."""
+    return lenient_rows(*_lenient_body(spark, sf))
+
+
+def q_lenient_report(spark, sf):
+    """What that load kept and dropped, counted on the pass that stores it."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lenient-{uuid.uuid4().hex}"
+    return load_lenient_reported(*_lenient_body(spark, sf), "original", lambda rows: rows.write.parquet(root))
 
 
 def q_store_reload(spark, sf):
@@ -428,6 +460,7 @@ QUERIES: dict[str, Query] = {
     "candidate_counts": q_candidate_counts,
     "fallback": q_fallback,
     "match_topk": q_match_topk,
+    "match_indexed": q_match_indexed,
     "match_explain": q_match_explain,
     "match_params": q_match_params,
     "match_dedupe": q_match_dedupe,
@@ -438,6 +471,8 @@ QUERIES: dict[str, Query] = {
     "distinct_requests": q_distinct_requests,
     "log_totals": q_log_totals,
     "log_rolling": q_log_rolling,
+    "log_running": q_log_running,
+    "log_percentiles": q_log_percentiles,
     "log_last_n": q_log_last_n,
     "top_queries": q_top_queries,
     "metrics_summary": q_metrics_summary,
@@ -452,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "load_strict": q_load_strict,
     "load_strict_key": q_load_strict_key,
     "load_lenient": q_load_lenient,
+    "lenient_report": q_lenient_report,
     "store_reload": q_store_reload,
     "stream_log": q_stream_log,
 }

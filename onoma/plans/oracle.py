@@ -271,6 +271,14 @@ def _loader_sql(q: dict[str, str]) -> None:
         "SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 13 = 0 THEN '#12' ELSE c_mktsegment || ' ' || c_name END AS full_name "
         "FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0)) WHERE k <> ''"
     )
+    q["lenient_report"] = (
+        "SELECT 'original' AS dataset_mode, count(*) AS source_rows, count(*) FILTER (WHERE kept) AS kept_rows, "
+        "count(*) FILTER (WHERE NOT has_id) AS no_id, count(*) FILTER (WHERE has_id AND NOT has_name) AS no_name, "
+        "count(*) FILTER (WHERE has_id AND has_name AND NOT kept) AS no_key, "
+        "CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER (WHERE kept))::DOUBLE / count(*)::DOUBLE END AS kept_ratio FROM ("
+        "SELECT c_custkey % 7 <> 0 AS has_id, c_custkey % 11 <> 0 AS has_name, "
+        "c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AS kept FROM customer)"
+    )
     n = "(SELECT count(*) FROM part WHERE p_name IS NOT NULL)"
     q["store_reload"] = (
         f"SELECT 'first' AS step, CAST({n} AS BIGINT) AS loaded_rows, {n} AS records UNION ALL "
@@ -312,6 +320,7 @@ def ORACLES() -> dict[str, str]:  # noqa: N802
     nations = "SELECT CAST(n_nationkey AS BIGINT) AS request_id, n_name AS name, CAST(30.0 AS DOUBLE) AS threshold, 10 AS lim, CAST(0.65 AS DOUBLE) AS w_token, false AS explain FROM nation"
     q["fallback"] = _hits_sql(PART_NAMES, nations)
     q["match_topk"] = _hits_sql(DOC_NAMES, DEFAULT_REQ)
+    q["match_indexed"] = q["match_topk"]
     q["match_explain"] = _hits_sql(DOC_NAMES, EXPLAIN_REQ)
     q["match_params"] = _hits_sql(DOC_NAMES, PARAM_REQ)
     q["match_dedupe"] = _hits_sql(
@@ -341,6 +350,23 @@ def ORACLES() -> dict[str, str]:  # noqa: N802
         f"{pyround(_p95('CAST(candidate_count AS DOUBLE)'), 2)} AS candidates_p95"
     )
     q["log_rolling"] = f"{ev} SELECT {rolling}"
+    every = f"{ev}, a AS (SELECT seq, latency_ms AS l, CAST(candidate_count AS DOUBLE) AS c FROM lg2 WHERE NOT is_repeat)"
+    q["log_running"] = (
+        f"{every}, w AS (SELECT seq, count(*) OVER o AS n, list(l) OVER o AS ll, list(c) OVER o AS cl, "
+        "sum(CAST(round(l * 1000000) AS HUGEINT)) OVER o AS ls, sum(CAST(round(c * 1000000) AS HUGEINT)) OVER o AS cs, "
+        "count(l) OVER o AS ln, count(c) OVER o AS cn FROM a WINDOW o AS (ORDER BY seq ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)), "
+        "f AS (SELECT seq, n, CASE WHEN ln = 0 THEN 0.0::DOUBLE ELSE ls::DOUBLE / (ln * 1000000)::DOUBLE END AS la, "
+        "CASE WHEN cn = 0 THEN 0.0::DOUBLE ELSE cs::DOUBLE / (cn * 1000000)::DOUBLE END AS ca, "
+        "coalesce(list_sort(ll, 'ASC', 'NULLS FIRST')[floor(0.95::DOUBLE * (n - 1))::BIGINT + 1], 0.0::DOUBLE) AS lp, "
+        "coalesce(list_sort(cl, 'ASC', 'NULLS FIRST')[floor(0.95::DOUBLE * (n - 1))::BIGINT + 1], 0.0::DOUBLE) AS cp FROM w) "
+        f"SELECT seq, n, {pyround('la', 2)} AS latency_ms_avg, {pyround('lp', 2)} AS latency_ms_p95, "
+        f"{pyround('ca', 2)} AS candidates_avg, {pyround('cp', 2)} AS candidates_p95 FROM f"
+    )
+    nth = "(SELECT {0} FROM (SELECT {0}, row_number() OVER (ORDER BY {0}) AS r, count(*) OVER () AS n FROM a WHERE {0} IS NOT NULL) WHERE r = floor(0.95::DOUBLE * (n - 1))::BIGINT + 1)"
+    q["log_percentiles"] = (
+        f"{every}, f AS (SELECT coalesce({nth.format('l')}, 0.0::DOUBLE) AS lp, coalesce({nth.format('c')}, 0.0::DOUBLE) AS cp) "
+        f"SELECT (SELECT count(*) FROM a) AS searches, {pyround('lp', 2)} AS latency_ms_p95, {pyround('cp', 2)} AS candidates_p95 FROM f"
+    )
     q["log_last_n"] = f"{ev} SELECT seq, query_norm, latency_ms, candidate_count FROM srch"
     q["top_queries"] = (
         f"{ev} SELECT CAST(row_number() OVER (ORDER BY cnt DESC, first_seq ASC) AS INTEGER) AS position, query_norm AS query, cnt AS count "

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.functions.normalize import strip_space
@@ -76,9 +78,8 @@ def strict_rows(body: DataFrame, header: list[str], mode: str = "original") -> D
     return standardize(out.withColumn("id", F.trim(F.col("_id")).cast("long")).drop("_id"), mode)
 
 
-def lenient_rows(body: DataFrame, header: list[str], mode: str = "original") -> DataFrame:
-    """Row rules of the lenient loader (I2, I5): trimmed, case-insensitive headers;
-    values trimmed of any white space; bad ids, blank names and empty keys dropped."""
+def _lenient_columns(body: DataFrame, header: list[str]) -> DataFrame:
+    """``id`` (null where it is no whole number) and trimmed ``full_name`` of every row."""
     lowered = [h.strip().lower() for h in header]
 
     def pick(aliases: list[str]) -> str:
@@ -87,13 +88,47 @@ def lenient_rows(body: DataFrame, header: list[str], mode: str = "original") ->
                 return f"_c{lowered.index(a)}"
         raise ValueError(f"CSV needs 'id' and 'name' columns (or equivalents); header={header}")
 
-    typed = body.select(
+    return body.select(
         strip_space(F.col(pick(LENIENT_ID_ALIASES))).try_cast("long").alias("id"),
         strip_space(F.col(pick(LENIENT_NAME_ALIASES))).alias("full_name"),
-    ).filter(F.col("id").isNotNull() & F.col("full_name").isNotNull() & (F.col("full_name") != ""))
+    )
+
+
+def lenient_rows(body: DataFrame, header: list[str], mode: str = "original") -> DataFrame:
+    """Row rules of the lenient loader (I2, I5): trimmed, case-insensitive headers;
+    values trimmed of any white space; bad ids, blank names and empty keys dropped."""
+    typed = _lenient_columns(body, header)
+    typed = typed.filter(F.col("id").isNotNull() & F.col("full_name").isNotNull() & (F.col("full_name") != ""))
     return standardize(typed, mode, drop_empty=True)
 
 
+def load_lenient_reported(body: DataFrame, header: list[str], mode: str, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Load by the lenient rules and report on it (I10): ``write`` gets the kept rows.
+
+    The counts are metrics observed on the one pass that ``write`` makes: rows
+    of the source, rows kept, and what the others lacked (the first reason
+    counts: id, name, key). ``kept_ratio`` is 1.0 for a source without rows.
+    """
+    seen = Observation(f"load-{uuid.uuid4().hex}")
+    rows = standardize(_lenient_columns(body, header), mode)
+    no_id, no_name = F.col("id").isNull(), F.coalesce(F.col("full_name"), F.lit("")) == ""
+    reason = F.when(no_id, "id").when(no_name, "name").when(F.coalesce(F.col("normalized_name"), F.lit("")) == "", "key")
+    rows = rows.withColumn("_reason", reason).observe(
+        seen,
+        F.count(F.lit(1)).alias("source_rows"),
+        F.count_if(F.col("_reason").isNull()).alias("kept_rows"),
+        *[F.count_if(F.col("_reason") == r).alias(f"no_{r}") for r in ("id", "name", "key")],
+    )
+    write(rows.filter(F.col("_reason").isNull()).drop("_reason"))
+    found = seen.get
+    ratio = found["kept_rows"] / found["source_rows"] if found["source_rows"] else 1.0
+    counts = [found[c] for c in ("source_rows", "kept_rows", "no_id", "no_name", "no_key")]
+    return body.sparkSession.createDataFrame(
+        [(resolve_mode(mode), *counts, ratio)],
+        "dataset_mode string, source_rows long, kept_rows long, no_id long, no_name long, no_key long, kept_ratio double",
+    )
+
+
 def read_names_strict(spark: SparkSession, path: str, mode: str = "original", multi_line: bool = False) -> DataFrame:
     """I1 + I4: ``(id, full_name, normalized_name)``; a missing id or name fails the load."""
     return strict_rows(*_read_positional(spark, path, multi_line), mode)

@@ -1,7 +1,9 @@
 """Persisted standardised name table.
 
 The table lives as parquet under a path that includes the mode, so changing
-mode never serves the other mode's rows.
+mode never serves the other mode's rows. A refresh writes a version of its own
+and switches to it last (``versions``): readers see the old rows or the new
+ones, and a load that fails leaves the old ones.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from onoma.functions.normalize import normalize_name
 from onoma.operators.standardize import resolve_mode
+from onoma.sources import versions
 
 TABLE_COLUMNS = ["id", "full_name", "normalized_name"]
 
@@ -29,14 +32,20 @@ def write_names(names: DataFrame, root: str, mode: str) -> int:
     """Full refresh of the table; fails on duplicate ids. Returns rows written."""
     if duplicate_ids(names).limit(1).count():
         raise ValueError("duplicate ids in the name table")
-    path = table_path(root, mode)
-    names.select(*TABLE_COLUMNS).write.mode("overwrite").parquet(path)
-    return names.sparkSession.read.parquet(path).count()
+    spark = names.sparkSession
+    path = versions.publish(spark, table_path(root, mode), lambda at: names.select(*TABLE_COLUMNS).write.parquet(at))
+    return spark.read.parquet(path).count()
 
 
 def read_names(spark: SparkSession, root: str, mode: str) -> DataFrame:
-    """I8: scan the table."""
-    return spark.read.parquet(table_path(root, mode)).select(*TABLE_COLUMNS)
+    """I8: scan the table's current version; the reader keeps it through later refreshes."""
+    path = table_path(root, mode)
+    return spark.read.parquet(versions.current(spark, path) or path).select(*TABLE_COLUMNS)
+
+
+def remove_old_names(spark: SparkSession, root: str, mode: str, keep: int = 1) -> int:
+    """Remove replaced versions of the table that no reader needs any more."""
+    return versions.remove_old(spark, table_path(root, mode), keep)
 
 
 def has_rows(spark: SparkSession, root: str, mode: str) -> bool:

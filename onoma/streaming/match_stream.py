@@ -1,8 +1,8 @@
 """Streams of match requests (ST1) and the query log they leave (ST2).
 
-Each micro-batch of requests is matched against the static name table with
-the batch plan (ranking windows are not allowed on a stream itself, hence
-``foreachBatch``). Every batch writes to a folder named by its batch id with
+The names are indexed once, before the first batch; each micro-batch opens that
+version of the index and writes only tables of its own size (ranking windows
+are not allowed on a stream itself, hence ``foreachBatch``). Every batch writes to a folder named by its batch id with
 mode overwrite, so a batch replayed after a failure replaces its own output
 instead of duplicating it. All paths come from the caller and belong on
 shared storage (the session's checkpoint folder in the tests).
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from onoma.operators.querylog import TIE_COLUMNS
-from onoma.plans.match import MatchConfig, match
+from onoma.operators.keyindex import KeyIndex, build_index, open_index
+from onoma.plans.match import MatchConfig, match_index
 
 # What makes two requests equal.
 LOG_KEY = ["query_norm", "threshold", "limit", "w_token", "explain", "include_by_id"]
@@ -28,7 +29,7 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig()):
+def batch_writer(index: KeyIndex, out_dir: str, cfg: MatchConfig = MatchConfig()):
     """The ``foreachBatch`` function: hits, rejections, log rows and first-seen keys of one micro-batch.
 
     The first-seen table has one row per request key and batch that brought a
@@ -37,7 +38,7 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        result = match(names, batch, cfg)
+        result = match_index(index, batch, cfg)
         result.hits.write.mode("overwrite").parquet(f"{out_dir}/hits/batch_id={batch_id}")
         result.rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
         asked = result.requests.select("request_id", "threshold", "limit", "w_token", "explain", "include_by_id")
@@ -70,13 +71,9 @@ def batch_writer(names: DataFrame, out_dir: str, cfg: MatchConfig = MatchConfig(
     return write_batch
 
 
-def materialize_names(names: DataFrame, table_dir: str) -> DataFrame:
-    """The name table that every micro-batch reads: written once, kept across restarts."""
-    spark = names.sparkSession
-    path = f"{table_dir}/names"
-    if _read_or_none(spark, path) is None:
-        names.select("id", "full_name", "normalized_name").write.parquet(path)
-    return spark.read.parquet(path)
+def standing_index(names: DataFrame, root: str, cfg: MatchConfig = MatchConfig()) -> KeyIndex:
+    """The index that every micro-batch reads: built once, kept across restarts."""
+    return open_index(names.sparkSession, root) or build_index(names, root, cfg.ngram_n)
 
 
 def start_match_stream(
@@ -90,10 +87,10 @@ def start_match_stream(
     files_per_batch: int = 1,
 ):
     """Start the stream over parquet request files arriving in ``request_dir``."""
-    stored = materialize_names(names, f"{out_dir}/_tables")
+    index = standing_index(names, f"{out_dir}/_index", cfg)
     stream = spark.readStream.schema(request_schema).option("maxFilesPerTrigger", files_per_batch).parquet(request_dir)
     return (
-        stream.writeStream.foreachBatch(batch_writer(stored, out_dir, cfg))
+        stream.writeStream.foreachBatch(batch_writer(index, out_dir, cfg))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(processingTime="0 seconds")
         .start()

@@ -182,10 +182,10 @@ def test_metrics_scan_the_log_once_written(spark):
 
 def test_stream_log_marks_repeats_once(spark, tmp_path):
     """Two batches and a replay: each key is searched once, whatever the order of its requests."""
-    from onoma.streaming.match_stream import batch_writer, read_stream_log
+    from onoma.streaming.match_stream import batch_writer, read_stream_log, standing_index
 
     names = spark.createDataFrame([(1, "Ana Ruiz", "ana ruiz")], "id long, full_name string, normalized_name string")
-    write = batch_writer(names, str(tmp_path))
+    write = batch_writer(standing_index(names, f"{tmp_path}/index"), str(tmp_path))
     schema = "request_id long, name string"
     first = spark.createDataFrame([(5, "Ana Ruiz"), (6, "ana ruiz"), (7, "luis")], schema)
     second = spark.createDataFrame([(1, "ANA RUIZ"), (2, "luis"), (3, "eva"), (4, None)], schema)
