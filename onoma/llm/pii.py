@@ -11,9 +11,16 @@ the tokens of the regions.
 
 ``train`` fits the weights by gradient ascent on the exact conditional
 likelihood (forward-backward over segments) of a bounded sample: regions of
-the ``SAMPLE_DOCS`` documents of lowest hash that hold a digit or ``@``,
-labelled by the base patterns, plus copies whose phone numbers have lost
-their country prefix, so that national numbers are learned too.
+the ``SAMPLE_DOCS`` documents of lowest hash that hold a digit or ``@``
+(``DOC_REGIONS`` of each, cut after ``REGION_TOKENS`` tokens; at most
+``MAX_REGIONS`` different ones), labelled by the base patterns. These bounds
+hold for fitting only; every text is searched whole. To the rows come copies
+whose phone numbers have lost their country prefix, so that national numbers
+are learned too, and rows in which a span stands two or three times in a row
+or beside a short number (``in_runs``): the base card pattern takes such a run
+for one long number and drops it, the field finds each number in it.
+
+A model span counts if its own segment score is at least ``MIN_SCORE``.
 
 ``base_spans`` are the contract's patterns; the result of a text is the base
 spans plus the model's spans that meet none of them. ``redact`` replaces
@@ -39,9 +46,12 @@ KINDS = ("email", "ip", "card", "phone")
 
 SAMPLE_DOCS = 400
 MAX_REGIONS = 600
+DOC_REGIONS = 8
 MAX_TOKENS = 5
+REGION_TOKENS = 4 * MAX_TOKENS
 EPOCHS = 12
-MIN_MARGIN = 2.0
+#: Smallest score of a model span: the weights of its segment, transitions apart.
+MIN_SCORE = 2.0
 
 # The contract's patterns. The e-mail pattern is anchored at
 # each @ (its local part is the run of local characters before it) and the
@@ -283,8 +293,26 @@ def _national(text: str) -> str:
     return re.sub(r"\+[0-9]{1,3}[ .-]+(?=[(0-9])", "", text)
 
 
+def in_runs(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Rows of one span of ``text`` repeated and of one beside a short number, with the spans to find.
+
+    One span of each kind is used, the first.
+    """
+    out = []
+    for kind in KINDS:
+        span = next((text[a:b] for k, a, b in spans if k == kind), None)
+        if span is None:
+            continue
+        step = len(span) + 1
+        for times in (2, 3):
+            out.append((" ".join([span] * times), [(kind, i * step, i * step + len(span)) for i in range(times)]))
+        out.append((f"27 {span}", [(kind, 3, 3 + len(span))]))
+        out.append((f"{span} 27", [(kind, 0, len(span))]))
+    return out
+
+
 def region_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """Region texts of the sampled documents; at most ``MAX_REGIONS``, cut from the workers."""
+    """Region texts of the sampled documents; at most ``MAX_REGIONS``, cut on the workers."""
     sample = (
         docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text")
@@ -293,8 +321,8 @@ def region_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     def run(cols: dict[str, list]) -> dict[str, list]:
         out = []
         for text in cols["text"]:
-            for tokens in regions(text or "")[:8]:
-                tokens = tokens[: 4 * MAX_TOKENS]
+            for tokens in regions(text or "")[:DOC_REGIONS]:
+                tokens = tokens[:REGION_TOKENS]
                 out.append(text[tokens[0][0] : tokens[-1][1]])
         return {"region": out}
 
@@ -317,6 +345,7 @@ def train(docs: DataFrame) -> dict[str, float]:
                 if at >= 0:
                     shifted.append((k, at, at + len(cut)))
             variants.append((plain, shifted))
+        variants += in_runs(text, spans)
         for t, found in variants:
             for tokens in regions(t):
                 lattice = Lattice(t, tokens)
@@ -341,7 +370,7 @@ def model_spans(text: str, w: dict[str, float]) -> list[tuple[str, int, int]]:
     for tokens in regions(text):
         lattice = Lattice(text, tokens)
         if any(lattice.into):
-            out += [(KINDS[t - 1], a, b) for t, a, b, s in lattice.decode(w) if s >= MIN_MARGIN]
+            out += [(KINDS[t - 1], a, b) for t, a, b, s in lattice.decode(w) if s >= MIN_SCORE]
     return out
 
 

@@ -367,6 +367,22 @@ def test_semi_markov_field(spark_):
     assert (lat.gradient(up, gold, defaultdict(float)) - (best[0] - z)) / 1e-5 == pytest.approx(grad[name], abs=1e-3)
 
 
+def test_pii_numbers_in_runs(spark_, docs, empty):
+    """Valid numbers side by side: the base pattern drops the joint run, the field finds each."""
+    w = pii.train(docs)
+    n, m = "4465758382889437", "4111111111111111"
+    for text in (f"x {n} {n} y", f"x {n} {m} y", f"{n} {n} {n}", f"a {m}, {n} b", f"call 12 {n} now {m} {m}"):
+        left = pii.redacted(text, pii.all_spans(text, w)[1])
+        assert n not in left and m not in left, (text, left)
+    clean = "in 2019 2020 some 12 of 4000 people 10.5 km 17 03 2021"
+    assert pii.all_spans(clean, w) == ([], [])
+    rows = pii.in_runs(f"mail {n} a@b.co", [("card", 5, 21), ("email", 22, 28)])
+    assert len(rows) == 8 and all(t[a:b] in (n, "a@b.co") for t, spans in rows for _, a, b in spans)
+    for r in pii.redact(docs, w).collect():
+        left = [t for t in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if re.fullmatch("[0-9]{12,19}", t) and pii.luhn(t)]
+        assert not left, (r["doc_id"], left)
+
+
 def test_pii_redaction():
     spans = pii.base_spans("mail a.b@c.de, ip 1.2.3.4")
     assert pii.redacted("mail a.b@c.de, ip 1.2.3.4", spans) == "mail <EMAIL>, ip <IP>"
