@@ -66,6 +66,19 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def sampled_texts(docs: DataFrame, k: int) -> DataFrame:
+    """``text`` of the rows that hold the ``k`` lowest (doc_id hash, text hash) pairs.
+
+    Only pairs of hashes are ranked; the texts of the winners are then picked
+    where they lie, so no task gathers texts. The list of pairs is broadcast:
+    it has at most ``k`` rows. Copies of a chosen row (equal id and text) come
+    along; null ids and texts hash like values.
+    """
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("_id_hash"), F.xxhash64("text").alias("_text_hash"))
+    lowest = hashed.select("_id_hash", "_text_hash").orderBy("_id_hash", "_text_hash").limit(k)
+    return hashed.join(F.broadcast(lowest), ["_id_hash", "_text_hash"], "left_semi").select("text")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onoma.llm.common import map_rows
+from onoma.llm.common import map_rows, sampled_texts
 
 #: Kinds in the contract's order.
 KINDS = ("email", "ip", "card", "phone")
@@ -313,10 +313,7 @@ def in_runs(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, lis
 
 def region_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """Region texts of the sampled documents; at most ``MAX_REGIONS``, cut on the workers."""
-    sample = (
-        docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text")
-    )
+    sample = sampled_texts(docs.filter(F.col("text").rlike("[0-9@]")), sample_docs)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out = []

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from onoma.llm import decontam, hosts, jaccard, kneser, langid, licenses, mixing, pii, rules, warc
-from onoma.llm.common import prepare
+from onoma.llm.common import prepare, sampled_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -383,6 +383,13 @@ def test_pii_numbers_in_runs(spark_, docs, empty):
         assert not left, (r["doc_id"], left)
 
 
+def test_sampled_texts(spark_, docs, edge, empty):
+    assert sampled_texts(empty, 5).count() == 0
+    got = [r["text"] for r in sampled_texts(docs, 7).collect()]
+    assert len(got) == 7 and sorted(got) == sorted(r["text"] for r in sampled_texts(docs.repartition(5), 7).collect())
+    assert sampled_texts(edge, 10**6).count() == len(EDGE)  # null ids, null texts and copies included
+
+
 def test_pii_redaction():
     spans = pii.base_spans("mail a.b@c.de, ip 1.2.3.4")
     assert pii.redacted("mail a.b@c.de, ip 1.2.3.4", spans) == "mail <EMAIL>, ip <IP>"
