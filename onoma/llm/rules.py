@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onoma.llm.common import SPACES, map_rows
+from onoma.llm.common import SPACES, map_rows, sampled_texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -145,12 +145,12 @@ RULES = BASE_RULES + OWN_RULES
 
 
 def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Cost and selectivity of each rule on the rows of lowest doc_id hash.
+    """Cost and selectivity of each rule on the ``sample_rows`` rows of lowest doc_id hash.
 
-    Runs on the workers; the bounded sample is taken by a top-k sort. Empty
-    tables give cost 0 and selectivity 0.
+    Runs on the workers, each on the sampled rows of its own part of the table
+    (``common.sampled_texts``). Empty tables give cost 0 and selectivity 0.
     """
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text")
+    sample = sampled_texts(docs, sample_rows)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out = {"rule": [], "n": [], "rejected": [], "seconds": []}
