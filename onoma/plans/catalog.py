@@ -23,6 +23,7 @@ from onoma.functions.grams import distinct_grams, token_set
 from onoma.functions.normalize import normalize_name
 from onoma.functions.similarity import py_round
 from onoma.operators import candidates as C
+from onoma.operators.arriving import add_names, stored_groups, stored_members
 from onoma.operators.dedupe import dedupe, dedupe_members, dedupe_report
 from onoma.operators.profile import profile_names
 from onoma.operators.querylog import (
@@ -139,6 +140,23 @@ def q_dedupe_customer_members(spark, sf):
     return dedupe_members(customer_names(spark, sf))
 
 
+def _arrived(spark: SparkSession, sf: str) -> str:
+    """All names of the documents, added in two batches whose ids interleave."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    names = materialize(doc_names(spark, sf), "arriving-names").withColumn("_first", F.xxhash64("id") < 0)
+    add_names(names.filter("_first"), root, "first")
+    add_names(names.filter("NOT _first"), root, "second")
+    return root
+
+
+def q_dedupe_arriving(spark, sf):
+    return stored_groups(spark, _arrived(spark, sf))
+
+
+def q_dedupe_arriving_members(spark, sf):
+    return stored_members(spark, _arrived(spark, sf))
+
+
 def q_name_profile(spark, sf):
     return profile_names(segment_names(spark, sf))
 
@@ -455,6 +473,8 @@ QUERIES: dict[str, Query] = {
     "dedupe_report": q_dedupe_report,
     "dedupe_customers": q_dedupe_customers,
     "dedupe_customer_members": q_dedupe_customer_members,
+    "dedupe_arriving": q_dedupe_arriving,
+    "dedupe_arriving_members": q_dedupe_arriving_members,
     "name_profile": q_name_profile,
     "candidates": q_candidates,
     "candidate_counts": q_candidate_counts,

@@ -305,6 +305,8 @@ def ORACLES() -> dict[str, str]:  # noqa: N802
     )
     q["dedupe_documents"] = _dedupe_sql(DOC_NAMES)
     q["dedupe_members"] = _members_sql(DOC_NAMES)
+    q["dedupe_arriving"] = _dedupe_sql(DOC_NAMES)
+    q["dedupe_arriving_members"] = _members_sql(DOC_NAMES)
     q["dedupe_report"] = (
         f"SELECT 'standardized+dedupe' AS dataset_mode, s.n AS sot_rows, d.n AS search_rows, d.n AS dedupe_groups, "
         f"CASE WHEN s.n = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(d.n AS DOUBLE) / CAST(s.n AS DOUBLE) END AS dedupe_ratio "
