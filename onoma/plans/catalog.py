@@ -42,6 +42,7 @@ from onoma.operators.requests import distinct_request_keys, key_members, validat
 from onoma.operators.running import running_stats, whole_stats
 from onoma.operators.scoring import score_pairs
 from onoma.operators.standardize import standardize
+from onoma.plans.answers import match_reusing
 from onoma.plans.match import match, match_distinct, match_index, prepare_requests
 from onoma.session import ensure_checkpoint_dir, materialize
 from onoma.sources import versions
@@ -218,6 +219,17 @@ def q_match_parts(spark, sf):
     return match_distinct(part_names(spark, sf), reqs)
 
 
+def q_match_parts_reused(spark, sf):
+    """The same as a second batch: the names with an even hash were asked before."""
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reused-{uuid.uuid4().hex}"
+    reqs = column_names(spark, sf, "part", "p_partkey", "p_name").select(
+        F.col("id").alias("request_id"), F.col("full_name").alias("name")
+    )
+    index = build_index(part_names(spark, sf), f"{at}/index")
+    match_reusing(index, reqs.filter(F.xxhash64("name") % 2 == 0), f"{at}/answers")
+    return match_reusing(index, reqs, f"{at}/answers")
+
+
 def payload_requests(spark, sf):
     """Benchmark segments: every second explained, every third without the by-id map."""
     pos = F.col("request_id") % F.lit(SEGMENT_STRIDE)
@@ -485,6 +497,7 @@ QUERIES: dict[str, Query] = {
     "match_params": q_match_params,
     "match_dedupe": q_match_dedupe,
     "match_parts": q_match_parts,
+    "match_parts_reused": q_match_parts_reused,
     "match_payload": q_match_payload,
     "tie_stats": q_tie_stats,
     "request_validation": q_request_validation,

@@ -397,4 +397,5 @@ def ORACLES() -> dict[str, str]:  # noqa: N802
     q["name_profile"] = _profile_sql()
     q["match_log_ties"] = _match_log_ties_sql()
     q["mode_comparison"] = _mode_comparison_sql()
+    q["match_parts_reused"] = q["match_parts"]
     return q
