@@ -12,10 +12,15 @@ scores each distinct word once. N-grams are packed exactly into a long
    sums raw counts of all trusted text by n-gram.
 3. ``model`` derives continuation counts, per-order discounts and context
    weights as tables sharded by n-gram and by context.
-4. ``word_ngrams`` of every chunk are the requests; ``probabilities`` joins
-   the distinct ones level by level with the counts (levels of one and two
-   bytes, at most 65,792 rows by the alphabet, are broadcast) and folds
-   p_m = alpha_m + gamma_m p_(m-1); the answers go back by chunk.
+4. ``requests`` holds the distinct n-grams of every chunk, one row per chunk
+   and shard of n-grams, sorted and compressed (about 3 bytes an n-gram).
+   ``probabilities`` joins those distinct over all chunks level by level with
+   the counts (levels of one and two bytes, at most 65,792 rows by the
+   alphabet, are broadcast) and folds p_m = alpha_m + gamma_m p_(m-1).
+   ``replies`` deals requests and probabilities out by shard; a task holds the
+   probabilities of one shard and answers request after request. An answer is
+   the probabilities alone: the chunk lists the same n-grams in the same order
+   again.
 5. There are two models: each is trained on the trusted documents of one fold
    (a checksum of the id) and scores the documents of the other, so that no
    document meets counts of its own.
@@ -43,10 +48,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from onoma.llm.common import materialize, shared_path
+from onoma.llm.common import materialize, remove, shared_path
 
 ORDER = 5
 CHUNK_BYTES = 5 << 20
@@ -135,6 +140,30 @@ def pieces(distinct: list[bytes]) -> Iterator[list[bytes]]:
         yield distinct[i : i + LOT_WORDS]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array, byte plane by byte plane, compressed: planes that hardly vary take hardly any room."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted n-grams as their differences."""
+    return packed(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.int64))
+
+
 def ngrams(distinct: list[bytes], fold: int) -> tuple[np.ndarray, np.ndarray]:
     """(packed n-gram of the fold's model, index of its word) for every predicted byte."""
     joined = b"".join(b"\x01" + w + b"\x02" for w in distinct)
@@ -254,28 +283,126 @@ def model(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("freed"))
     alphas = rows.join(contexts, "ctx").select("key", ((F.col("c") - F.col("cut")) / F.col("total")).alias("alpha"))
     gammas = contexts.select("ctx", (F.col("freed") / F.col("total")).alias("gamma"))
-    return materialize(alphas, "kn-alpha"), materialize(gammas, "kn-gamma")
+    written = materialize(alphas, "kn-alpha"), materialize(gammas, "kn-gamma")
+    remove(counts)
+    return written
 
 
 # ---- scoring --------------------------------------------------------------
 
-def word_ngrams(chunks: DataFrame) -> DataFrame:
-    """``chunk, key``: the distinct n-grams that each chunk's words ask for."""
+def shard_count(spark: SparkSession) -> int:
+    """A prime from ``spark.sql.shuffle.partitions`` on; 17 and 257 divide 256^k - 1 for small k and would deal by digit sums."""
+    n = max(11, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while n in (17, 257) or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def chunk_rows(blob: bytes) -> tuple[list[list[bytes]], list[int]]:
+    """Words of every row of a chunk, and the fold of the model that scores it."""
+    rows = thaw(blob).select(["doc_id", "text"])
+    return [words(t) for t in rows["text"].to_pylist()], [1 - fold_of(i) for i in rows["doc_id"].to_pylist()]
+
+
+def lots(split: list[list[bytes]], folds: list[int]) -> Iterator[tuple[int, list[bytes]]]:
+    """(fold, words) of the distinct words of a chunk, in lots."""
+    for fold in (0, 1):
+        for lot in pieces(sorted(set().union(*[ws for ws, f in zip(split, folds) if f == fold]))):
+            yield fold, lot
+
+
+def asked(split: list[list[bytes]], folds: list[int], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, shards) that a chunk asks for: distinct, by shard, then sorted."""
+    parts = [np.unique(ngrams(lot, fold)[0]) for fold, lot in lots(split, folds)]
+    keys = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    shard = keys % shards
+    order = np.argsort(shard, kind="stable")
+    return keys[order], shard[order]
+
+
+def by_shard(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(shard, places) of runs of equal shards."""
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+        if lo < hi:
+            yield int(shard[lo]), slice(lo, hi)
+
+
+def requests(chunks: DataFrame, shards: int) -> DataFrame:
+    """``shard, chunk, keys``: the distinct n-grams that each chunk's words ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows = thaw(row["blob"]).select(["doc_id", "text"])
-                by: tuple[set, set] = (set(), set())
-                for i, t in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()):
-                    by[1 - fold_of(i)].update(words(t))
-                for fold, seen in enumerate(by):
-                    if not seen:
-                        continue
-                    key = np.unique(np.concatenate([np.unique(ngrams(lot, fold)[0]) for lot in pieces(list(seen))]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["chunk"])), pa.array(key)], ["chunk", "key"])
+                keys, shard = asked(*chunk_rows(row["blob"]), shards)
+                rows = [(k, row["chunk"], pack_keys(keys[at])) for k, at in by_shard(keys, shard)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["shard", "chunk", "keys"]
+                    )
+
+    return chunks.select("chunk", "blob").mapInArrow(run, "shard int, chunk long, keys binary")
+
+
+def distinct_keys(wanted: DataFrame, shards: int) -> DataFrame:
+    """``key``: the n-grams that any chunk asks for; a task holds those of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, size = np.empty(0, np.int64), [], 0
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                fresh.append(unpack_keys(blob))
+                size += len(fresh[-1])
+                if size > max(len(held), 1 << 18):
+                    held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
+        held = np.unique(np.concatenate([held, *fresh]))
+        for i in range(0, len(held), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(held[i : i + (1 << 16)])], ["key"])
+
+    return wanted.select("shard", "keys").repartitionById(shards, F.col("shard")).select("keys").mapInArrow(run, "key long")
+
+
+def replies(wanted: DataFrame, logp: DataFrame, shards: int) -> DataFrame:
+    """``chunk, shard, logps``: the answers to every row of ``wanted``, in the order of its n-grams."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = (np.asarray(c) for c in batch.columns)
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            shard = keys % shards
+            order = np.argsort(shard, kind="stable")
+            keys, values, shard = keys[order], values[order], shard[order]
+            for k, at in by_shard(keys, shard):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([-1], pa.int64()), pa.array([pack_keys(keys[at])]), pa.array([packed(values[at])])],
+                    ["shard", "chunk", "keys", "logps"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, keys, values = None, [], None, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    shard, parts, keys = row["shard"], [], None
+                if row["chunk"] < 0:
+                    parts.append((unpack_keys(row["keys"]), unpacked(row["logps"], np.float32)))
+                    continue
+                if keys is None:
+                    keys, values = map(np.concatenate, zip(*parts))
+                    order = np.argsort(keys)
+                    keys, values, parts = keys[order], values[order], []
+                rows.append((row["chunk"], shard, packed(values[np.searchsorted(keys, unpack_keys(row["keys"]))])))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["chunk", "shard", "logps"]
+                )
 
-    return chunks.select("chunk", "blob").mapInArrow(run, "chunk long, key long")
+    known = logp.select("key", "logp").mapInArrow(tables, "shard int, chunk long, keys binary, logps binary")
+    dealt = known.unionByName(wanted.withColumn("logps", F.lit(None).cast("binary"))).repartitionById(shards, F.col("shard"))
+    # the probabilities of a shard come before its requests
+    return dealt.sortWithinPartitions("shard", "chunk").mapInArrow(run, "chunk long, shard int, logps binary")
 
 
 def probabilities(keys: DataFrame, alphas: DataFrame, gammas: DataFrame) -> DataFrame:
@@ -299,40 +426,40 @@ def probabilities(keys: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Data
 
 
 def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> DataFrame:
-    """``chunk, ids, langs, n, nll``: predicted bytes and their -log probability per row."""
-    requests = materialize(word_ngrams(chunks), "kn-requests")
-    logp = probabilities(requests.select("key").distinct(), alphas, gammas)
-    answers = requests.join(logp, "key").groupBy("chunk").agg(
-        F.collect_list("key").alias("keys"), F.collect_list("logp").alias("logps")  # what the chunk asked for
+    """``chunk, n, nll``: predicted bytes and their -log probability per row."""
+    shards = shard_count(chunks.sparkSession)
+    wanted = materialize(requests(chunks, shards), "kn-requests")
+    logp = probabilities(distinct_keys(wanted, shards), alphas, gammas)
+    answers = replies(wanted, logp, shards).groupBy("chunk").agg(
+        F.collect_list(F.struct("shard", "logps")).alias("answers")  # what the chunk asked for
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                rows = thaw(row["blob"].as_py()).select(["doc_id", "text"])
-                split = [words(t) for t in rows["text"].to_pylist()]
-                folds = [1 - fold_of(i) for i in rows["doc_id"].to_pylist()]
+            for row in batch.to_pylist():
+                split, folds = chunk_rows(row["blob"])
+                keys, _ = asked(split, folds, shards)
+                got = sorted(row["answers"] or [], key=lambda a: a["shard"])
                 of: tuple[dict[bytes, float], dict[bytes, float]] = ({}, {})
-                if any(split):
-                    keys = np.asarray(row["keys"].values)
+                if len(keys):
+                    logps = np.concatenate([unpacked(a["logps"], np.float32) for a in got]).astype(np.float64)
                     order = np.argsort(keys)
-                    keys, logps = keys[order], np.asarray(row["logps"].values, np.float64)[order]
-                for fold in (0, 1):
-                    distinct = list(set().union(*[ws for ws, f in zip(split, folds) if f == fold]))
-                    for lot in pieces(distinct):
-                        key, word = ngrams(lot, fold)
-                        lp = logps[np.searchsorted(keys, key)]
-                        of[fold].update(zip(lot, np.bincount(word, -lp, len(lot)).tolist()))
+                    keys, logps = keys[order], logps[order]
+                for fold, lot in lots(split, folds):
+                    key, word = ngrams(lot, fold)
+                    lp = logps[np.searchsorted(keys, key)]
+                    of[fold].update(zip(lot, np.bincount(word, -lp, len(lot)).tolist()))
                 n = [sum(map(len, ws)) + len(ws) for ws in split]
                 nll = [math.fsum(map(of[f].__getitem__, ws)) for ws, f in zip(split, folds)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"].as_py()], pa.int64()), pa.array([n], pa.list_(pa.int64())), pa.array([nll], pa.list_(pa.float64()))],
+                    [pa.array([row["chunk"]], pa.int64()), pa.array([n], pa.list_(pa.int64())), pa.array([nll], pa.list_(pa.float64()))],
                     ["chunk", "n", "nll"],
                 )
 
     scored = chunks.select("chunk", "blob").join(answers, "chunk", "left").mapInArrow(run, "chunk long, n array<long>, nll array<double>")
-    return materialize(scored, "kn-scores")
+    done = materialize(scored, "kn-scores")
+    remove(wanted)
+    return done
 
 
 def trusted_levels(scores: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -365,6 +492,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     trusted = materialize(trusted_ids(labels), "kn-trusted")
     raw = materialize(count_ngrams(chunks, trusted), "kn-raw")
     alphas, gammas = model(raw)
+    remove(raw)
     by_chunk = score_chunks(chunks, alphas, gammas).join(chunks.select("chunk", "ids", "langs"), "chunk")
     scores = by_chunk.select(
         "chunk", F.posexplode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("langs").alias("lang"), F.col("n"), F.col("nll"))).alias("pos", "r")

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,39 @@ def test_kneser_ney_takes_five_bytes():
     assert int.from_bytes(b"abcde") in {int(k) & kneser._BODY for k in key}
 
 
+def test_kneser_ney_requests_round_trip(spark_):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 1000):
+        keys = np.unique(rng.integers(1, 1 << 61, n))
+        assert (kneser.unpack_keys(kneser.pack_keys(keys)) == keys).all()
+        logps = rng.normal(size=n).astype(np.float32)
+        assert (kneser.unpacked(kneser.packed(logps), np.float32) == logps).all()
+    shards = kneser.shard_count(spark_)
+    split, folds = [[b"alpha", b"beta"], [], [b"beta", b"\xc3\xa9"]], [0, 1, 1]
+    keys, shard = kneser.asked(split, folds, shards)
+    assert set(keys.tolist()) == {int(k) for ws, f in zip(split, folds) if ws for k in kneser.ngrams(ws, f)[0]}
+    assert (shard == keys % shards).all() and (np.diff(shard) >= 0).all() and len(set(keys.tolist())) == len(keys)
+
+
+def test_kneser_ney_replies_come_in_the_order_asked(spark_):
+    shards = kneser.shard_count(spark_)
+    rng = np.random.default_rng(8)
+    known = rng.permutation(np.unique(rng.integers(1, 1 << 61, 3000)))
+    of = {int(k): float(np.float32(-i)) for i, k in enumerate(known)}
+    rows, want = [], {}
+    for chunk in range(12):  # chunk 0 asks for everything, chunk 11 for one
+        keys = np.unique(known if chunk == 0 else rng.choice(known, 1 if chunk == 11 else 400))
+        for k in set((keys % shards).tolist()):
+            mine = keys[keys % shards == k]
+            rows.append((k, chunk, kneser.pack_keys(mine)))
+            want[chunk, k] = [of[x] for x in mine.tolist()]
+    wanted = spark_.createDataFrame(rows, "shard int, chunk long, keys binary").repartition(5)
+    assert sorted(r["key"] for r in kneser.distinct_keys(wanted, shards).collect()) == sorted(of)
+    logp = spark_.createDataFrame(list(of.items()), "key long, logp float").repartition(7)
+    got = {(r["chunk"], r["shard"]): kneser.unpacked(r["logps"], np.float32).tolist() for r in kneser.replies(wanted, logp, shards).collect()}
+    assert got == want
+
+
 def test_kneser_ney_edges(edge, empty, labels):
     rows = kneser.quality(edge, labels).collect()
     assert len(rows) == len(EDGE)
