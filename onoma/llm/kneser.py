@@ -14,9 +14,10 @@ scores each distinct word once. N-grams are packed exactly into a long
    weights as tables sharded by n-gram and by context.
 4. ``requests`` holds the distinct n-grams of every chunk, one row per chunk
    and shard of n-grams, sorted and compressed (about 3 bytes an n-gram).
-   ``probabilities`` joins those distinct over all chunks level by level with
-   the counts (levels of one and two bytes, at most 65,792 rows by the
-   alphabet, are broadcast) and folds p_m = alpha_m + gamma_m p_(m-1).
+   ``probabilities`` takes those distinct over all chunks and their suffixes,
+   and from one byte up joins each length with its counts and with the length
+   below: p_m = alpha_m + gamma_m p_(m-1) (lengths of one and two bytes, at
+   most 65,536 rows a fold by the alphabet, are broadcast).
    ``replies`` deals requests and probabilities out by shard; a task holds the
    probabilities of one shard and answers request after request. An answer is
    the probabilities alone: the chunk lists the same n-grams in the same order
@@ -45,6 +46,8 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,14 +172,14 @@ def ngrams(distinct: list[bytes], fold: int) -> tuple[np.ndarray, np.ndarray]:
     joined = b"".join(b"\x01" + w + b"\x02" for w in distinct)
     b = np.frombuffer(joined, np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct)) + 2
-    word = np.repeat(np.arange(len(distinct)), lengths)
+    word = np.repeat(np.arange(len(distinct), dtype=np.int32), lengths)
     pos = np.arange(len(b)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     key = b.copy()
-    for j in range(1, ORDER):
-        back = np.zeros_like(b)
-        back[j:] = b[:-j] if j < len(b) else b[:0]
-        key |= np.where(pos >= j, back, 0) << (8 * j)
-    key |= (np.minimum(pos + 1, ORDER) | fold << 4) << 56
+    for j in range(1, min(ORDER, len(b))):
+        key[j:] |= b[:-j] << (8 * j)
+    size = np.minimum(pos + 1, ORDER)
+    masks = np.array([(1 << 8 * n) - 1 for n in range(ORDER + 1)])  # what reaches before the word goes
+    key = key & masks[size] | (size | fold << 4) << 56
     predicted = pos > 0
     return key[predicted], word[predicted]
 
@@ -307,17 +310,16 @@ def chunk_rows(blob: bytes) -> tuple[list[list[bytes]], list[int]]:
 def lots(split: list[list[bytes]], folds: list[int]) -> Iterator[tuple[int, list[bytes]]]:
     """(fold, words) of the distinct words of a chunk, in lots."""
     for fold in (0, 1):
-        for lot in pieces(sorted(set().union(*[ws for ws, f in zip(split, folds) if f == fold]))):
+        for lot in pieces(list(set(chain.from_iterable(ws for ws, f in zip(split, folds) if f == fold)))):
             yield fold, lot
 
 
-def asked(split: list[list[bytes]], folds: list[int], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, shards) that a chunk asks for: distinct, by shard, then sorted."""
-    parts = [np.unique(ngrams(lot, fold)[0]) for fold, lot in lots(split, folds)]
-    keys = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+def asked(grams: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams, sorted; their places by shard, then n-gram)."""
+    keys = np.unique(np.concatenate([np.unique(g) for g in grams])) if grams else np.empty(0, np.int64)
     shard = keys % shards
-    order = np.argsort(shard, kind="stable")
-    return keys[order], shard[order]
+    # numpy sorts 16-bit numbers by counting
+    return keys, np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
 
 
 def by_shard(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -334,8 +336,9 @@ def requests(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, shard = asked(*chunk_rows(row["blob"]), shards)
-                rows = [(k, row["chunk"], pack_keys(keys[at])) for k, at in by_shard(keys, shard)]
+                keys, places = asked([ngrams(lot, fold)[0] for fold, lot in lots(*chunk_rows(row["blob"]))], shards)
+                keys = keys[places]
+                rows = [(k, row["chunk"], pack_keys(keys[at])) for k, at in by_shard(keys, keys % shards)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["shard", "chunk", "keys"]
@@ -369,11 +372,9 @@ def replies(wanted: DataFrame, logp: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             keys, values = (np.asarray(c) for c in batch.columns)
             order = np.argsort(keys)
+            order = order[np.argsort(keys[order] % shards, kind="stable")]
             keys, values = keys[order], values[order]
-            shard = keys % shards
-            order = np.argsort(shard, kind="stable")
-            keys, values, shard = keys[order], values[order], shard[order]
-            for k, at in by_shard(keys, shard):
+            for k, at in by_shard(keys, keys % shards):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], pa.int32()), pa.array([-1], pa.int64()), pa.array([pack_keys(keys[at])]), pa.array([packed(values[at])])],
                     ["shard", "chunk", "keys", "logps"],
@@ -405,31 +406,39 @@ def replies(wanted: DataFrame, logp: DataFrame, shards: int) -> DataFrame:
     return dealt.sortWithinPartitions("shard", "chunk").mapInArrow(run, "chunk long, shard int, logps binary")
 
 
-def probabilities(keys: DataFrame, alphas: DataFrame, gammas: DataFrame) -> DataFrame:
-    """``key, logp`` (natural log) of distinct ``key``."""
-    steps = keys.select("key", F.explode(F.sequence(F.lit(1), _len(F.col("key")))).alias("m")).withColumn(
-        "gram", suffix(F.col("key"), F.col("m"))
-    ).withColumn("ctx", context(F.col("gram")))
-    a = alphas.withColumnRenamed("key", "gram")
-    near = steps.filter(F.col("m") <= 2)
-    near = near.join(F.broadcast(a.filter(_len(F.col("gram")) <= 2)), "gram", "left")
-    near = near.join(F.broadcast(gammas.filter(_len(F.col("ctx")) <= 1)), "ctx", "left")
-    far = steps.filter(F.col("m") > 2).join(a, "gram", "left").join(gammas, "ctx", "left")
-    cols = ["key", "m", "alpha", "gamma"]
-    step = F.struct("m", F.coalesce("alpha", F.lit(0.0)).alias("a"), F.coalesce("gamma", F.lit(1.0)).alias("g"))
-    folded = F.aggregate(F.sort_array("steps"), F.lit(1.0 / 256), lambda p, s: s["a"] + s["g"] * p)
-    return (
-        near.select(cols).unionByName(far.select(cols))
-        .groupBy("key").agg(F.collect_list(step).alias("steps"))  # at most ORDER steps
-        .select("key", F.log(folded).cast("float").alias("logp"))
-    )
+def probabilities(keys: DataFrame, alphas: DataFrame, gammas: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(``key, logp``, tables it reads): natural log, for distinct ``key`` and all their suffixes."""
+    n = _len(F.col("key"))
+    known = materialize(keys, "kn-asked")
+    grams = {ORDER: known.filter(n == ORDER)}
+    for m in range(ORDER - 1, 0, -1):
+        shorter = grams[m + 1].select(suffix(F.col("key"), F.lit(m)).alias("key"))
+        grams[m] = materialize(known.filter(n == m).unionByName(shorter).distinct(), "kn-grams")
+    levels: list[DataFrame] = []
+    for m in range(1, ORDER + 1):
+        small = F.broadcast if m <= 2 else (lambda df: df)  # at most 256 and 65,536 n-grams a fold, by the alphabet
+        rows = (
+            grams[m].withColumn("ctx", context(F.col("key")))
+            .join(small(alphas.filter(n == m)), "key", "left")
+            .join(small(gammas.filter(_len(F.col("ctx")) == m - 1)), "ctx", "left")
+        )
+        lower = F.lit(1.0 / 256)
+        if levels:
+            below = levels[-1].select(F.col("key").alias("shorter"), F.col("p").alias("lower"))
+            rows = rows.withColumn("shorter", suffix(F.col("key"), F.lit(m - 1))).join(F.broadcast(below) if m <= 3 else below, "shorter")
+            lower = F.col("lower")
+        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * lower
+        level = rows.select("key", p.alias("p"))
+        levels.append(level if m == ORDER else materialize(level, "kn-levels"))
+    logp = reduce(DataFrame.unionByName, levels).select("key", F.log("p").cast("float").alias("logp"))
+    return logp, [known, *[grams[m] for m in range(1, ORDER)], *levels[:-1]]
 
 
 def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> DataFrame:
     """``chunk, n, nll``: predicted bytes and their -log probability per row."""
     shards = shard_count(chunks.sparkSession)
     wanted = materialize(requests(chunks, shards), "kn-requests")
-    logp = probabilities(distinct_keys(wanted, shards), alphas, gammas)
+    logp, written = probabilities(distinct_keys(wanted, shards), alphas, gammas)
     answers = replies(wanted, logp, shards).groupBy("chunk").agg(
         F.collect_list(F.struct("shard", "logps")).alias("answers")  # what the chunk asked for
     )
@@ -438,15 +447,14 @@ def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Dat
         for batch in batches:
             for row in batch.to_pylist():
                 split, folds = chunk_rows(row["blob"])
-                keys, _ = asked(split, folds, shards)
-                got = sorted(row["answers"] or [], key=lambda a: a["shard"])
-                of: tuple[dict[bytes, float], dict[bytes, float]] = ({}, {})
+                held = [(fold, lot, *ngrams(lot, fold)) for fold, lot in lots(split, folds)]  # 12 bytes a predicted byte
+                keys, places = asked([key for _, _, key, _ in held], shards)
+                logps = np.empty(len(keys))
                 if len(keys):
-                    logps = np.concatenate([unpacked(a["logps"], np.float32) for a in got]).astype(np.float64)
-                    order = np.argsort(keys)
-                    keys, logps = keys[order], logps[order]
-                for fold, lot in lots(split, folds):
-                    key, word = ngrams(lot, fold)
+                    got = sorted(row["answers"], key=lambda a: a["shard"])
+                    logps[places] = np.concatenate([unpacked(a["logps"], np.float32) for a in got])
+                of: tuple[dict[bytes, float], dict[bytes, float]] = ({}, {})
+                for fold, lot, key, word in held:
                     lp = logps[np.searchsorted(keys, key)]
                     of[fold].update(zip(lot, np.bincount(word, -lp, len(lot)).tolist()))
                 n = [sum(map(len, ws)) + len(ws) for ws in split]
@@ -458,7 +466,8 @@ def score_chunks(chunks: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Dat
 
     scored = chunks.select("chunk", "blob").join(answers, "chunk", "left").mapInArrow(run, "chunk long, n array<long>, nll array<double>")
     done = materialize(scored, "kn-scores")
-    remove(wanted)
+    for table in (wanted, *written):
+        remove(table)
     return done
 
 
