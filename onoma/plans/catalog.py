@@ -47,6 +47,7 @@ from onoma.plans.match import match, match_distinct, match_index, prepare_reques
 from onoma.session import ensure_checkpoint_dir, materialize
 from onoma.sources import versions
 from onoma.sources.names_csv import lenient_rows, load_lenient_reported, strict_rows
+from onoma.sources.quoted_csv import fields, records
 from onoma.sources.store import load_if_needed, load_report, read_names, upgrade_layout
 from onoma.sources.tables import SEGMENT_PATTERN, SEGMENT_STRIDE, column_names, read_table, segment_names, segment_requests
 
@@ -408,6 +409,24 @@ def q_load_lenient(spark, sf):
     return lenient_rows(*_lenient_body(spark, sf))
 
 
+def q_load_quoted(spark, sf):
+    """Every document as a CSV record whose text keeps its line breaks and quotes, read back by byte ranges."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quoted-{uuid.uuid4().hex}"
+    quote = F.lit('"')
+    docs = read_table(spark, sf, "documents").select(
+        F.concat(quote, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit('","'),
+                 F.replace(F.coalesce("text", F.lit("")), quote, F.lit('""')), quote)
+    )
+    docs.write.option("lineSep", "\n").text(path)
+    text = F.coalesce("r._c1", F.lit(""))
+    return records(spark, path).select(fields("record", 2).alias("r")).select(
+        F.col("r._c0").cast("long").alias("doc_id"),
+        F.length(text).cast("long").alias("n_chars"),
+        F.regexp_count(text, F.lit("\n")).cast("long").alias("n_breaks"),
+        F.sha2(text, 256).alias("text_sha256"),
+    )
+
+
 def q_lenient_report(spark, sf):
     """What that load kept and dropped, counted on the pass that stores it."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lenient-{uuid.uuid4().hex}"
@@ -520,6 +539,7 @@ QUERIES: dict[str, Query] = {
     "load_strict": q_load_strict,
     "load_strict_key": q_load_strict_key,
     "load_lenient": q_load_lenient,
+    "load_quoted": q_load_quoted,
     "lenient_report": q_lenient_report,
     "store_reload": q_store_reload,
     "stream_log": q_stream_log,

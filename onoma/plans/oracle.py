@@ -271,6 +271,11 @@ def _loader_sql(q: dict[str, str]) -> None:
         "SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 13 = 0 THEN '#12' ELSE c_mktsegment || ' ' || c_name END AS full_name "
         "FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0)) WHERE k <> ''"
     )
+    q["load_quoted"] = (
+        "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(length(t) AS BIGINT) AS n_chars, "
+        "CAST(length(t) - length(replace(t, chr(10), '')) AS BIGINT) AS n_breaks, sha256(t) AS text_sha256 "
+        "FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+    )
     q["lenient_report"] = (
         "SELECT 'original' AS dataset_mode, count(*) AS source_rows, count(*) FILTER (WHERE kept) AS kept_rows, "
         "count(*) FILTER (WHERE NOT has_id) AS no_id, count(*) FILTER (WHERE has_id AND NOT has_name) AS no_name, "

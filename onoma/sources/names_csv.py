@@ -11,12 +11,14 @@ import csv
 import io
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.functions.normalize import strip_space
 from onoma.operators.standardize import STANDARD_MODES, resolve_mode, standardize
+from onoma.sources.quoted_csv import read_quoted
 
 # Accepted header aliases, in priority order.
 STRICT_ID_ALIASES = ["id", "ID", "Id", "ID "]
@@ -35,13 +37,15 @@ def dataset_path(data_root: str, mode: str) -> str:
     return f"{data_root.rstrip('/')}/{CLEAN_FILE if mode in STANDARD_MODES else RAW_FILE}"
 
 
-def _read_positional(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
-    """Body with columns ``_c0.._cN`` plus the header names as written in the file.
+def _read_positional(spark: SparkSession, path: str, multi_line: bool) -> list[tuple[DataFrame, list[str]]]:
+    """Bodies with columns ``_c0.._cN`` plus the header names as written in the file.
 
     A byte-order mark before the header is accepted by both readers. Files
     are split over tasks by line; ``multi_line`` is for files whose fields
-    hold line breaks and reads each file in one task.
+    hold line breaks (``quoted_csv``: split as well, one body per different header).
     """
+    if multi_line:
+        return read_quoted(spark, path)
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError("CSV without a header")
@@ -49,12 +53,11 @@ def _read_positional(spark: SparkSession, path: str, multi_line: bool) -> tuple[
     header = next(csv.reader(io.StringIO(line)))
     body = (
         spark.read.option("header", True)
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
     )
-    return body.toDF(*[f"_c{i}" for i in range(len(body.columns))]), header
+    return [(body.toDF(*[f"_c{i}" for i in range(len(body.columns))]), header)]
 
 
 def strict_rows(body: DataFrame, header: list[str], mode: str = "original") -> DataFrame:
@@ -131,9 +134,9 @@ def load_lenient_reported(body: DataFrame, header: list[str], mode: str, write:
 
 def read_names_strict(spark: SparkSession, path: str, mode: str = "original", multi_line: bool = False) -> DataFrame:
     """I1 + I4: ``(id, full_name, normalized_name)``; a missing id or name fails the load."""
-    return strict_rows(*_read_positional(spark, path, multi_line), mode)
+    return reduce(DataFrame.unionByName, [strict_rows(*part, mode) for part in _read_positional(spark, path, multi_line)])
 
 
 def read_names_lenient(spark: SparkSession, path: str, mode: str = "original", multi_line: bool = False) -> DataFrame:
     """I2 + I5: ``(id, full_name, normalized_name)`` with bad rows dropped."""
-    return lenient_rows(*_read_positional(spark, path, multi_line), mode)
+    return reduce(DataFrame.unionByName, [lenient_rows(*part, mode) for part in _read_positional(spark, path, multi_line)])
