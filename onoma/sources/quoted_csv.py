@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from onoma.session import materialize
+
 #: Parts of a range: whole records, the end of one, the middle of one, the start of one.
 WHOLE, END, MIDDLE, START = range(4)
 
@@ -35,6 +37,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     ranges = lines.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"))
     ranges = ranges.select("file", "start", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1).alias("inside"))
+    ranges = materialize(ranges, "csv-ranges")  # its size is known when the join is planned: broadcast, or joined by range beyond the threshold
     placed = lines.withColumn("n", F.monotonically_increasing_id()).join(ranges, ["file", "start"]).sortWithinPartitions("file", "start", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
