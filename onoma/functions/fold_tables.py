@@ -72,9 +72,16 @@ def whitespace_chars() -> str:
 
 
 def java_char_class(chars: str, negate: bool = False) -> str:
-    """A Java regex character class listing ``chars`` as escapes."""
+    """A Java regex character class of ``chars``: code points below 256 one by one, which Java looks up
+    in a table, others as ranges, which it tests in turn."""
     parts = []
-    for ch in chars:
-        cp = ord(ch)
-        parts.append(f"\\x{{{cp:X}}}")
+    runs: list[list[int]] = []
+    for cp in sorted(set(map(ord, chars))):
+        if cp < 256:
+            parts.append(f"\\x{{{cp:X}}}")
+        elif runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    parts += [f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs]
     return ("[^" if negate else "[") + "".join(parts) + "]"

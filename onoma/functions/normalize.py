@@ -34,7 +34,6 @@ def _patterns() -> dict[str, str]:
     # ASCII-only (?i) does not, so the alternative is spelled out.
     alternatives = "|".join(t.replace("i", "[iı]") for t in TITLES)
     return {
-        "outer_ws": f"^{ws}+|{ws}+$",
         "title": f"(?i)^(?:{alternatives})\\.?{ws}+",
     }
 
@@ -52,19 +51,24 @@ def _expansion_map_sql() -> str:
 
 
 def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, _patterns()["outer_ws"], "")
+    return F.trim(c, F.lit(whitespace_chars()))
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def fold(c: Column) -> Column:
     """Lower-case + NFKD + drop combining marks, character by character."""
     matching, replace, _ = fold_tables()
-    folded = F.translate(c, matching, replace)
+    # a name in ASCII only needs lower case
+    folded = F.when(is_ascii(c), F.lower(c)).otherwise(F.translate(c, matching, replace))
     # The per-character map is interpreted, so only rows holding such a
     # character (ligatures, squared letters, ...) take it.
     # A hashed translate finds them in one pass (a 259-character regex class
     # would test each character against every entry).
     _, _, expansions = fold_tables()
-    has_expansion = F.length(F.translate(folded, "".join(expansions), "")) < F.length(folded)
+    has_expansion = ~is_ascii(folded) & (F.length(F.translate(folded, "".join(expansions), "")) < F.length(folded))
     return F.when(has_expansion, _expand(folded)).otherwise(folded)
 
 

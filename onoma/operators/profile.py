@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onoma.functions.fold_tables import fold_tables, java_char_class, whitespace_chars
-from onoma.functions.normalize import fold, normalize_name, strip_space, strip_title
+from onoma.functions.normalize import fold, is_ascii, normalize_name, strip_space, strip_title
 from onoma.functions.similarity import py_round
 
 
@@ -48,10 +48,10 @@ def profile_names(names: DataFrame) -> DataFrame:
     ws = java_char_class(whitespace_chars())
     folded = fold(strip_space(name))
     flags = names.select(
-        (F.length(F.translate(name, accent_chars(), "")) < F.length(name)).alias("accent"),
+        (~is_ascii(name) & (F.length(F.translate(name, accent_chars(), "")) < F.length(name))).alias("accent"),
         (strip_title(folded) != folded).alias("title"),
         folded.rlike("[^a-zA-Z" + ws[1:-1] + "]").alias("symbol"),
-        name.rlike(f"^{ws}|{ws}$|{ws}{{2}}").alias("space"),
+        name.rlike(f"^{ws}|{ws}(?:{ws}|$)").alias("space"),
         normalize_name(name).alias("key"),
     )
     counts = flags.agg(
