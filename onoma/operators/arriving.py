@@ -9,9 +9,12 @@ representative, and needs no change either; ``compact`` merges the parts when
 there are many.
 
 A batch meets the stored parts twice: its keys, to tell which representatives
-are new or change, and its ids, which must not be stored yet. Both joins read
-only the columns they need, and a key that many rows share is one row for each
-map task before it is shuffled.
+are new or change, and its ids, which must not be stored yet. Both read only
+the columns they need, and a key that many rows share is one row for each map
+task before it is shuffled. Of the first, only the keys that were stored before
+are written, with their representatives: what the batch changed follows from
+them and its own groups, whose folder has the same name and stays when parts
+are merged.
 
 Batches are published by a pointer (``sources.versions``): readers see a batch
 whole or not at all, and a batch that is sent again is not added again. One
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.sources import versions
@@ -35,11 +38,12 @@ from onoma.sources import versions
 ROWS = "id long, full_name string, normalized_name string"
 GROUPS = ROWS + ", member_count long"
 CHANGES = "normalized_name string, old_id long, id long, full_name string, member_count long"
+MET = "normalized_name string, old_id long"
 _MANIFEST = "batch_id string, part string, changes string"
 
 
 def _manifest(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
-    """(batch, its part, its changes) of every batch: names of folders, one row a batch."""
+    """(batch, its part, its met keys) of every batch: names of folders, one row a batch."""
     at = versions.current(spark, root)
     if at is None:
         return []
@@ -57,6 +61,10 @@ def _parts(spark: SparkSession, entries: list[tuple[str, str, str]], table: str,
     return spark.read.schema(schema).parquet(*[f"{f}/{table}" for f in folders])
 
 
+def _write(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").parquet(path)
+
+
 def _merged(partial: DataFrame) -> DataFrame:
     return partial.groupBy("normalized_name").agg(
         F.min("id").alias("id"), F.min_by("full_name", "id").alias("full_name"), F.sum("member_count").alias("member_count")
@@ -69,26 +77,28 @@ def add_names(names: DataFrame, root: str, batch_id: str) -> bool:
     known = _manifest(spark, root)
     if any(b == batch_id for b, _, _ in known):
         return False
-    if not names.filter(F.col("id").isNull()).isEmpty():
+    name = uuid.uuid4().hex
+    part, met = f"{root}/_parts/{name}", f"{root}/_met/{name}"
+    seen = Observation()
+    kept = names.observe(seen, F.count_if(F.col("id").isNull()).alias("unnamed")).filter(F.length("normalized_name") > 0)
+    _write(kept.select(F.col("id").cast("long"), "full_name", "normalized_name"), f"{part}/rows")
+    if seen.get["unnamed"]:
         raise ValueError("a name without an id")
-    part, changes = f"{root}/_parts/{uuid.uuid4().hex}", f"{root}/_changes/{uuid.uuid4().hex}"
-    kept = names.filter(F.length("normalized_name") > 0)
-    kept.select(F.col("id").cast("long"), "full_name", "normalized_name").write.parquet(f"{part}/rows")
     rows = spark.read.schema(ROWS).parquet(f"{part}/rows")
-    if not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        raise ValueError("duplicate ids in the batch")
-    if known and not _parts(spark, known, "rows", ROWS).select("id").join(rows.select("id"), "id", "left_semi").isEmpty():
-        raise ValueError("ids of the batch are stored already")
-
-    _merged(rows.withColumn("member_count", F.lit(1).cast("long"))).write.parquet(f"{part}/groups")
+    ids = rows.select("id", F.lit(1).alias("new"))
+    if known:
+        ids = ids.unionByName(_parts(spark, known, "rows", ROWS).select("id", F.lit(0).alias("new")))
+    twice = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("new")).filter("n > 1 AND new > 0")
+    most = twice.agg(F.max("new")).first()[0]
+    if most is not None:
+        raise ValueError("duplicate ids in the batch" if most > 1 else "ids of the batch are stored already")
+
+    _write(_merged(rows.withColumn("member_count", F.lit(1).cast("long"))), f"{part}/groups")
     groups = spark.read.schema(GROUPS).parquet(f"{part}/groups")
-    touched = _parts(spark, known, "groups", GROUPS).join(groups.select("normalized_name"), "normalized_name", "left_semi")
-    before = _merged(touched).select("normalized_name", F.col("id").alias("old_id"))
-    (
-        groups.join(before, "normalized_name", "left").filter(F.col("old_id").isNull() | (F.col("id") < F.col("old_id")))
-        .select("normalized_name", "old_id", "id", "full_name", "member_count").write.parquet(changes)
-    )
-    _publish(spark, root, [*known, (batch_id, part, changes)])
+    before = _parts(spark, known, "groups", GROUPS) if known else groups.limit(0)
+    before = before.groupBy("normalized_name").agg(F.min("id").alias("old_id"))
+    _write(before.join(groups.select("normalized_name"), "normalized_name", "left_semi") if known else before, met)
+    _publish(spark, root, [*known, (batch_id, part, met)])
     return True
 
 
@@ -110,9 +120,19 @@ def batch_changes(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
 
     ``old_id`` is null for a new group; ``member_count`` counts the batch's members.
     """
-    for batch, _, changes in _manifest(spark, root):
-        if batch == batch_id:
-            return spark.read.schema(CHANGES).parquet(changes)
+    entries = _manifest(spark, root)
+    for batch, _, at in entries:
+        if batch != batch_id:
+            continue
+        if "/_changes/" in at:  # stored before the met keys were: the changes themselves
+            return spark.read.schema(CHANGES).parquet(at)
+        part = "/_parts/".join(at.rsplit("/_met/", 1))
+        groups = spark.read.schema(GROUPS).parquet(f"{part}/groups")
+        return (
+            groups.join(spark.read.schema(MET).parquet(at), "normalized_name", "left")
+            .filter(F.col("old_id").isNull() | (F.col("id") < F.col("old_id")))
+            .select("normalized_name", "old_id", "id", "full_name", "member_count")
+        )
     raise ValueError(f"no batch {batch_id}")
 
 

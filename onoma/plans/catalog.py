@@ -145,9 +145,10 @@ def q_dedupe_customer_members(spark, sf):
 def _arrived(spark: SparkSession, sf: str) -> str:
     """All names of the documents, added in two batches whose ids interleave."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
-    names = materialize(doc_names(spark, sf), "arriving-names").withColumn("_first", F.xxhash64("id") < 0)
-    add_names(names.filter("_first"), root, "first")
-    add_names(names.filter("NOT _first"), root, "second")
+    names = doc_names(spark, sf)
+    first = F.xxhash64("id") < 0
+    add_names(names.filter(first), root, "first")
+    add_names(names.filter(~first), root, "second")
     return root
 
 

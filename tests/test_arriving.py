@@ -78,3 +78,18 @@ def test_a_batch_writes_only_itself(spark):
     add_names(_table(spark, [(5000 + i, f"M{i}", f"k{i}") for i in range(3)]), root, "2")
     (part,) = set(glob.glob(f"{root}/_parts/*")) - old
     assert [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{part}/{t}/*.parquet")) for t in ("rows", "groups")] == [3, 3]
+
+
+def test_a_batch_writes_no_names_twice(spark, tmp_path):
+    """The first batch adds its rows and groups alone, a later one the keys that were stored; changes hold after a merge."""
+    root = str(tmp_path)
+    add_names(_table(spark, [(i, f"N{i}", f"k{i}") for i in range(500, 1000)]), root, "1")
+    add_names(_table(spark, [(3, "New", "k3"), (4, "Low", "k600"), (2000, "High", "k601")]), root, "2")
+    schemas = {tuple(spark.read.parquet(str(p)).columns) for p in (tmp_path / "_met").iterdir()}
+    assert schemas == {("normalized_name", "old_id")}
+    assert sorted(spark.read.parquet(str(p)).count() for p in (tmp_path / "_met").iterdir()) == [0, 2]
+    want = [("k3", None, 3, "New", 1), ("k600", 600, 4, "Low", 1)]
+    assert _rows(batch_changes(spark, root, "2")) == want
+    compact(spark, root)
+    assert _rows(batch_changes(spark, root, "2")) == want
+    assert batch_changes(spark, root, "1").count() == 500
