@@ -26,6 +26,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ LOT_CHARS = 1 << 19
 #: Lots of a file: a task holds few of them at a time.
 FILE_LOTS = 16
 CLASSES = 32
+#: A match of a large table meets the lots in waves: of 64 lots one, seven and the others.
+WAVE_LOTS, WAVE_ENDS = 64, (1, 8)
 
 _SCHEMA = (
     "n int, shortest int, longest int, least_tokens int, keys array<string>, members array<long>, wide boolean, counts binary,"
@@ -74,73 +77,98 @@ def letter_counts(keys: list[str]) -> np.ndarray:
     return out
 
 
-def _postings(lists: dict[str, list[int]]) -> tuple[list[str], np.ndarray, bytes]:
-    names = sorted(lists)
-    ends = np.cumsum([len(lists[x]) for x in names], dtype=np.int32)
-    rows = np.fromiter((r for x in names for r in lists[x]), np.uint16, int(ends[-1]) if len(names) else 0)
-    return names, ends, rows.tobytes()
+def _postings(number: np.ndarray, rows: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(numbers that occur, ends of their lists, keys of the lists), each key once in a list."""
+    both = np.sort(number * n_keys + rows)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    number = both // n_keys
+    last = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) if len(both) else np.zeros(0, np.int64)
+    return number[last], (last + 1).astype(np.int32), (both % n_keys).astype(np.uint16).tobytes()
+
+
+def _token_postings(keys: list[str]) -> tuple[list[str], np.ndarray, bytes]:
+    lists = pc.split_pattern(pa.array(keys, pa.string()), " ")
+    rows, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    kept = pc.not_equal(words, "")
+    rows, words = rows[kept.to_numpy(zero_copy_only=False)], words.filter(kept).dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    _, ends, posted = _postings(rank[words.indices.to_numpy()], rows, len(keys))
+    return words.dictionary.take(pa.array(order)).to_pylist(), ends, posted
+
+
+def _gram_postings(keys: list[str], n: int) -> tuple[list[str], np.ndarray, bytes]:
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    letters, codes = np.unique(np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    base = len(letters) + 1
+    if base**n * len(keys) >= 1 << 63:  # grams too many to be numbered
+        lists = defaultdict(list)
+        for i, key in enumerate(keys):
+            for g in key_grams(key, n):
+                lists[g].append(i)
+        names = sorted(lists)
+        ends = np.cumsum([len(lists[g]) for g in names], dtype=np.int32)
+        return names, ends, np.fromiter((i for g in names for i in lists[g]), np.uint16).tobytes()
+    # a key shorter than a gram is padded by zeros behind it
+    padded = np.zeros(len(codes) + n, np.int64)
+    padded[: len(codes)] = codes.ravel() + 1
+    rows, ends = np.repeat(np.arange(len(keys)), lengths), np.cumsum(lengths)
+    left = ends[rows] - np.arange(len(codes))
+    first = np.flatnonzero((left >= n) | (left == lengths[rows]))
+    number = np.zeros(len(first), np.int64)
+    for i in range(n):
+        number = number * base + np.where(left[first] > i, padded[first + i], 0)
+    number, ends, posted = _postings(number, rows[first], len(keys))
+    places = [number // base**i % base for i in reversed(range(n))]
+    letters = np.r_[np.zeros(1, np.uint32), letters].astype(np.uint32)
+    grams = np.ascontiguousarray(np.stack([letters[x] for x in places], axis=1))
+    return grams.view(f"U{n}").ravel().tolist() if len(grams) else [], ends, posted
 
 
 def lot_row(keys: list[str], members: list[int], n: int) -> tuple:
-    tokens, grams = defaultdict(list), defaultdict(list)
-    least = None
-    for i, key in enumerate(keys):
-        own = key_tokens(key)
-        size = joined_length(own)
-        least = size if least is None else min(least, size)
-        for t in own:
-            tokens[t].append(i)
-        for g in key_grams(key, n):
-            grams[g].append(i)
+    tokens, grams = _token_postings(keys), _gram_postings(keys, n)
+    own = np.frombuffer(tokens[2], np.uint16).astype(np.int64)
+    sizes = np.repeat(np.fromiter(map(len, tokens[0]), np.int64, len(tokens[0])), np.diff(tokens[1], prepend=0))
+    count = np.bincount(own, minlength=len(keys))
+    least = int((np.bincount(own, sizes, len(keys)) + np.maximum(count - 1, 0)).min())
     counts = letter_counts(keys)
     wide = bool(counts.max(initial=0) > 255)
     counts = counts if wide else counts.astype(np.uint8)
     lengths = [len(k) for k in keys]
-    return len(keys), min(lengths), max(lengths), least, keys, members, wide, counts.tobytes(), *_postings(tokens), *_postings(grams)
+    return len(keys), min(lengths), max(lengths), least, keys, members, wide, counts.tobytes(), *tokens, *grams
 
 
 class Lot:
-    """One row of the index in a task."""
+    """One row of the index in a task; lists may come as Arrow arrays."""
 
     def __init__(self, row: dict):
         self.n, self.shortest, self.longest, self.least_tokens = row["n"], row["shortest"], row["longest"], row["least_tokens"]
-        self.keys: list[str] = row["keys"]
+        self.key_names, self.token_names, self.gram_names = (
+            row[x] if isinstance(row[x], pa.Array) else pa.array(row[x], pa.string()) for x in ("keys", "tokens", "grams")
+        )
         self.members = np.array(row["members"], np.int64)
         self.counts = np.frombuffer(row["counts"], np.int32 if row["wide"] else np.uint8).reshape(CLASSES, self.n)
         self.most = self.counts.max(axis=1)
-        self._letters: dict[bool, np.ndarray] = {}
-        self._tokens, self._grams = ({name: i for i, name in enumerate(row[x])} for x in ("tokens", "grams"))
-        self._token_ends, self._gram_ends = (np.r_[0, np.array(row[x], np.int64)] for x in ("token_ends", "gram_ends"))
-        self._token_rows, self._gram_rows = (np.frombuffer(row[x], np.uint16).astype(np.int64) for x in ("token_rows", "gram_rows"))
-        self.n_grams = len(self._grams)
+        self._letters: dict[bytes, np.ndarray] = {}
+        self.token_ends, self.gram_ends = (np.r_[0, np.array(row[x], np.int64)] for x in ("token_ends", "gram_ends"))
+        self.token_rows, self.gram_rows = (np.frombuffer(row[x], np.uint16).astype(np.int64) for x in ("token_rows", "gram_rows"))
+        self.n_grams = len(self.gram_names)
         self.most_tokens = int(self.n_tokens.max())
 
-    def token(self, name: str) -> np.ndarray | None:
-        i = self._tokens.get(name)
-        return None if i is None else self._token_rows[self._token_ends[i] : self._token_ends[i + 1]]
-
-    def gram_number(self, name: str) -> int | None:
-        return self._grams.get(name)
-
     def gram_keys(self, i: int) -> np.ndarray:
-        return self._gram_rows[self._gram_ends[i] : self._gram_ends[i + 1]]
+        return self.gram_rows[self.gram_ends[i] : self.gram_ends[i + 1]]
 
     def gram_bits(self, width: int) -> np.ndarray:
         """(gram, 64 keys a word) bitmap of the postings, ``width`` bytes a gram."""
         bits = np.zeros(self.n_grams * width, np.uint8)
-        gram = np.repeat(np.arange(self.n_grams), np.diff(self._gram_ends))
-        np.bitwise_or.at(bits, gram * width + (self._gram_rows >> 3), np.left_shift(1, self._gram_rows & 7).astype(np.uint8))
+        gram = np.repeat(np.arange(self.n_grams), np.diff(self.gram_ends))
+        np.bitwise_or.at(bits, gram * width + (self.gram_rows >> 3), np.left_shift(1, self.gram_rows & 7).astype(np.uint8))
         return bits.view(np.uint64).reshape(self.n_grams, width // 8)
 
-    def overlap(self, counts: np.ndarray) -> np.ndarray:
-        """Common letters of each key and a text with these counts, blanks left out."""
-        kind = np.dtype(np.uint8 if self.longest < 256 else np.int32)
-        out, least = np.zeros(self.n, kind), np.empty(self.n, self.counts.dtype)
-        top = np.iinfo(self.counts.dtype).max
-        for c in (np.flatnonzero((counts[1:] > 0) & (self.most[1:] > 0)) + 1).tolist():
-            np.minimum(self.counts[c], self.counts.dtype.type(min(int(counts[c]), top)), out=least)
-            np.add(out, least, out=out, casting="unsafe")
-        return out
+    @cached_property
+    def keys(self) -> list[str]:
+        return self.key_names.to_pylist()
 
     @cached_property
     def joined(self) -> np.ndarray:
@@ -149,16 +177,16 @@ class Lot:
 
     @cached_property
     def lengths(self) -> np.ndarray:
-        return np.fromiter(map(len, self.keys), np.int32, self.n)
+        return pc.utf8_length(self.key_names).to_numpy(zero_copy_only=False).astype(np.int32)
 
     @cached_property
     def n_tokens(self) -> np.ndarray:
-        return np.bincount(self._token_rows, minlength=self.n).astype(np.int32)
+        return np.bincount(self.token_rows, minlength=self.n).astype(np.int32)
 
     @cached_property
     def token_chars(self) -> np.ndarray:
-        sizes = np.repeat(np.fromiter(map(len, self._tokens), np.int64, len(self._tokens)), np.diff(self._token_ends))
-        return np.bincount(self._token_rows, sizes, self.n).astype(np.int32)
+        sizes = np.repeat(pc.utf8_length(self.token_names).to_numpy(zero_copy_only=False), np.diff(self.token_ends))
+        return np.bincount(self.token_rows, sizes, self.n).astype(np.int32)
 
     @cached_property
     def singles(self) -> np.ndarray:
@@ -174,19 +202,30 @@ class Lot:
             self._token_sets[i] = key_tokens(self.keys[i])
         return self._token_sets[i]
 
-    def letters(self, alphabet: np.ndarray, by_token: bool) -> np.ndarray:
+    def letters(self, alphabet: np.ndarray, by_token: bool, which: np.ndarray | None = None) -> np.ndarray:
         """Place by place each key's code point, as its number in ``alphabet`` from 1 (0: another one, or none).
 
-        ``by_token`` takes the distinct tokens in order, joined by blanks.
+        ``by_token`` takes the distinct tokens in order, joined by blanks. ``which`` takes these keys alone.
         """
-        if by_token not in self._letters:
-            texts = [" ".join(sorted(self.key_tokens(i))) for i in range(self.n)] if by_token else self.keys
-            width = max(1, self.longest)
-            codes = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(self.n, width)
-            numbers = np.zeros(int(alphabet.max(initial=0)) + 2, np.uint16 if len(alphabet) > 255 else np.uint8)
-            numbers[alphabet] = np.arange(1, len(alphabet) + 1)
-            self._letters[by_token] = np.ascontiguousarray(numbers[np.minimum(codes, len(numbers) - 1)].T)
-        return self._letters[by_token]
+        if which is not None or by_token:
+            some = range(self.n) if which is None else which.tolist()
+            return _columns([" ".join(sorted(self.key_tokens(i))) if by_token else self.keys[i] for i in some], alphabet)
+        at = alphabet.tobytes()
+        if at not in self._letters:
+            self._letters[at] = _columns(self.keys, alphabet)
+        return self._letters[at]
+
+
+def _columns(texts: list[str], alphabet: np.ndarray) -> np.ndarray:
+    """(place, text) numbers of code points in ``alphabet`` from 1; 0 for another one, or none."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    numbers = np.zeros(int(alphabet.max(initial=0)) + 2, np.uint16 if len(alphabet) > 255 else np.uint8)
+    numbers[alphabet] = np.arange(1, len(alphabet) + 1)
+    out = np.zeros((max(1, int(lengths.max(initial=0))), len(texts)), numbers.dtype)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[place, np.repeat(np.arange(len(texts)), lengths)] = numbers[np.minimum(codes, len(numbers) - 1)]
+    return out
 
 
 @dataclass
@@ -258,7 +297,9 @@ def build_index(names: DataFrame, root: str, ngram_n: int = DEFAULT_NGRAM) -> Ke
         parts = max(2 * spark.sparkContext.defaultParallelism, keys.count() // (FILE_LOTS * LOT_KEYS))
         spread = keys.repartitionByRange(parts, "size", "key").sortWithinPartitions("size", "key").select("key", "members")
         # lots of long keys cost more: they are dealt over all files
-        _lots(spread, ngram_n).repartition(parts).write.parquet(f"{path}/lots")
+        lots = _lots(spread, ngram_n).withColumn("wave", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(WAVE_LOTS)))
+        lots = lots.withColumn("wave", sum((F.col("wave") >= end).cast("int") for end in WAVE_ENDS))
+        lots.repartition(parts).write.partitionBy("wave").parquet(f"{path}/lots")
         grams = spark.read.parquet(f"{path}/lots").select("members", "grams", "gram_ends", "gram_rows").mapInArrow(_gram_counts, "gram string, n_ids long")
         grams.groupBy("gram").agg(F.sum("n_ids").alias("n_ids")).write.parquet(f"{path}/grams")
         spark.createDataFrame([(ngram_n, records.count())], "ngram_n int, n_records long").write.parquet(f"{path}/about")

@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 from onoma.functions.grams import token_set
 from onoma.functions.normalize import normalize_name
 from onoma.operators.candidates import DEFAULT_NGRAM, candidate_counts, candidate_ids, gram_index
-from onoma.operators.keyindex import KeyIndex, build_index
-from onoma.operators.probe import PROBE_SCHEMA, probe, request_blocks
+from onoma.operators.keyindex import WAVE_ENDS, KeyIndex, build_index
+from onoma.operators.probe import PROBE_SCHEMA, met_bars, probe, request_blocks
 from onoma.operators.ranking import MAX_LIMIT, project_hits, rank_hits, with_display_scores
 from onoma.operators.requests import distinct_request_keys, key_members, validate_requests
 from onoma.operators.ties import tie_stats
 from onoma.session import ensure_checkpoint_dir, materialize
 from onoma.sources.tables import with_request_defaults
 
+#: Records from which a table is met in waves.
+WAVES_FROM = 300_000
+
 
 @dataclass(frozen=True)
 class MatchConfig:
@@ -83,13 +86,25 @@ def match(names: DataFrame, requests: DataFrame, cfg: MatchConfig = MatchConfig(
 
 
 def _scan(index: KeyIndex, requests: DataFrame, need_gram: bool, top: bool) -> DataFrame:
-    """Probe the requests block by block; the driver holds one block at a time."""
+    """Probe the requests block by block; the driver holds one block at a time.
+
+    A table of some size is met in waves: a few lots give the bars that the requests start from at the others.
+    """
     spark = requests.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/match-scored-{uuid.uuid4().hex}"
-    spark.createDataFrame([], PROBE_SCHEMA).write.parquet(path)
+    paths = [f"{path}/none"]
+    spark.createDataFrame([], PROBE_SCHEMA).write.parquet(paths[0])
     for block in request_blocks(requests):
-        probe(index, block, need_gram, top).write.mode("append").parquet(path)
-    return spark.read.schema(PROBE_SCHEMA).parquet(path)
+        waves = [index.lots]
+        if top and index.n_records >= WAVES_FROM and "wave" in index.lots.columns:
+            waves = [index.lots.filter(F.col("wave") == i) for i in range(len(WAVE_ENDS) + 1)]
+        bars = None
+        for i, lots in enumerate(waves):
+            if i:
+                bars = met_bars(index, block, spark.read.schema(PROBE_SCHEMA).parquet(*paths[-i:]))
+            paths.append(f"{path}/part-{len(paths)}")
+            probe(index, block, need_gram, top, lots, bars).write.parquet(paths[-1])
+    return spark.read.schema(PROBE_SCHEMA).parquet(*paths)
 
 
 def match_index(index: KeyIndex, requests: DataFrame, cfg: MatchConfig = MatchConfig()) -> MatchResult:
@@ -104,7 +119,7 @@ def match_index(index: KeyIndex, requests: DataFrame, cfg: MatchConfig = MatchCo
     counts = scored.filter("key IS NULL AND candidates > 0").groupBy("request_id").agg(F.sum("candidates").alias("candidate_count"))
     unhit = _scan(index, reqs.join(counts, "request_id", "left_anti"), False, top)
     work = scored.unionByName(unhit).filter("key IS NULL").groupBy("request_id").agg(F.sum("bounded").alias("bounded"), F.sum("scored").alias("scored"))
-    pairs, fallback = (df.filter("key IS NOT NULL").drop("candidates", "bounded", "scored") for df in (scored, unhit))
+    pairs, fallback = (df.filter("key IS NOT NULL").drop("members", "candidates", "bounded", "scored") for df in (scored, unhit))
 
     ids = Window.partitionBy("normalized_name").orderBy("id")
     wanted = recs.join(pairs.unionByName(fallback).select(F.col("key").alias("normalized_name")).distinct(), "normalized_name", "left_semi")

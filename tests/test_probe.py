@@ -73,3 +73,59 @@ def test_gram_dictionary_counts_records(spark, tmp_path):
     index = build_index(spark.createDataFrame(names, NAMES), str(tmp_path))
     assert {r["gram"]: r["n_ids"] for r in index.grams.collect()} == {"ana": 3, "nan": 1, "an": 1}
     assert index.grams.agg(F.count("*")).first()[0] == 3
+
+
+def test_records_of_a_key_raise_the_bar(spark, tmp_path):
+    """Ten records of the equal key fill the limit: no other key leaves the scan."""
+    names = keys(600)
+    rows = [(i, k, k) for i, k in enumerate([*names, *["ana ruiz gomez"] * 10])]
+    index = build_index(spark.createDataFrame(rows, NAMES), str(tmp_path))
+    block = [P.Query("ana ruiz gomez", ((1, 20.0, 0.65, 10),))]
+    bars = P.met_bars(index, block, spark.createDataFrame([], P.PROBE_SCHEMA))
+    assert bars == {1: (100.0, 100.0, 100.0)}
+    left = P.probe(index, block, bars=bars).filter("key IS NOT NULL").collect()
+    assert [(r["key"], r["members"]) for r in left] == [("ana ruiz gomez", 10 + ("ana ruiz gomez" in names))]
+
+
+def test_equal_similarities_are_told_apart_by_the_edit_score(spark, tmp_path):
+    """With a token weight of 1 many keys reach 100; only those that may be hits leave the scan."""
+    names = keys(600)
+    index = build_index(spark.createDataFrame([(i, k, k) for i, k in enumerate(names)], NAMES), str(tmp_path))
+    index.lots = index.lots.coalesce(1)
+    block = [P.Query("ana", ((1, 20.0, 1.0, 3),))]
+    left = {top: P.probe(index, block, top=top).filter("similarity_raw = 100").orderBy(F.desc("edit_raw")).collect() for top in (False, True)}
+    assert [r["edit_raw"] for r in left[True]][:3] == [r["edit_raw"] for r in left[False]][:3]
+    assert 2 * len(left[True]) < len(left[False])
+
+
+def test_waves_give_the_same_hits(spark, tmp_path, monkeypatch):
+    from onoma.operators import keyindex
+    from onoma.plans import match as M
+
+    monkeypatch.setattr(keyindex, "WAVE_LOTS", 4)
+    monkeypatch.setattr(keyindex, "WAVE_ENDS", (1, 2))
+    names = keys(600)
+    records = [(3 * i + j, k, k) for i, k in enumerate(names) for j in range(1 + i % 3)]
+    index = build_index(spark.createDataFrame(records, NAMES), str(tmp_path))
+    assert index.lots.select("wave").distinct().count() > 1
+    texts = ["ana ruiz gomez", "juan", "luz perez carlos anna", "xyz", names[5]]
+    rows = [(10 * i + j, q, t, w, limit) for i, q in enumerate(texts) for j, (t, w, limit) in enumerate([(70.0, 0.65, 10), (0.0, 1.0, 4), (40.0, 0.0, 100)])]
+    got = []
+    for start in (1 << 60, 0):
+        monkeypatch.setattr(M, "WAVES_FROM", start)
+        res = M.match_index(index, spark.createDataFrame(rows, ASKED))
+        got.append((sorted(res.hits.collect()), sorted(res.summary.collect())))
+    assert got[0] == got[1] and len(got[0][0]) > 100
+
+
+def test_lots_hold_the_plain_postings():
+    from onoma.operators.keyindex import key_grams, key_tokens
+
+    texts = ["", "a", "ab", "b a b", "abc abc", "à é ab", "\U0001f600 x", "ab"]
+    for n in (1, 2, 3, 5, 40):
+        row = dict(zip(_NAMES, lot_row(texts, [1] * len(texts), n)))
+        for what, of in (("token", key_tokens), ("gram", lambda k: key_grams(k, n))):
+            lot = Lot(row)
+            names, ends, rows = (getattr(lot, f"{what}_{x}") for x in ("names", "ends", "rows"))
+            got = {x: rows[a:b].tolist() for x, a, b in zip(names.to_pylist(), ends, ends[1:])}
+            assert got == {x: [i for i, t in enumerate(texts) if x in of(t)] for x in sorted(set().union(*map(of, texts)))}
