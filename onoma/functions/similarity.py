@@ -31,16 +31,20 @@ _CELLS = 1 << 20
 
 
 def _lcs_step(s: list[np.ndarray], m: list[np.ndarray]) -> None:
-    """One step of the bit-parallel recurrence over words, low word first, in place."""
-    carry = np.zeros(len(s[0]), dtype=np.uint64)
+    """One step of the bit-parallel recurrence over words, low word first, in place; ``m`` is overwritten."""
+    over = None
     for w in range(len(s)):
-        u = s[w] & m[w]
-        total = s[w] + u
-        over = total < u
-        total += carry
-        over |= total < carry
-        s[w] = total | (s[w] & ~u)
-        carry = over.astype(np.uint64)
+        u = np.bitwise_and(s[w], m[w], out=m[w])
+        rest = s[w] - u
+        s[w] += u
+        if w + 1 < len(s):
+            carry = s[w] < u
+        if over is not None:
+            s[w] += over
+            if w + 1 < len(s):
+                carry |= s[w] < over
+        s[w] |= rest
+        over = carry if w + 1 < len(s) else None
 
 
 def _lcs_result(s: list[np.ndarray], length) -> np.ndarray:
@@ -99,13 +103,7 @@ def lcs_from_patterns(masks: list, pattern: np.ndarray, columns: np.ndarray, at:
                 np.add(base, letters, out=i)
                 for w in range(words):
                     flat[w].take(i, out=m[w], mode="clip")
-                if words == 1:
-                    u = np.bitwise_and(s[0], m[0], out=m[0])
-                    rest = s[0] - u
-                    s[0] += u
-                    s[0] |= rest
-                else:
-                    _lcs_step(s, m)
+                _lcs_step(s, m)
             out[part] = _lcs_result(s, sizes[row])
     return out
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onoma.functions.similarity import lcs_from_patterns, lcs_lengths, pattern_masks
-from onoma.operators.keyindex import KeyIndex, Lot, joined_length, key_grams, key_tokens, letter_counts
+from onoma.operators.keyindex import KeyIndex, Lot, joined_length, key_grams, key_tokens, letter_counts, spread
 
 BLOCK_REQUESTS = 4000
 BLOCK_CHARS = 1 << 20
@@ -144,6 +144,7 @@ class _Block:
         self.joined = np.array([joined_length(t) for t in self.tokens], np.int64)
         self.many = np.array([len(a) > 1 for a in self.asked], bool)
         self.w = np.array([a[0][2] for a in self.asked], float)
+        self.token_first = ~self.many & (self.w >= 0.5)
         self.top = top
         #: by unit and request: its bar and (similarity, token, edit) of the best records met, at most as many as its limit
         self.best = [[(max((t, -np.inf, -np.inf), bars.get(i, (t,))), np.zeros((0, 3))) for i, t, _, _ in a] for a in self.asked]
@@ -186,26 +187,31 @@ class _Block:
         return at[_ranks(scores[at], bar)]
 
     def needed(self, lot: Lot) -> tuple[np.ndarray, np.ndarray]:
-        """(fewest common letters with blanks, least joined length of shared tokens) of a key of the lot that reaches
-        its unit's threshold by the one or the other; infinite where none can.
+        """((unit, band) fewest common letters with blanks, by unit least joined length of shared tokens) of a key of the
+        lot that reaches its unit's threshold by the one or the other; infinite where none can.
 
         With c common letters and blanks the token difference is at most 200 c / (joined lengths), since the tokens of a
         text have no more blanks between them, and the edit score 200 c / (lengths). With shared tokens of joined
         length s the token score is at most the former or 200 s / (s + shorter joined length).
         """
         common = np.minimum(lot.most[:, None].astype(np.int64), self.counts).sum(axis=0)
-        token, edit = 200.0 / np.maximum(self.joined + lot.least_tokens, 1), 200.0 / np.maximum(self.length + lot.shortest, 1)
         bar, w = self.bar - 1e-6, self.w
-        letters = bar / np.where(self.many, np.maximum(token, edit), w * token + (1 - w) * edit)
-        letters = np.where(self.length + lot.shortest == 0, 0, np.maximum(np.ceil(letters - 1e-6), 0))
-        letters = np.where(letters > common, np.inf, letters)
-
+        order, ends = lot.bands
+        starts = np.r_[0, ends[:-1]]
+        joined, lengths = (np.minimum.reduceat(x[order].astype(np.int64), starts) for x in (lot.joined, lot.lengths))
+        token, edit = 200.0 / np.maximum(np.add.outer(self.joined, joined), 1), 200.0 / np.maximum(np.add.outer(self.length, lengths), 1)
+        letters = bar[:, None] / np.where(self.many[:, None], np.maximum(token, edit), w[:, None] * token + (1 - w[:, None]) * edit)
+        letters = np.where(np.add.outer(self.length, lengths) == 0, 0, np.maximum(np.ceil(letters - 1e-6), 0))
+        letters = np.where(letters > common[:, None], np.inf, letters)
+
+        edit = 200.0 / np.maximum(self.length + lot.shortest, 1)
         edit = np.where(self.length + lot.shortest == 0, 100.0, edit * np.minimum(common, np.minimum(self.length, lot.longest)))
         token = np.where(self.many, bar, np.where(w > 0, (bar - (1 - w) * np.minimum(edit, 100.0)) / np.maximum(w, 1e-300), np.inf))
+        token = np.minimum(token, 200.0)
         shared = np.where(token > 100.0, np.inf, token * np.minimum(self.joined, lot.least_tokens) / (200.0 - np.minimum(token, 100.0)))
         shared = np.maximum(np.ceil(shared - 1e-6), 1)
         out = edit < self.least_edit - 1e-6
-        return np.where(out, np.inf, letters), np.where(out | (shared > self.joined), np.inf, shared)
+        return np.where(out[:, None], np.inf, letters), np.where(out | (shared > self.joined), np.inf, shared)
 
 
 def _held(lot: Lot, block: _Block) -> tuple[np.ndarray, np.ndarray]:
@@ -235,11 +241,6 @@ def _held(lot: Lot, block: _Block) -> tuple[np.ndarray, np.ndarray]:
     return held, found
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 class _View:
     """A lot as a block sees it: unary codes of the letter counts, and the block's tokens that it holds."""
 
@@ -266,24 +267,27 @@ class _View:
     @cached_property
     def key_tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(ends by key, the block's tokens of the keys)."""
-        keys = self.lot.token_rows[_spread(self.starts, self.sizes)]
+        keys = self.lot.token_rows[spread(self.starts, self.sizes)]
         order = np.argsort(keys, kind="stable")
         ends = np.r_[0, np.cumsum(np.bincount(keys, minlength=self.lot.n))]
         return ends, np.repeat(np.arange(len(self.present)), self.sizes)[order]
 
     def common(self, units: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of unit * keys + key, common letters) with at least as many common letters and blanks."""
+        """(number of unit * keys + key, common letters) with at least as many common letters and blanks as the key's band needs."""
         n = self.lot.n
-        kind = np.dtype(np.uint8 if self.n_bits < 256 else np.int32)
+        order, ends = self.lot.bands
+        kind = np.dtype(np.uint8 if self.n_bits < 255 else np.int32)
+        least = np.minimum(least, self.n_bits + 1).astype(kind)
+        keys, sizes = self.keys[:, order], np.diff(ends, prepend=0)
         size = max(1, TILE // n)
         flat, letters = [], []
         for a in range(0, len(units), size):
             own = self.units[:, units[a : a + size]]
             total = np.zeros((own.shape[1], n), kind)
-            for mine, theirs in zip(own, self.keys):
+            for mine, theirs in zip(own, keys):
                 total += np.bitwise_count(mine[:, None] & theirs)
-            at = np.flatnonzero(total >= least[a : a + size, None].astype(kind))
-            flat.append(at + a * n)
+            at = np.flatnonzero(total >= np.repeat(least[a : a + size], sizes, axis=1))
+            flat.append((at // n + a) * n + order[at % n])
             letters.append(total.ravel()[at].astype(np.int64))
         return np.concatenate(flat), np.concatenate(letters)
 
@@ -302,13 +306,13 @@ class _View:
         n = self.lot.n
         out = np.zeros(len(units) * n, bool)
         a, b = np.searchsorted(self.unit, units), np.searchsorted(self.unit, units, "right")
-        at, row = _spread(a, b - a), np.repeat(np.arange(len(units)), b - a)
+        at, row = spread(a, b - a), np.repeat(np.arange(len(units)), b - a)
         rest = self.most[at] > least[row]
         at, row = at[rest], row[rest]
         starts, sizes = self.starts[self.token[at]], self.sizes[self.token[at]]
         cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, int(sizes.sum()) + GROUP, GROUP))
         for a, b in zip(cuts, cuts[1:]):
-            keys = self.lot.token_rows[_spread(starts[a : b + 1], sizes[a : b + 1])]
+            keys = self.lot.token_rows[spread(starts[a : b + 1], sizes[a : b + 1])]
             out[np.repeat(row[a : b + 1] * n, sizes[a : b + 1]) + keys] = True
         return out
 
@@ -319,14 +323,14 @@ class _View:
             return out
         a, b = np.searchsorted(self.unit, units), np.searchsorted(self.unit, units, "right")
         own = np.zeros((len(units), len(self.present)), np.int32)
-        at = _spread(a, b - a)
+        at = spread(a, b - a)
         own[np.repeat(np.arange(len(units)), b - a), self.token[at]] = self.weight[self.token[at]]
         own, width = own.ravel(), len(self.present)
         ends, tokens = self.key_tokens
         for at in range(0, len(k), PAIRS):
             keys = k[at : at + PAIRS]
             sizes = ends[keys + 1] - ends[keys]
-            theirs = tokens[_spread(ends[keys], sizes)]
+            theirs = tokens[spread(ends[keys], sizes)]
             sums = np.r_[0, np.cumsum(own[np.repeat(row[at : at + PAIRS] * width, sizes) + theirs], dtype=np.int64)]
             last = np.cumsum(sizes)
             out[at : at + PAIRS] = sums[last] - sums[last - sizes]
@@ -363,7 +367,7 @@ class _Scan:
         """Columns (request ids, keys, members, token, edit, similarity) of the pairs of a lot that may be hits."""
         block = self.block
         least_letters, least_shared = block.needed(lot)
-        open_ = np.isfinite(least_letters) | np.isfinite(least_shared)
+        open_ = np.isfinite(least_letters).any(axis=1) | np.isfinite(least_shared)
         held = None
         if self.need_gram:
             held, found = _held(lot, block)
@@ -398,7 +402,7 @@ class _Scan:
             return (held[u, k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
 
         least = least_letters[units]
-        rows = np.flatnonzero(np.isfinite(least))
+        rows = np.flatnonzero(np.isfinite(least).any(axis=1))
         flat = letters = np.zeros(0, np.int64)
         if len(rows):
             flat, letters = view.common(units[rows], least[rows])
@@ -439,11 +443,11 @@ class _Scan:
     def _scored(self, view: _View, waiting: list[tuple]) -> Iterator[tuple]:
         block, lot = self.block, view.lot
         u, k, letters, shared = (np.concatenate(x) for x in zip(*waiting))
-        length, n_q = lot.lengths[k].astype(np.int64), block.n_tokens[u]
-        n_k = lot.n_tokens[k].astype(np.int64)
+        length, n_q = lot.lengths[k], block.n_tokens[u]
+        n_k = lot.n_tokens[k]
         x_len, y_len = np.maximum(block.joined[u] - shared, 0), np.maximum(lot.joined[k] - shared, 0)
         sect = np.maximum(shared - 1, 0)
-        blanks = np.minimum(lot.counts[0][k].astype(np.int64), block.counts[0, u])
+        blanks = np.minimum(lot.counts[0][k], block.counts[0, u])
         # repeated tokens count once in x and y and more often in the letters: still an upper bound
         most = np.maximum(np.minimum(np.minimum(x_len, y_len), letters - blanks - shared + np.minimum(n_q, n_k) - 1), 0)
         token = _token_score(n_q, n_k, shared, x_len, y_len, sect, most)
@@ -453,36 +457,50 @@ class _Scan:
         ok = np.flatnonzero(block.reached(u, token, edit))
         if not len(ok):
             return
-        self.work[2] += np.bincount(u[ok], minlength=len(block.texts))
-        u, k, total, token = u[ok], k[ok], total[ok], token[ok]
-        lcs = lcs_from_patterns(block.masks, u, lot.letters(block.alphabet, False), k, lot.lengths)
-        edit = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
-        left = np.flatnonzero(block.reached(u, token, edit))
-        if not len(left):
-            return
-        u, k, edit, ok = u[left], k[left], edit[left], ok[left]
-        parts = [x[ok] for x in (n_q, n_k, shared, x_len, y_len, sect)]
-        # x and y are parts of the sorted tokens, all of them where none is shared
-        which, at = np.unique(k, return_inverse=True)
-        in_order = lot.letters(block.alphabet, True, which)
-        most = np.minimum(most[ok], lcs_from_patterns(block.token_masks, u, in_order, at, lot.joined[which]))
-        token = _token_score(*parts, most)
-        left = np.flatnonzero(block.reached(u, token, edit))
-        if not len(left):
-            return
-        u, k, edit, token, parts = u[left], k[left], edit[left], token[left], [x[left] for x in parts]
+        u = u[ok]
+        self.work[2] += np.bincount(u, minlength=len(block.texts))
+        numbers = np.array([k[ok], total[ok], most[ok], n_q[ok], n_k[ok], shared[ok], x_len[ok], y_len[ok], sect[ok]], np.int32)
+        # the score of more weight goes first
+        heavy = block.token_first[u]
+        for by_token in (True, False):
+            at = np.flatnonzero(heavy == by_token)
+            if len(at) == len(u):
+                yield from self._exact(lot, by_token, u, numbers, token[ok], edit[ok])
+            elif len(at):
+                yield from self._exact(lot, by_token, u[at], numbers[:, at], token[ok[at]], edit[ok[at]])
+
+    def _exact(self, lot: Lot, by_token: bool, u: np.ndarray, numbers: np.ndarray, token: np.ndarray, edit: np.ndarray) -> Iterator[tuple]:
+        """Hits among pairs with upper bounds of their scores: one LCS after the other, then the exact token score."""
+        block = self.block
+        for kind in (by_token, not by_token):
+            k, total, most, *parts = numbers
+            if kind:
+                # x and y are parts of the sorted tokens, all of them where none is shared
+                lcs = lcs_from_patterns(block.token_masks, u, lot.letters(block.alphabet, True), k, lot.joined)
+                token = _token_score(*parts, np.minimum(most, lcs))
+            else:
+                lcs = lcs_from_patterns(block.masks, u, lot.letters(block.alphabet, False), k, lot.lengths)
+                edit = np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs) / np.maximum(total, 1)) * 100.0)
+            left = np.flatnonzero(block.reached(u, token, edit))
+            if not len(left):
+                return
+            u, numbers, token, edit = u[left], numbers[:, left], token[left], edit[left]
+        k, _, _, *parts = numbers
+        yield from self._hits(lot, u, k, self._token_exact(lot, u, k, token, parts), edit)
+
+    def _token_exact(self, lot: Lot, u, k, token, parts) -> np.ndarray:
         # where the bound is no more than what needs no LCS, it is the score
-        known = _token_score(*parts, np.zeros(len(left), np.int64))
+        known = _token_score(*parts, np.zeros(len(u), np.int64))
         unsure = np.flatnonzero((token > known) & (parts[2] > 0))
         known = np.where(parts[2] > 0, known, token)
         if len(unsure):
             theirs = [lot.key_tokens(i) for i in k[unsure]]
-            ours = [block.tokens[i] for i in u[unsure]]
+            ours = [self.block.tokens[i] for i in u[unsure]]
             xs, ys = (
                 pd.Series([" ".join(sorted(a - b)) for a, b in zip(one, two)], dtype=object) for one, two in ((ours, theirs), (theirs, ours))
             )
             known[unsure] = _token_score(*[x[unsure] for x in parts], lcs_lengths(xs, ys).to_numpy(np.int64))
-        yield from self._hits(lot, u, k, known, edit)
+        return known
 
     def _hits(self, lot: Lot, u: np.ndarray, k: np.ndarray, token: np.ndarray, edit: np.ndarray) -> Iterator[tuple]:
         block = self.block
@@ -557,7 +575,8 @@ def met_bars(index: KeyIndex, block: list[Query], scored: DataFrame) -> dict[int
     pairs = scored.filter("key IS NOT NULL").select("request_id", "key", "members", *scores).join(asked.select("request_id", "limit"), "request_id")
     # a key that equals its request has both scores at 100; without a token it has not
     full = F.col("w") * 100.0 + (1.0 - F.col("w")) * 100.0
-    equal = spark.read.parquet(f"{index.path}/keys").join(asked.filter(F.trim("text") != ""), F.col("key") == F.col("text")).select(
+    keys = index.lots.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("members"))))
+    equal = keys.join(asked.filter(F.trim("text") != ""), F.col("key") == F.col("text")).select(
         "request_id", "key", "members", full.alias(scores[0]), F.lit(100.0).alias(scores[1]), F.lit(100.0).alias(scores[2]), "limit", "threshold"
     )
     equal = equal.filter(F.col(scores[0]) >= F.col("threshold")).drop("threshold")

@@ -129,3 +129,50 @@ def test_lots_hold_the_plain_postings():
             names, ends, rows = (getattr(lot, f"{what}_{x}") for x in ("names", "ends", "rows"))
             got = {x: rows[a:b].tolist() for x, a, b in zip(names.to_pylist(), ends, ends[1:])}
             assert got == {x: [i for i, t in enumerate(texts) if x in of(t)] for x in sorted(set().union(*map(of, texts)))}
+
+
+def test_repeated_tokens_do_not_loosen_the_bounds_of_a_lot():
+    """Joined distinct tokens of one key are short: only its band needs few common letters."""
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = sorted({" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(5)) for _ in range(400)} | {" ".join(["ab"] * 11)}, key=lambda k: (len(k), k))
+    lot = Lot(dict(zip(_NAMES, lot_row(texts, [1] * len(texts), 3))))
+    block = P._Block([P.Query(texts[7], ((1, 90.0, 0.65, 10),)), P.Query("ab ab ab", ((2, 0.0, 0.65, 10),))], 3, False)
+    least, _ = block.needed(lot)
+    view = P._View(lot, block)
+    flat, letters = view.common(np.arange(2), least)
+    near = flat[flat < lot.n]
+    shared = [sum(min(texts[7].count(c), k.count(c)) for c in set(texts[7])) for k in texts]
+    assert dict(zip(flat.tolist(), letters.tolist())).items() >= {7: shared[7]}.items()
+    assert [shared[k] for k in near] == letters[flat < lot.n].tolist()
+    # exact scores reach the threshold only where the letters do
+    want = [i for i, k in enumerate(texts) if 0.65 * pyref.token_set_ratio(texts[7], k) + 0.35 * pyref.ratio(texts[7], k) >= 90]
+    assert set(want) <= set(near.tolist()) and 2 * len(near) < lot.n
+    assert sorted(flat[flat >= lot.n] - lot.n) == list(range(lot.n))
+
+
+def test_columns_of_sorted_tokens():
+    import numpy as np
+
+    texts = ["", " ", "b a b", "zz", "juan à juan ana", "ana  b"]
+    lot = Lot(dict(zip(_NAMES, lot_row(texts, [1] * len(texts), 3))))
+    for alphabet in ("abnuj ", "à", "abnujà"):
+        at = sorted(map(ord, alphabet))
+        columns = lot.letters(np.array(at, np.int64), True)
+        for i, k in enumerate(texts):
+            want = [at.index(ord(c)) + 1 if ord(c) in at else 0 for c in " ".join(sorted(set(k.split(" ")) - {""}))]
+            assert columns[:, i].tolist() == want + [0] * (len(columns) - len(want))
+
+
+def test_lots_are_cut_where_keys_meet(spark, tmp_path):
+    """No copy of the keys and no second shuffle: each file holds lots of all lengths."""
+    import os
+
+    names = [(i, "x", "ab" * (1 + i % 40) + str(i)) for i in range(2000)]
+    index = build_index(spark.createDataFrame(names, NAMES), str(tmp_path))
+    assert not os.path.exists(f"{index.path}/keys")
+    got = index.lots.select(F.explode("keys").alias("k"), "shortest", "longest")
+    assert got.count() == 2000 and got.filter("length(k) < shortest OR length(k) > longest").isEmpty()
+    bars = P.met_bars(index, [P.Query("abab1", ((1, 20.0, 0.65, 1),))], spark.createDataFrame([], P.PROBE_SCHEMA))
+    assert bars == {1: (100.0, 100.0, 100.0)}
