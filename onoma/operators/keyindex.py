@@ -68,15 +68,21 @@ def joined_length(tokens: set[str]) -> int:
     return sum(map(len, tokens)) + max(len(tokens) - 1, 0)
 
 
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all keys, lengths of the keys)."""
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return codes, np.fromiter(map(len, keys), np.int64, len(keys))
+
+
 def letter_counts(keys: list[str]) -> np.ndarray:
     """(class, key) counts of letters."""
-    out = np.zeros((CLASSES, len(keys)), np.int32)
-    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return _letter_counts(*_codes(keys))
+
+
+def _letter_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    n = len(lengths)
     codes = np.where(codes == 32, 0, 1 + codes % (CLASSES - 1))
-    row = np.repeat(np.arange(len(keys)), lengths)
-    out.ravel()[:] = np.bincount(codes * len(keys) + row, minlength=out.size)
-    return out
+    return np.bincount(codes * n + np.repeat(np.arange(n), lengths), minlength=CLASSES * n).reshape(CLASSES, n).astype(np.int32)
 
 
 def _postings(number: np.ndarray, rows: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -88,8 +94,8 @@ def _postings(number: np.ndarray, rows: np.ndarray, n_keys: int) -> tuple[np.nda
     return number[last], (last + 1).astype(np.int32), (both % n_keys).astype(np.uint16).tobytes()
 
 
-def _token_postings(keys: list[str]) -> tuple[list[str], np.ndarray, bytes]:
-    lists = pc.split_pattern(pa.array(keys, pa.string()), " ")
+def _token_postings(keys: pa.Array) -> tuple[pa.Array, np.ndarray, bytes]:
+    lists = pc.split_pattern(keys, " ")
     rows, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
     kept = pc.not_equal(words, "")
     rows, words = rows[kept.to_numpy(zero_copy_only=False)], words.filter(kept).dictionary_encode()
@@ -97,12 +103,11 @@ def _token_postings(keys: list[str]) -> tuple[list[str], np.ndarray, bytes]:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     _, ends, posted = _postings(rank[words.indices.to_numpy()], rows, len(keys))
-    return words.dictionary.take(pa.array(order)).to_pylist(), ends, posted
+    return words.dictionary.take(pa.array(order)), ends, posted
 
 
-def _gram_postings(keys: list[str], n: int) -> tuple[list[str], np.ndarray, bytes]:
-    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-    letters, codes = np.unique(np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+def _gram_postings(keys: list[str], codes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, bytes]:
+    letters = np.flatnonzero(np.bincount(codes)) if len(codes) else codes
     base = len(letters) + 1
     if base**n * len(keys) >= 1 << 63:  # grams too many to be numbered
         lists = defaultdict(list)
@@ -111,10 +116,12 @@ def _gram_postings(keys: list[str], n: int) -> tuple[list[str], np.ndarray, byte
                 lists[g].append(i)
         names = sorted(lists)
         ends = np.cumsum([len(lists[g]) for g in names], dtype=np.int32)
-        return names, ends, np.fromiter((i for g in names for i in lists[g]), np.uint16).tobytes()
+        return pa.array(names, pa.string()), ends, np.fromiter((i for g in names for i in lists[g]), np.uint16).tobytes()
+    numbers = np.zeros(int(letters.max(initial=0)) + 1, np.int64)
+    numbers[letters] = np.arange(1, base)
     # a key shorter than a gram is padded by zeros behind it
     padded = np.zeros(len(codes) + n, np.int64)
-    padded[: len(codes)] = codes.ravel() + 1
+    padded[: len(codes)] = numbers[codes]
     rows, ends = np.repeat(np.arange(len(keys)), lengths), np.cumsum(lengths)
     left = ends[rows] - np.arange(len(codes))
     first = np.flatnonzero((left >= n) | (left == lengths[rows]))
@@ -123,22 +130,24 @@ def _gram_postings(keys: list[str], n: int) -> tuple[list[str], np.ndarray, byte
         number = number * base + np.where(left[first] > i, padded[first + i], 0)
     number, ends, posted = _postings(number, rows[first], len(keys))
     places = [number // base**i % base for i in reversed(range(n))]
-    letters = np.r_[np.zeros(1, np.uint32), letters].astype(np.uint32)
+    letters = np.r_[0, letters].astype(np.uint32)
     grams = np.ascontiguousarray(np.stack([letters[x] for x in places], axis=1))
-    return grams.view(f"U{n}").ravel().tolist() if len(grams) else [], ends, posted
+    return pa.array(grams.view(f"U{n}").ravel().tolist() if len(grams) else [], pa.string()), ends, posted
 
 
-def lot_row(keys: list[str], members: list[int], n: int) -> tuple:
-    tokens, grams = _token_postings(keys), _gram_postings(keys, n)
+def lot_row(keys: list[str] | pa.Array, members: list[int] | pa.Array, n: int) -> tuple:
+    keys = keys if isinstance(keys, pa.Array) else pa.array(keys, pa.string())
+    texts = keys.to_pylist()
+    codes, lengths = _codes(texts)
+    tokens, grams = _token_postings(keys), _gram_postings(texts, codes, lengths, n)
     own = np.frombuffer(tokens[2], np.uint16).astype(np.int64)
-    sizes = np.repeat(np.fromiter(map(len, tokens[0]), np.int64, len(tokens[0])), np.diff(tokens[1], prepend=0))
+    sizes = np.repeat(pc.utf8_length(tokens[0]).to_numpy(zero_copy_only=False), np.diff(tokens[1], prepend=0))
     count = np.bincount(own, minlength=len(keys))
     least = int((np.bincount(own, sizes, len(keys)) + np.maximum(count - 1, 0)).min())
-    counts = letter_counts(keys)
+    counts = _letter_counts(codes, lengths)
     wide = bool(counts.max(initial=0) > 255)
     counts = counts if wide else counts.astype(np.uint8)
-    lengths = [len(k) for k in keys]
-    return len(keys), min(lengths), max(lengths), least, keys, members, wide, counts.tobytes(), *tokens, *grams
+    return len(keys), int(lengths.min()), int(lengths.max()), least, keys, members, wide, counts.tobytes(), *tokens, *grams
 
 
 class Lot:
@@ -273,28 +282,40 @@ class KeyIndex:
     n_records: int
 
 
+def _lot_end(keys: pa.ChunkedArray) -> int:
+    """How many of these keys, shorter ones first, are one lot: letters are laid out as keys x longest key."""
+    lengths = pc.utf8_length(keys.slice(0, LOT_KEYS)).to_numpy().astype(np.int64)
+    over = (lengths * np.arange(1, len(lengths) + 1) > LOT_CHARS) | (4 * lengths > 5 * lengths[0] + 40)
+    over[0] = False
+    return int(over.argmax()) if over.any() else len(lengths)
+
+
 def _lots(keys: DataFrame, n: int) -> DataFrame:
     """Rows of the index from sorted ``key, members``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[str] = []
-        members: list[int] = []
-        chars = 0
+    def cell(value, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array([value], kind)
+        values = value if isinstance(value, pa.Array) else pa.array(value, kind.value_type)
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(lot_row(keys, members, n), _KINDS)], _NAMES)
+    def lot(held: pa.Table) -> pa.RecordBatch:
+        own, members = (c.combine_chunks() for c in held.columns)
+        return pa.RecordBatch.from_arrays([cell(v, k) for v, k in zip(lot_row(own, members, n), _KINDS)], _NAMES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                # letters are laid out as keys x longest key
-                if keys and (len(keys) >= LOT_KEYS or max(chars + len(k), len(k) * (len(keys) + 1)) > LOT_CHARS or 4 * len(k) > 5 * len(keys[0]) + 40):
-                    yield batch()
-                    keys, members, chars = [], [], 0
-                keys.append(k)
-                members.append(m)
-                chars += len(k)
-        if keys:
-            yield batch()
+            b = pa.Table.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64())], ["key", "members"])
+            held = b if held is None else pa.concat_tables([held, b])
+            while held.num_rows > LOT_KEYS:
+                end = _lot_end(held.column(0))
+                yield lot(held.slice(0, end))
+                held = held.slice(end)
+        while held is not None and held.num_rows:
+            end = _lot_end(held.column(0))
+            yield lot(held.slice(0, end))
+            held = held.slice(end)
 
     return keys.mapInArrow(run, _SCHEMA)
 
