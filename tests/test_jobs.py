@@ -52,6 +52,18 @@ def test_dedupe_single_hot_key(spark):
     assert dedupe_members(names).count() == n
 
 
+def test_dedupe_computes_each_key_once(spark):
+    """Empty and null keys drop out as groups; no filter below the aggregation repeats the key's expression."""
+    from onoma.operators.standardize import standardize
+
+    rows = [(1, "123"), (2, None), (7, "Ana"), (3, "ana"), (4, " ")]
+    reps = dedupe(standardize(spark.createDataFrame(rows, "id long, full_name string")))
+    assert [tuple(r) for r in reps.collect()] == [(3, "ana", "ana", 2)]
+    plan = reps._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Aggregate") :]
+    assert dedupe(standardize(spark.createDataFrame([], "id long, full_name string"))).count() == 0
+
+
 def test_csv_loaders(spark):
     d = _scratch()
     strict = os.path.join(d, "strict.csv")
